@@ -13,7 +13,7 @@ INTEL = (
     "website_contacts:array<struct<name:string,title:string>>,general_emails:array<string>,"
     "homepage_raw_text:string>"
 )
-ORGANIC_BODY = f"struct<organic:array<{PROFILE_RESULT}>>"
+ORGANIC_BODY = f"struct<organic:array<{PROFILE_RESULT}>,_corrupt_record:string>"
 # Answers are read as strings first: a bad cell then spoils its entry, not the whole document.
 FUNDING_ENTRY = (
     "struct<item_index:string,is_funding_round:string,company_name:string,funding_amount:string,"
