@@ -17,8 +17,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     rest = [c for c in df.columns if c not in keys]
     ordering = order[0] if len(order) == 1 else F.struct(*order)
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordering).alias("_first"))
-    return best.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordering).alias("__row"))
+    return best.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
 def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, cap: int) -> DataFrame:

@@ -76,6 +76,11 @@ def sanitize(c: str | Column) -> Column:
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+def micros(c: str | Column) -> Column:
+    """Microseconds since 1970, for zoned and plain timestamps (plain ones in the session zone)."""
+    return F.unix_micros(col(c).cast("timestamp"))
+
+
 def natural_key(c: str | Column) -> Column:
     """Sort key under which 'Row 9' comes before 'Row 10', whatever the number of digits."""
     def part(run: Column) -> Column:

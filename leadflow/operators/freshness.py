@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.functions.text import or_blank
+from leadflow.functions.text import micros, or_blank
 
 DAY = 86_400
 # How long answers stay fresh, in seconds.
@@ -38,8 +38,8 @@ def live_entries(cache: DataFrame, now: Column) -> DataFrame:
     newest = cache.groupBy("cache_key").agg(
         F.max_by(F.struct("payload", "written_at", "ttl_seconds"), "written_at").alias("e")
     )
-    age = F.unix_micros(now) - F.unix_micros(F.col("e.written_at"))
-    fresh = newest.filter((age >= 0) & (age < F.col("e.ttl_seconds") * 1_000_000))
+    age = micros(now) - micros("e.written_at")
+    fresh = newest.filter((age >= 0) & (age < F.col("e.ttl_seconds").cast("long") * 1_000_000))
     return fresh.select("cache_key", F.col("e.payload").alias("payload"), F.col("e.written_at").alias("written_at"))
 
 

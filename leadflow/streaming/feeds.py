@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from leadflow.functions.text import micros
+
 TERMINAL = ["completed", "failed"]
 
 
@@ -32,7 +34,7 @@ def status_changes(
     A row's history is cut into time slots; each slot takes over the last status of the slot before, so a
     row with very many snapshots spreads over many tasks.
     """
-    cut = snapshots.withColumn("_slot", F.floor(F.unix_seconds(order[0]) / slot_seconds))
+    cut = snapshots.withColumn("_slot", F.floor(micros(order[0]) / (slot_seconds * 1_000_000)))
     at = F.struct(*order)
     # a struct keeps a null status apart from no status at all
     ends = cut.groupBy(key, "_slot").agg(F.max_by(F.struct("status"), at).alias("_last"))

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leadflow.functions import fixed
+from leadflow.functions.text import micros
 
 MICROS = 1_000_000
 
@@ -49,10 +50,6 @@ class Sliding:
         return True
 
 
-def _micros(c: str) -> Column:
-    return F.unix_micros(F.col(c))
-
-
 def _crowded(events: DataFrame, keys: Sequence[str], limit: int, window: int, anchored: bool) -> DataFrame:
     """One row per key and window-long slot: the stretch it belongs to and whether that must be walked."""
     slots = events.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
@@ -71,7 +68,7 @@ def _crowded(events: DataFrame, keys: Sequence[str], limit: int, window: int, an
 
 def _limited(events: DataFrame, keys: Sequence[str], order: str, limit: int, seconds: int, anchored: bool) -> DataFrame:
     window = seconds * MICROS
-    events = events.withColumn("_slot", F.floor(_micros("ts") / window))
+    events = events.withColumn("_slot", F.floor(micros("ts") / window))
     marked = events.join(_crowded(events, keys, limit, window, anchored), [*keys, "_slot"])
     quiet = marked.filter(~F.col("_walk")).withColumn("allowed", F.lit(True)).drop("_slot", "_stretch", "_walk")
     out_cols = quiet.columns
@@ -88,7 +85,7 @@ def _limited(events: DataFrame, keys: Sequence[str], order: str, limit: int, sec
                 verdicts.append(state.accept(int(row[-1])))
             yield pdf.assign(allowed=verdicts)[out_cols]
 
-    crowded = marked.filter("_walk").withColumn("_us", _micros("ts")).drop("_slot", "_walk")
+    crowded = marked.filter("_walk").withColumn("_us", micros("ts")).drop("_slot", "_walk")
     ordered = crowded.repartition(*group).sortWithinPartitions(*group, "_us", order)
     return quiet.unionByName(ordered.mapInPandas(walk, quiet.schema))
 
@@ -119,8 +116,13 @@ def sliding_limits(
     return _limited(events, keys, order, limit, seconds, anchored=False)
 
 
-def _limit_stream(events: DataFrame, key: str, order: str, limit: int, seconds: int, anchored: bool) -> DataFrame:
-    """Keyed state over a stream. The trigger's size bounds what one key brings per micro-batch."""
+def _limit_stream(
+    events: DataFrame, key: str, order: str, limit: int, seconds: int, anchored: bool, delay: str
+) -> DataFrame:
+    """Keyed state over a stream. The trigger's size bounds what one key brings per micro-batch.
+
+    State of a key that has been idle for two windows of event time is dropped.
+    """
     window = seconds * MICROS
 
     def step(key_values, batches, state: GroupState) -> Iterator[pd.DataFrame]:
@@ -136,23 +138,28 @@ def _limit_stream(events: DataFrame, key: str, order: str, limit: int, seconds:
         pdf = pd.concat(list(batches)).sort_values(["_us", order])
         allowed = [rule.accept(int(t)) for t in pdf["_us"]]
         state.update(([rule.start, rule.count] if anchored else rule.accepted,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(int(pdf["_us"].iloc[-1]) // 1000 + 2 * seconds * 1000)
         yield pd.DataFrame({key: key_values[0], order: pdf[order].to_numpy(), "allowed": allowed})
 
     kinds = dict(events.dtypes)
     return (
-        events.select(key, order, _micros("ts").alias("_us"))
+        events.withWatermark("ts", delay)
+        .select(key, order, "ts", micros("ts").alias("_us"))
         .groupBy(key)
         .applyInPandasWithState(
             step, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean", "marks array<bigint>",
-            "append", GroupStateTimeout.ProcessingTimeTimeout,
+            "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
 
 
-def daily_limit_stream(events: DataFrame, key: str, limit: int, order: str = "event_id", seconds: int = 86_400) -> DataFrame:
-    return _limit_stream(events, key, order, limit, seconds, anchored=True)
+def daily_limit_stream(
+    events: DataFrame, key: str, limit: int, order: str = "event_id", seconds: int = 86_400, delay: str = "1 day"
+) -> DataFrame:
+    return _limit_stream(events, key, order, limit, seconds, True, delay)
 
 
-def sliding_limit_stream(events: DataFrame, key: str, limit: int = 10, order: str = "event_id", seconds: int = 60) -> DataFrame:
-    return _limit_stream(events, key, order, limit, seconds, anchored=False)
+def sliding_limit_stream(
+    events: DataFrame, key: str, limit: int = 10, order: str = "event_id", seconds: int = 60, delay: str = "1 hour"
+) -> DataFrame:
+    return _limit_stream(events, key, order, limit, seconds, False, delay)
