@@ -106,7 +106,7 @@ view(
     "firm_answers",
     """SELECT k, lower(company_name) || '|' || lower(location) AS request_key,
        CASE WHEN k % 11 = 5 THEN NULL WHEN k % 7 = 2 THEN 0 ELSE 1 + k % 3 END AS n_results,
-       CASE WHEN k % 11 = 5 OR k % 7 = 2 THEN '' ELSE 'firm' || k || '-1.example.com' END AS candidate
+       CASE WHEN k % 11 = 5 OR k % 7 = 2 THEN '' ELSE 'firm' || k || '-1.com' END AS candidate
        FROM firms WHERE row_index % 3 = 0 AND k % 13 <> 4""",
     ("firms",),
 )
@@ -118,7 +118,7 @@ def firm_answers(spark: SparkSession, d: str) -> DataFrame:
         F.sequence(F.lit(1), (mod("k", 3) + 1).cast("int")),
         lambda i: F.struct(
             text("Firm ", ":k", " site ", i).alias("title"),
-            text("https://www.firm", ":k", "-", i, ".example.com/home?x=1").alias("link"),
+            text("https://www.firm", ":k", "-", i, ".com/home?x=1").alias("link"),
             text("about firm ", ":k").alias("snippet"),
         ),
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leadflow.catalog.base import case, div, firm_answers, firms, mod, query, table, text, view
 from leadflow.operators import discover, listing
+from leadflow.plans.stages import written
 
 # --- web search -----------------------------------------------------------------------------
 
@@ -26,7 +27,7 @@ def _flat_results(df):
 
 
 RESULT_TEXT = """array_to_string(list_transform(range(1, n_results + 1), lambda i: 'Firm ' || k || ' site ' || i ||
-    ' | https://www.firm' || k || '-' || i || '.example.com/home?x=1 | about firm ' || k || ' | firm' || k || '-' || i || '.example.com'), chr(10))"""
+    ' | https://www.firm' || k || '-' || i || '.com/home?x=1 | about firm ' || k || ' | firm' || k || '-' || i || '.com'), chr(10))"""
 
 
 @query(
@@ -559,7 +560,7 @@ view(
     ("numbered_articles",),
 )
 def news_batches(spark, d):
-    return discover.news_batches(discover.news_dedupe(articles(spark, d)), "pos")
+    return discover.news_batches(written(discover.news_dedupe(articles(spark, d)), "articles"), "pos")
 
 
 # one answer per order: unreadable, no list, or one to two entries about an article
@@ -621,7 +622,8 @@ view(
 
 
 def funded(spark, d):
-    numbered = discover.dense_index(discover.news_dedupe(articles(spark, d)), "pos", "item_index")
+    stored = written(discover.news_dedupe(articles(spark, d)), "articles")
+    numbered = discover.dense_index(stored, "pos", "item_index")
     return discover.funding_rounds(discover.parse_funding_responses(funding_answers(spark, d)), numbered)
 
 

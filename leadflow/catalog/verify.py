@@ -101,7 +101,7 @@ batches_view("intel_batches", "resolved", "raw_domain IS NOT NULL AND input_type
     "verify_batches",
     """SELECT batch_id, count(*) AS n_items, string_agg('- row_index=' || row_index || ' | company="' || company_name || '" | location="' || location ||
        '" | candidate_domain="' || raw_domain || '"' || array_to_string(list_transform(range(1, least(n_results, 3) + 1), lambda i:
-         chr(10) || '    result_' || i || ': domain="firm' || k || '-' || i || '.example.com" | title="Firm ' || k || ' site ' || i || '" | snippet="about firm ' || k || '"'), ''),
+         chr(10) || '    result_' || i || ': domain="firm' || k || '-' || i || '.com" | title="Firm ' || k || ' site ' || i || '" | snippet="about firm ' || k || '"'), ''),
        chr(10) ORDER BY row_index) AS items FROM item_batches GROUP BY batch_id""",
     ("item_batches",),
 )

@@ -30,7 +30,8 @@ def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, cap: int) -
 def dense_index(df: DataFrame, ordinal: str, name: str, buckets: int = 4096) -> DataFrame:
     """Number rows 0, 1, 2 ... by a unique integer ``ordinal`` without a one-task window.
 
-    Rows fall into at most ``buckets`` ranges of the ordinal; the start of each range is a running
+    The table is read three times (range of the ordinal, size of each range, numbering), so give it a
+    stored one. Rows fall into at most ``buckets`` ranges of the ordinal; the start of each range is a running
     sum over that small table, and the number inside a range is a window per range.
     """
     span = df.agg(F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi"))

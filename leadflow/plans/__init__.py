@@ -1 +1 @@
-"""The six tools as compositions of operators: one lazy plan per tool."""
+"""The six tools as compositions of operators; phases are written to the shared folder by default."""

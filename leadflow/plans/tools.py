@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadflow.functions.text import blank_to_null, filled
 from leadflow.operators import contacts, discover, domains, extract, ingest, pages, verify
-from leadflow.plans.stages import Providers, Stage, lazy
+from leadflow.plans.stages import Providers, Stage, written
 
 
 def _with_enrichment(rows: DataFrame, p: Providers, titles: Sequence[str], max_contacts: int, match_names: bool) -> DataFrame:
@@ -29,7 +29,7 @@ def search_rows(rows: DataFrame, search: DataFrame) -> DataFrame:
 
 
 def website_finder(
-    rows: DataFrame, p: Providers, titles: Sequence[str] = (), max_contacts: int = 1, stage: Stage = lazy
+    rows: DataFrame, p: Providers, titles: Sequence[str] = (), max_contacts: int = 1, stage: Stage = written
 ) -> DataFrame:
     """(row_index, company_name, location) to websites and contacts."""
     searched = stage(search_rows(rows, p.search), "searched")
@@ -51,7 +51,7 @@ def company_intel(
     titles: Sequence[str] = (),
     max_contacts: int = 3,
     people_mode: bool = False,
-    stage: Stage = lazy,
+    stage: Stage = written,
 ) -> DataFrame:
     """Rows with (row_index, input, input_type ...) through resolve, verify, crawl, extract and enrich."""
     for c in ("company_name", "location", "full_name", "linkedin_url"):
@@ -114,8 +114,8 @@ def people_intel(people: DataFrame, p: Providers, options: Sequence[str] = ("com
     return company_intel(ingest.seed_people_rows(people, found), p, options, people_mode=True, **kw)
 
 
-def funded_companies(articles: DataFrame, answers: DataFrame, ordinal: str) -> DataFrame:
+def funded_companies(articles: DataFrame, answers: DataFrame, ordinal: str, stage: Stage = written) -> DataFrame:
     """News articles and their extraction answers to one entry per company and round."""
-    numbered = discover.dense_index(discover.news_dedupe(articles), ordinal, "item_index")
+    numbered = discover.dense_index(stage(discover.news_dedupe(articles), "articles"), ordinal, "item_index")
     entries = discover.parse_funding_responses(answers)
     return discover.funding_dedupe(discover.funding_rounds(entries, numbered))
