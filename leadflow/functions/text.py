@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,6 +43,11 @@ def first_filled(*cs: str | Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cs], F.lit(""))
 
 
+def one_of(parts: list[str]) -> str:
+    """Pattern that finds any of the given literal texts."""
+    return "|".join(re.escape(p) for p in parts)
+
+
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds, F.lit(False))
 

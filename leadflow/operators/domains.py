@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
 from leadflow.functions.tables import first_per_key
-from leadflow.functions.text import any_of, bare_host, col, first_filled, host_of, or_blank, strip
+from leadflow.functions.text import bare_host, col, first_filled, host_of, one_of, or_blank, strip
 
 
 def public_suffixes() -> list[str]:
@@ -18,41 +18,39 @@ def public_suffixes() -> list[str]:
     return fixed.GENERIC_SUFFIXES + seconds
 
 
-def registered_domain(host: Column, suffixes: Iterable[str] | None = None) -> Column:
-    """One label plus the longest public suffix of ``host``; null when either is missing.
+def with_registered_domain(
+    df: DataFrame, host: Column, out: str, suffixes: Iterable[str] | None = None
+) -> DataFrame:
+    """Add ``out``: one label plus the longest public suffix of ``host``; null when either is missing.
 
-    A set test per tail length: no join and no shuffle, however long the suffix list is.
+    A set test per tail length: no join and no shuffle, however long the suffix list is. The host and
+    its tails are columns of their own, so each is computed once per row.
     """
     known = sorted(set(suffixes) if suffixes is not None else public_suffixes())
-    # user:password@ and :port never belong to the name
-    host = F.regexp_replace(host, r"^.*@", "")
-    host = F.regexp_replace(F.regexp_replace(host, r":.*$", ""), r"\.+$", "")
-    host = strip(host)
-    by_depth: dict[int, list[str]] = {}
+    by_depth: dict[int, list[str]] = {1: []}
     for s in known:
         by_depth.setdefault(s.count(".") + 1, []).append(s)
+    # user:password@, :port and closing dots never belong to the name
+    host = strip(F.regexp_replace(host, r"^.*@|:[^@]*$|\.+$", ""))
+    deepest = max(by_depth)
+    tails = {f"_tail{n}": F.substring_index("_host", ".", -n) for n in range(1, deepest + 2)}
     found = None
-    for depth in sorted(set(by_depth) | {1}, reverse=True):
-        tail = F.substring_index(host, ".", -depth)
+    for depth in range(deepest, 0, -1):
+        tail, whole = F.col(f"_tail{depth}"), F.col(f"_tail{depth + 1}")
         is_suffix = tail.isin(by_depth.get(depth, []))
         if depth == 1 and suffixes is None:
             is_suffix = is_suffix | tail.rlike(r"^[a-z]{2}$")
-        # the tail must be shorter than the host, or the label in front is missing
-        whole = F.substring_index(host, ".", -(depth + 1))
-        has_label = (F.length(whole) > F.length(tail)) & ~whole.startswith(".")
-        value = F.when(has_label, whole)
-        # a host that *is* a suffix has no registered domain: stop there
+        # a host that is a suffix itself has no label in front and stops here
+        value = F.when((F.length(whole) > F.length(tail)) & ~whole.startswith("."), whole)
         found = F.when(is_suffix, value) if found is None else found.when(is_suffix, value)
-    return found
-
-
-def clean_domain(url: str | Column, suffixes: Iterable[str] | None = None) -> Column:
-    return registered_domain(bare_host(url), suffixes)
+    return df.withColumn("_host", host).withColumns(tails).withColumn(out, found).drop("_host", *tails)
 
 
-def clean_domains(df: DataFrame, url_col: str, suffixes: Iterable[str] | None = None) -> DataFrame:
+def clean_domains(
+    df: DataFrame, url_col: str, suffixes: Iterable[str] | None = None, out: str = "domain"
+) -> DataFrame:
     """Add ``domain``: the registered domain of a raw URL or host, null when invalid."""
-    return df.withColumn("domain", clean_domain(url_col, suffixes))
+    return with_registered_domain(df, bare_host(url_col), out, suffixes)
 
 
 def is_blocked(domain: str | Column) -> Column:
@@ -64,10 +62,13 @@ def blocked_domains(df: DataFrame, domain_col: str = "domain") -> DataFrame:
     return df.withColumn("blocked", is_blocked(domain_col))
 
 
-def _outcome(df: DataFrame, url: Column, suffixes: Iterable[str] | None) -> DataFrame:
+def normalize_domains(
+    df: DataFrame, url_col: str, suffixes: Iterable[str] | None = None
+) -> DataFrame:
+    """Add ``domain``, ``blocked`` and ``error`` for a raw URL column."""
     return (
-        df.withColumn("_clean", clean_domain(url, suffixes))
-        .withColumn("_empty", strip(or_blank(url)) == "")
+        clean_domains(df, url_col, suffixes, "_clean")
+        .withColumn("_empty", strip(or_blank(url_col)) == "")
         .withColumn("blocked", ~F.col("_empty") & is_blocked("_clean"))
         .withColumn(
             "error",
@@ -80,13 +81,6 @@ def _outcome(df: DataFrame, url: Column, suffixes: Iterable[str] | None) -> Data
     )
 
 
-def normalize_domains(
-    df: DataFrame, url_col: str, suffixes: Iterable[str] | None = None
-) -> DataFrame:
-    """Add ``domain``, ``blocked`` and ``error`` for a raw URL column."""
-    return _outcome(df, F.col(url_col), suffixes)
-
-
 def normalize_with_redirects(
     rows: DataFrame, redirects: DataFrame, suffixes: Iterable[str] | None = None
 ) -> DataFrame:
@@ -95,14 +89,12 @@ def normalize_with_redirects(
     ``redirects(domain, final_url)`` holds one answer per domain; the target is checked again and
     may turn out blocked or invalid. A missing answer keeps the domain.
     """
-    plain = _outcome(
-        rows.select("row_index", first_filled("verified_domain", "raw_domain").alias("_raw")),
-        F.col("_raw"),
-        suffixes,
+    plain = normalize_domains(
+        rows.select("row_index", first_filled("verified_domain", "raw_domain").alias("_raw")), "_raw", suffixes
     ).drop("_raw")
+    answered = first_per_key(redirects.select("domain", "final_url"), ["domain"], ["final_url"])
     targets = (
-        first_per_key(redirects.select("domain", "final_url"), ["domain"], ["final_url"])
-        .withColumn("_target", clean_domain("final_url", suffixes))
+        clean_domains(answered, "final_url", suffixes, "_target")
         .filter(F.col("_target").isNotNull())
         .select("domain", "_target")
     )
@@ -156,36 +148,25 @@ def add_host(df: DataFrame, url_col: str) -> DataFrame:
 
 def antibot_domains(df: DataFrame, domain_col: str = "domain") -> DataFrame:
     """Add ``antibot``: the domain is a listed one or a subdomain of it."""
-    d = F.regexp_replace(F.lower(or_blank(domain_col)), r"^www\.", "")
-    listed = any_of([(d == a) | d.endswith(f".{a}") for a in fixed.ANTIBOT_DOMAINS])
-    return df.withColumn("antibot", listed)
+    return df.withColumn("antibot", is_antibot(domain_col))
+
+
+def is_antibot(domain: str | Column) -> Column:
+    return F.lower(or_blank(domain)).rlike(rf"^(?:.*\.)?(?:{one_of(fixed.ANTIBOT_DOMAINS)})$")
+
+
+# Address ranges that are not globally reachable.
+PRIVATE_ADDRESS = (
+    r"^(?:0|10|127)\.\d+\.\d+\.\d+$|^169\.254\.|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.0\.[02]\.|^192\.168\.|"
+    r"^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.|^(?:24\d|25[0-5])\.|"
+    r"^::1?$|^f[cd][0-9a-f]{2}:|^fe[89ab][0-9a-f]:|^2001:db8:"
+)
 
 
 def is_private_address(ip: str | Column) -> Column:
-    """Private, loopback or link-local IPv4 and IPv6 addresses."""
+    """Private, loopback or link-local IPv4 and IPv6 addresses; host names are none."""
     ip = F.lower(col(ip))
-    part = F.split(ip, r"\.")
-    v4 = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    number = sum(part.getItem(i).try_cast("long") * 256 ** (3 - i) for i in range(4))
-
-    def within(net: str, bits: int) -> Column:
-        a, b, c, d = (int(x) for x in net.split("."))
-        low = ((a * 256 + b) * 256 + c) * 256 + d
-        return number.between(low, low + 2 ** (32 - bits) - 1)
-
-    # Address ranges that are not globally reachable.
-    private_v4 = any_of(
-        [
-            within(net, bits)
-            for net, bits in [
-                ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16),
-                ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16),
-                ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
-            ]
-        ]
-    )
-    private_v6 = ip.rlike(r"^(::1?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:db8:)")
-    return F.when(v4, private_v4).when(ip.contains(":"), private_v6).otherwise(F.lit(False))
+    return F.coalesce(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$|:") & ip.rlike(PRIVATE_ADDRESS), F.lit(False))
 
 
 def url_hostname(url: str | Column) -> Column:

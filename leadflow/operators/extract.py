@@ -83,24 +83,22 @@ def merge_extractions(rows: DataFrame, intel: DataFrame) -> DataFrame:
         F.col("domain").alias("raw_domain"), F.col("intel").alias("_new"), F.col("present").alias("_keys")
     )
     joined = rows.join(answer, "raw_domain", "left")
-    for f in INTEL_FIELDS:
-        joined = joined.withColumn(
-            f, F.when(F.array_contains("_keys", f), F.col(f"_new.{f}")).otherwise(F.col(f))
-        )
+    merged = {
+        f: F.when(F.array_contains("_keys", f), F.col(f"_new.{f}")).otherwise(F.col(f)) for f in INTEL_FIELDS
+    }
     read = (F.col("status") == "crawled") & filled("raw_domain")
-    return joined.withColumn(
-        "normalized_domain", F.when(read, F.col("raw_domain")).otherwise(F.col("normalized_domain"))
-    ).drop("_new", "_keys")
+    merged["normalized_domain"] = F.when(read, F.col("raw_domain")).otherwise(F.col("normalized_domain"))
+    return joined.withColumns(merged).drop("_new", "_keys")
 
 
 def with_intel_columns(rows: DataFrame) -> DataFrame:
     """Add the intel fields a row does not have yet, empty."""
-    for f in INTEL_FIELDS:
-        if f not in rows.columns:
-            kind = {"case_studies": "array<string>", "general_emails": "array<string>",
-                    "website_contacts": "array<struct<name:string,title:string>>"}.get(f, "string")
-            rows = rows.withColumn(f, F.lit(None).cast(kind))
-    return rows
+    kinds = {
+        "case_studies": "array<string>", "general_emails": "array<string>",
+        "website_contacts": "array<struct<name:string,title:string>>",
+    }
+    missing = {f: F.lit(None).cast(kinds.get(f, "string")) for f in INTEL_FIELDS if f not in rows.columns}
+    return rows.withColumns(missing) if missing else rows
 
 
 def _any(fields: list[str], blank_counts: bool) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
 from leadflow.functions.text import bare_host, blank_to_null, filled, first_filled, or_blank, strip
-from leadflow.operators.domains import registered_domain
+from leadflow.operators.domains import with_registered_domain
 
 # Header patterns, most specific first.
 COMPANY_HEADERS = [
@@ -143,17 +143,16 @@ def people_line_errors(parsed: DataFrame) -> DataFrame:
     )
 
 
-def line_type(line: str | Column) -> Column:
-    """'url' for http(s) lines and lines with a registered domain, else 'name'."""
-    text = F.lower(strip(or_blank(line)))
-    host = F.regexp_extract(F.regexp_replace(text, r"^(?:[a-z][a-z0-9+.\-]*:)?//", ""), r"^[^/?#]*", 0)
-    http = text.startswith("http://") | text.startswith("https://")
-    return F.when(http | registered_domain(host).isNotNull(), "url").otherwise("name")
-
-
 def classify_inputs(df: DataFrame, line_col: str = "line") -> DataFrame:
-    """Add the trimmed ``input`` and its ``input_type``."""
-    return df.withColumn("input", strip(or_blank(line_col))).withColumn("input_type", line_type("input"))
+    """Add the trimmed ``input`` and its ``input_type``.
+
+    'url' for http(s) lines and lines with a registered domain, else 'name'.
+    """
+    df = df.withColumn("input", strip(or_blank(line_col)))
+    rest = F.regexp_replace(F.lower("input"), r"^(?:[a-z][a-z0-9+.\-]*:)?//", "")
+    df = with_registered_domain(df, F.regexp_extract(rest, r"^[^/?#]*", 0), "_domain")
+    url = F.lower("input").rlike("^https?://") | F.col("_domain").isNotNull()
+    return df.withColumn("input_type", F.when(url, "url").otherwise("name")).drop("_domain")
 
 
 def loose_line_type(line: str | Column) -> Column:

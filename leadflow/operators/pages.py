@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from leadflow.functions import fixed
 from leadflow.functions.html import read_page
 from leadflow.functions.tables import cap_per_key, first_per_key
-from leadflow.functions.text import any_of, col, filled, or_blank, strip
+from leadflow.functions.text import any_of, col, filled, one_of, or_blank, strip
+from leadflow.operators.domains import is_antibot
 
 SKIPPED_TAGS = ["script", "style", "nav", "footer", "header", "noscript", "svg"]
 # Entities that the fast path decodes itself; & comes last.
@@ -169,7 +170,7 @@ def page_links(pages: DataFrame, key: str = "page_id", site_col: str = "site", h
     kept = parts.filter(
         ((host == F.col("site")) | (host == F.concat(F.lit("www."), "site")))
         & (F.col("path") != "")
-        & ~any_of([F.col("path").endswith(e) for e in fixed.SKIPPED_FILES])
+        & ~F.col("path").rlike(rf"(?:{one_of(fixed.SKIPPED_FILES)})$")
     )
     scheme = F.lower(F.regexp_extract("_url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
     return first_per_key(
@@ -216,8 +217,7 @@ def choose_fetch_pass(
     pass that was tried wins, even when shorter; a failed first pass fails the site. Listed anti-bot
     sites only use the last pass.
     """
-    d = F.regexp_replace(F.lower("domain"), r"^www\.", "")
-    antibot = any_of([(d == a) | d.endswith(f".{a}") for a in fixed.ANTIBOT_DOMAINS]) & F.lit(has_key)
+    antibot = is_antibot("domain") & F.lit(has_key)
     # only lengths are grouped; the page itself is joined back once
     size = lambda n: F.max(F.when((F.col("pass") == n) & F.col("ok"), F.length("text"))).alias(f"_len{n}")
     sizes = attempts.groupBy("domain").agg(size(1), size(2), size(3))
