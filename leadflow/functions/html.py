@@ -68,6 +68,9 @@ class _Builder(HTMLParser):
                 del self.open[i:]
                 return
 
+    def handle_comment(self, data):
+        self.open[-1].children.append(Node("#comment"))  # parts the text around it
+
     def handle_data(self, data):
         # adjoining pieces of text are one string
         last = self.open[-1].children[-1] if self.open[-1].children else None

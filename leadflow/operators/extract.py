@@ -19,6 +19,7 @@ INTEL_FIELDS = [
 STATUS_FIELDS = ["industry", "niche", "description", "target_market", "case_studies"]
 FLAG_FIELDS = [*STATUS_FIELDS, "homepage_raw_text"]
 
+_BETWEEN = "\n\n---\n\n"
 # "[Page: ]" with its line break and the separator: no page takes less room than this
 _LEAST_PER_PAGE = 16
 
@@ -33,17 +34,18 @@ def site_documents(pages: DataFrame, cap: int = fixed.MAX_DOCUMENT_CHARS) -> Dat
     blocks = pages.select("domain", "ordinal", "url", block.alias("_block"))
     totals = blocks.groupBy("domain").agg(
         F.count(F.lit(1)).alias("n_pages"),
-        (F.sum(F.length("_block")) + (F.count(F.lit(1)) - 1) * 7).alias("_chars"),
+        (F.sum(F.length("_block")) + (F.count(F.lit(1)) - 1) * len(_BETWEEN)).alias("_chars"),
     )
     shown = cap_per_key(blocks, ["domain"], ["ordinal"], cap // _LEAST_PER_PAGE)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "url", "_block")))
     docs = shown.groupBy("domain").agg(ordered.alias("_pages"))
-    joined = F.array_join(F.transform("_pages", lambda p: p["_block"]), "\n\n---\n\n")
+    joined = F.array_join(F.transform("_pages", lambda p: p["_block"]), _BETWEEN)
+    more = F.when(F.col("n_pages") > F.size("_pages"), _BETWEEN).otherwise("")
     return docs.join(totals, "domain").select(
         "domain",
         "n_pages",
         F.transform("_pages", lambda p: p["url"]).alias("page_urls"),
-        F.when(F.col("_chars") > cap, F.concat(F.substring(joined, 1, cap), F.lit(fixed.TRUNCATION_MARK)))
+        F.when(F.col("_chars") > cap, F.concat(F.substring(F.concat(joined, more), 1, cap), F.lit(fixed.TRUNCATION_MARK)))
         .otherwise(joined)
         .alias("document"),
     )

@@ -151,9 +151,9 @@ def _read(pages: DataFrame) -> DataFrame:
                 cards = _cards(page)
                 found = [p for p in map(_product, cards) if p]
                 base = {"category": category, "page": page_no, "page_count": _page_count(page), "n_cards": len(cards)}
-                out.append({**base, "pos": -1})
-                out += [{**base, "pos": i, **p} for i, p in enumerate(found)]
-            yield pd.DataFrame(out, columns=columns).astype({"review_count": "Int64"})
+                lines = [{**base, "pos": -1}, *({**base, "pos": i, **p} for i, p in enumerate(found))]
+                out += [[line.get(c) for c in columns] for line in lines]
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
     schema = "category string, page int, " + PRODUCT_SCHEMA
     columns = ["category", "page", "pos", "name", "slug", "g2_url", "website", "rating", "review_count", "page_count", "n_cards"]

@@ -22,6 +22,7 @@ ENTITIES = {
 }
 _TAG = r"<(?:/?[a-zA-Z]|!)[^>]*>"
 _BREAK = "\x01"
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 
 
 def decode_entities(c: Column) -> Column:
@@ -31,11 +32,11 @@ def decode_entities(c: Column) -> Column:
 
 
 def without_blocks(html: str | Column, tags: Sequence[str]) -> Column:
-    """Page source without comments and without the named elements."""
-    c = F.regexp_replace(or_blank(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    """Page source with a break in place of comments and of the named elements."""
+    c = F.regexp_replace(or_blank(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", _BREAK)
+    c = F.regexp_replace(c, r"(?s)<!--.*?-->", _BREAK)
     rest = "|".join(t for t in tags if t not in ("script", "style"))
-    return F.regexp_replace(c, rf"(?is)<({rest})\b[^>]*>.*?</\1\s*>", "") if rest else c
+    return F.regexp_replace(c, rf"(?is)<({rest})\b[^>]*>.*?</\1\s*>", _BREAK) if rest else c
 
 
 def tidy_text(text: Column, limit: int) -> Column:
@@ -144,7 +145,7 @@ def resolved_link(href: Column, site: Column) -> Column:
     joined = F.concat(F.array_join(walked, "/"), closing)
     full = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
     return (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
+        F.when(href.rlike(_SCHEME), F.concat(F.lower(F.regexp_extract(href, _SCHEME, 0)), F.regexp_replace(href, _SCHEME, "")))
         .when(href.startswith("//"), F.concat(F.lit("https:"), href))
         .when(path == "", F.concat(base, tail))
         .otherwise(F.concat(base, full, tail))
@@ -157,7 +158,10 @@ def page_links(pages: DataFrame, key: str = "page_id", site_col: str = "site", h
     hrefs = F.regexp_extract_all(
         source, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1)
     )
-    links = pages.select(key, F.col(site_col).alias("site"), F.posexplode(hrefs).alias("ordinal", "_href"))
+    # the outer form keeps Spark from searching the page again for an inferred filter
+    links = pages.select(
+        key, F.col(site_col).alias("site"), F.posexplode_outer(hrefs).alias("ordinal", "_href")
+    ).filter(F.col("ordinal").isNotNull())
     href = F.regexp_replace(strip(decode_entities(F.regexp_replace("_href", r"""^["']|["']$""", ""))), r"[\t\r\n]", "")
     parts = (
         links.withColumn("_href", href)

@@ -152,8 +152,8 @@ def parse_verdicts(batches: DataFrame, resp: DataFrame) -> DataFrame:
         .select("batch_id", F.when(F.forall("_e", lambda e: e["good"]), F.col("_e")).alias("_e"))
     )
     parsed = (
-        answered.filter(F.col("_e").isNotNull())
-        .select("batch_id", F.explode("_e").alias("e"))
+        answered.select("batch_id", F.explode_outer("_e").alias("e"))
+        .filter(F.col("e").isNotNull())
         .select(*[F.col(f"e.{c}").alias(c) for c in verdict_columns()])
     )
     usable = answered.filter(F.col("_e").isNotNull()).select("batch_id").distinct()
