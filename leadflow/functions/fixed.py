@@ -158,6 +158,9 @@ PREVIEW_LABELS = {
     "scrape_failed": "Scrape Failed", "g2_scraped": "G2 Scraped",
 }
 
+# Fixed value: reason of a verdict that could not be had.
+FAILED_VERDICT = "LLM call failed or response could not be parsed."
+
 # Limits of the jobs.
 MAX_ROWS = 100_000
 MAX_TEXT_PER_PAGE = 8_000

@@ -8,19 +8,23 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "text")
+    __slots__ = ("tag", "attrs", "children", "text", "_below")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, text: str = ""):
         self.tag, self.attrs, self.text = tag, attrs or {}, text
         self.children: list[Node] = []
-
-    def walk(self):
-        """All nodes below this one in page order, without recursion."""
-        stack = list(reversed(self.children))
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(reversed(node.children))
+        self._below: list[Node] | None = None
+
+    def elements(self) -> list[Node]:
+        """All elements below this one in page order, walked once."""
+        if self._below is None:
+            self._below, stack = [], self.children[::-1]
+            while stack:
+                node = stack.pop()
+                if node.tag[0] != "#":
+                    self._below.append(node)
+                    stack.extend(node.children[::-1])
+        return self._below
 
     def strings(self, skip: frozenset[str] = frozenset()) -> list[str]:
         """Trimmed non-empty texts in page order, leaving out whole elements named in ``skip``."""
@@ -36,10 +40,10 @@ class Node:
         return out
 
     def find(self, test) -> Node | None:
-        return next((n for n in self.walk() if n.tag != "#text" and test(n)), None)
+        return next((n for n in self.elements() if test(n)), None)
 
     def find_all(self, test) -> list[Node]:
-        return [n for n in self.walk() if n.tag != "#text" and test(n)]
+        return [n for n in self.elements() if test(n)]
 
     def has_class(self, name: str) -> bool:
         return name in (self.attrs.get("class") or "").split()

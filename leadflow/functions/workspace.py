@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="leadflow-")
+
+
 def workspace(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
     The cluster names that folder. Only a session without the setting (a test on one machine) gets a
     temporary one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="leadflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

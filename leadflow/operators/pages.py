@@ -268,15 +268,21 @@ def crawl_targets(rows: DataFrame, have: DataFrame, options: Sequence[str]) -> D
     return wanted.join(have.select("domain"), "domain", "left_anti")
 
 
-def site_digest(pages: DataFrame) -> DataFrame:
-    """Homepage text and generic mailboxes per domain (a site has at most a handful of pages)."""
-    per_page = pages.select("domain", "ordinal", "url", "text", generic_mailboxes("text").alias("_m"))
-    home = F.col("url") == F.concat(F.lit("https://"), "domain")
-    ordered = F.array_sort(F.collect_list(F.when(F.size("_m") > 0, F.struct("ordinal", "_m"))))
-    return per_page.groupBy("domain").agg(
-        F.max(F.when(home, F.col("text"))).alias("homepage_text"),
-        F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["_m"]))).alias("general_emails"),
-    )
+def site_mailboxes(pages: DataFrame) -> DataFrame:
+    """Distinct generic mailboxes per domain, in order of appearance over its pages."""
+    found = pages.select(
+        "domain", "ordinal", F.posexplode_outer(generic_mailboxes("text")).alias("_pos", "_mail")
+    ).filter(F.col("_mail").isNotNull())
+    # duplicates fold on the map side, only the addresses of the result are gathered
+    first = found.groupBy("domain", "_mail").agg(F.min(F.struct("ordinal", "_pos")).alias("_at"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_mail")))
+    return first.groupBy("domain").agg(F.transform(ordered, lambda x: x["_mail"]).alias("general_emails"))
+
+
+def site_homepages(pages: DataFrame) -> DataFrame:
+    """Text of the page whose address is exactly the domain's root."""
+    home = pages.filter(F.col("url") == F.concat(F.lit("https://"), "domain"))
+    return first_per_key(home.select("domain", "ordinal", F.col("text").alias("homepage_text")), ["domain"], ["ordinal"])
 
 
 def apply_crawl(rows: DataFrame, crawled: DataFrame, pages: DataFrame, options: Sequence[str]) -> DataFrame:
@@ -287,15 +293,15 @@ def apply_crawl(rows: DataFrame, crawled: DataFrame, pages: DataFrame, options:
     has = filled("raw_domain")
     if not needs_crawl(options):
         return rows.withColumn("status", F.when(has, "crawled").otherwise("not_found"))
-    digest = crawled.select("domain").distinct().join(site_digest(pages), "domain", "left").select(
-        F.col("domain").alias("raw_domain"), "homepage_text", "general_emails", F.lit(True).alias("_crawled")
-    )
-    done = F.coalesce("_crawled", F.lit(False))
-    raw_text = F.when(done, or_blank("homepage_text")) if "homepage_raw_text" in options else F.lit(None).cast("string")
+    digest = crawled.select("domain").distinct().join(site_mailboxes(pages), "domain", "left")
+    raw_text = F.lit(None).cast("string")
+    if "homepage_raw_text" in options:
+        digest = digest.join(site_homepages(pages).drop("ordinal"), "domain", "left")
+        raw_text = F.when(F.col("_crawled"), or_blank("homepage_text"))
+    digest = digest.withColumn("_crawled", F.lit(True)).withColumnRenamed("domain", "raw_domain")
+    status = F.when(~has, "not_found").when(F.col("_crawled"), "crawled").otherwise("scrape_failed")
     return (
         rows.join(digest, "raw_domain", "left")
-        .withColumn("status", F.when(~has, "not_found").when(done, "crawled").otherwise("scrape_failed"))
-        .withColumn("homepage_raw_text", raw_text)
-        .withColumn("general_emails", F.when(F.size("general_emails") > 0, F.col("general_emails")))
+        .withColumns({"status": status, "homepage_raw_text": raw_text})
         .drop("homepage_text", "_crawled")
     )

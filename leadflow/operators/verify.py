@@ -161,7 +161,7 @@ def parse_verdicts(batches: DataFrame, resp: DataFrame) -> DataFrame:
         F.col("row_index").cast("long").alias("row_index"),
         F.lit(False).alias("match"),
         F.lit(0.0).alias("confidence"),
-        F.lit("LLM call failed or response could not be parsed.").alias("reason"),
+        F.lit(fixed.FAILED_VERDICT).alias("reason"),
         F.lit(None).cast("string").alias("suggested_domain"),
         F.lit(True).alias("errored"),
     )
