@@ -93,41 +93,41 @@ def verdict_columns() -> list[str]:
     return ["row_index", "match", "confidence", "reason", "suggested_domain", "errored"]
 
 
-def _verdict_cells(entry: Column) -> Column:
-    """Typed cells of one answer entry; ``good`` is false when a key is missing or a number unreadable."""
-    def cell(key: str) -> tuple[Column, Column]:
-        kind = F.schema_of_variant(F.try_variant_get(entry, f"$.{key}", "variant"))
-        return F.try_variant_get(entry, f"$.{key}", "string"), kind
-
-    row, row_kind = cell("row_index")
-    conf, conf_kind = cell("confidence")
-    match, match_kind = cell("match")
-    reason, reason_kind = cell("reason")
-    as_flag = F.when(row == "true", 1).otherwise(0)
+def _answer_cells(entry: Column) -> Column:
+    """Text and kind of every cell of one answer entry; the kind of a missing key is null."""
+    def kind(key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(entry, f"$.{key}", "variant"))
+
+    keys = ("row_index", "match", "confidence", "reason")
+    texts = [F.try_variant_get(entry, f"$.{k}", "string").alias(k) for k in (*keys, "suggested_domain")]
+    return F.struct(*texts, *[kind(k).alias(f"{k}_kind") for k in keys])
+
+
+def _verdict_cells(e: Column) -> Column:
+    """Typed cells of one entry; ``good`` is false when a key is missing or a number unreadable."""
+    row, conf, match = e["row_index"], e["confidence"], e["match"]
     # a quoted number must be whole, a bare one is cut to a whole number
     row_index = (
-        F.when(row_kind == "BOOLEAN", as_flag)
-        .when(row_kind == "STRING", F.trim(row).try_cast("long"))
+        F.when(e["row_index_kind"] == "BOOLEAN", F.when(row == "true", 1).otherwise(0))
+        .when(e["row_index_kind"] == "STRING", F.trim(row).try_cast("long"))
         .otherwise(row.try_cast("double").try_cast("long"))
     )
-    confidence = F.when(conf_kind == "BOOLEAN", F.when(conf == "true", 1.0).otherwise(0.0)).otherwise(
+    confidence = F.when(e["confidence_kind"] == "BOOLEAN", F.when(conf == "true", 1.0).otherwise(0.0)).otherwise(
         F.trim(conf).try_cast("double")
     )
-    empty = match_kind.isin("VOID", "ARRAY<VOID>", "OBJECT<>") | (
-        (match_kind != "STRING") & match.try_cast("double").eqNullSafe(F.lit(0.0))
-    )
-    matched = ~(empty | F.coalesce(match.isin("false", ""), F.lit(False)))
-    quoted_false = (match_kind == "STRING") & (match == "false")
+    # false, null, zero and everything empty count as no match; any other text is a match
+    quoted = e["match_kind"] == "STRING"
+    bare_no = match.isNull() | (match == "false") | match.try_cast("double").eqNullSafe(F.lit(0.0))
+    matched = F.when(quoted, match != "").otherwise(~bare_no & ~e["match_kind"].isin("ARRAY<VOID>", "OBJECT<>"))
+    complete = e["match_kind"].isNotNull() & e["reason_kind"].isNotNull()
     return F.struct(
         row_index.cast("long").alias("row_index"),
-        F.coalesce(matched | quoted_false, F.lit(False)).alias("match"),
+        F.coalesce(matched, F.lit(False)).alias("match"),
         confidence.alias("confidence"),
-        F.coalesce(reason, F.lit("None")).alias("reason"),
-        blank_to_null(F.try_variant_get(entry, "$.suggested_domain", "string")).alias("suggested_domain"),
+        F.coalesce(e["reason"], F.lit("None")).alias("reason"),
+        blank_to_null(e["suggested_domain"]).alias("suggested_domain"),
         F.lit(False).alias("errored"),
-        (
-            row_index.isNotNull() & confidence.isNotNull() & match_kind.isNotNull() & reason_kind.isNotNull()
-        ).alias("good"),
+        (row_index.isNotNull() & confidence.isNotNull() & complete).alias("good"),
     )
 
 
@@ -148,7 +148,7 @@ def parse_verdicts(batches: DataFrame, resp: DataFrame) -> DataFrame:
             "batch_id",
             F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), wrapped).alias("_e"),
         )
-        .select("batch_id", F.transform("_e", _verdict_cells).alias("_e"))
+        .select("batch_id", F.transform(F.transform("_e", _answer_cells), _verdict_cells).alias("_e"))
         .select("batch_id", F.when(F.forall("_e", lambda e: e["good"]), F.col("_e")).alias("_e"))
     )
     parsed = (

@@ -54,9 +54,10 @@ def company_intel(
     stage: Stage = written,
 ) -> DataFrame:
     """Rows with (row_index, input, input_type ...) through resolve, verify, crawl, extract and enrich."""
-    for c in ("company_name", "location", "full_name", "linkedin_url"):
-        if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit("").cast("string"))
+    names_persons = "full_name" in rows.columns
+    missing = [c for c in ("company_name", "location", "full_name", "linkedin_url") if c not in rows.columns]
+    if missing:
+        rows = rows.withColumns({c: F.lit("") for c in missing})
     names = rows.filter(F.coalesce(F.col("input_type") != "url", F.lit(True))).select(
         "row_index", F.col("input").alias("company_name"), "location"
     )
@@ -79,7 +80,7 @@ def company_intel(
     if "company_people" not in options or p.directory is None:
         return done.withColumn("contacts", F.lit(None).cast(f"array<{contacts.schemas.CONTACT}>"))
     if not people_mode:
-        return _with_enrichment(done, p, titles, max_contacts, match_names=True)
+        return _with_enrichment(done, p, titles, max_contacts, match_names=names_persons)
     people = done.select(
         "row_index", "full_name", F.coalesce(blank_to_null("normalized_domain"), "raw_domain").alias("domain"), "linkedin_url"
     )
