@@ -153,32 +153,43 @@ def resolved_link(href: Column, site: Column) -> Column:
 
 
 def page_links(pages: DataFrame, key: str = "page_id", site_col: str = "site", html_col: str = "html") -> DataFrame:
-    """Links of each page to its own site: (key, site, ordinal, path, url), one per path, first wins."""
-    source = without_blocks(html_col, ["script", "style"])
+    """Links of each page to its own site: (key, site, ordinal, path, url), one per path, first wins.
+
+    Links are read, resolved and sorted out inside the page's own array, step by step: a filter behind an
+    explode would be pushed in front of it with every step spelled out again.
+    """
+    site = F.col("site")
     hrefs = F.regexp_extract_all(
-        source, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1)
-    )
-    # the outer form keeps Spark from searching the page again for an inferred filter
-    links = pages.select(
-        key, F.col(site_col).alias("site"), F.posexplode_outer(hrefs).alias("ordinal", "_href")
-    ).filter(F.col("ordinal").isNotNull())
-    href = F.regexp_replace(strip(decode_entities(F.regexp_replace("_href", r"""^["']|["']$""", ""))), r"[\t\r\n]", "")
-    parts = (
-        links.withColumn("_href", href)
-        .withColumn("_url", resolved_link(F.col("_href"), F.col("site")))
-        .withColumn("_netloc", F.regexp_extract("_url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
-        .withColumn("_path", F.regexp_replace(F.regexp_extract("_url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1), r";[^/]*$", ""))
-        .withColumn("path", F.regexp_replace("_path", r"/+$", ""))
-    )
-    host = F.regexp_replace("_netloc", r"^www\.", "")
-    kept = parts.filter(
-        ((host == F.col("site")) | (host == F.concat(F.lit("www."), "site")))
-        & (F.col("path") != "")
-        & ~F.col("path").rlike(rf"(?:{one_of(fixed.SKIPPED_FILES)})$")
+        without_blocks("_html", ["script", "style"]), F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1)
     )
-    scheme = F.lower(F.regexp_extract("_url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
+
+    def cleaned(href: Column) -> Column:
+        bare = F.regexp_replace(href, r"""^["']|["']$""", "")
+        return F.regexp_replace(strip(decode_entities(bare)), r"[\t\r\n]", "")
+
+    def parts(url: Column, i: Column) -> Column:
+        after = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^?#]*)", 1)
+        return F.struct(
+            i.alias("ordinal"),
+            F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://)", 1).alias("scheme"),
+            F.regexp_extract(after, r"^[^/]*", 0).alias("netloc"),
+            F.regexp_replace(F.regexp_extract(after, r"^[^/]*(.*)$", 1), r";[^/]*$", "").alias("path"),
+        )
+
+    def kept(link: Column) -> Column:
+        host = F.regexp_replace(link["netloc"], r"^www\.", "")
+        page = link["path"].rlike(r"[^/]") & ~link["path"].rlike(rf"(?:{one_of(fixed.SKIPPED_FILES)})/*$")
+        return ((host == site) | (host == F.concat(F.lit("www."), site))) & page
+
+    resolved = F.transform(F.transform(hrefs, cleaned), lambda h: resolved_link(h, site))
+    found = F.filter(F.transform(resolved, parts), kept)
+    named = pages.select(key, F.col(site_col).alias("site"), F.col(html_col).alias("_html"))
+    links = named.select(key, "site", F.explode_outer(found).alias("l")).filter(F.col("l").isNotNull())
     return first_per_key(
-        kept.select(key, "site", "path", "ordinal", F.concat(scheme, F.lit("://"), "_netloc", "_path").alias("url")),
+        links.select(
+            key, "site", F.regexp_replace("l.path", r"/+$", "").alias("path"), "l.ordinal",
+            F.concat("l.scheme", "l.netloc", "l.path").alias("url"),
+        ),
         [key, "site", "path"],
         ["ordinal"],
     )
