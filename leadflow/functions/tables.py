@@ -27,6 +27,18 @@ def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, cap: int) -
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= cap).drop("_rank")
 
 
+def look_up(rows: DataFrame, answers: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Join rows to answers that have one row per key, so that a hot key (or null) is split over tasks.
+
+    Adaptive execution only splits a skewed side when both sides come straight from a shuffle. Answers
+    that were just grouped by the key would be joined in place; the hash as a second join column makes
+    Spark shuffle them once more, which is cheap next to the rows.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    guarded = [df.withColumn("_guard", F.xxhash64(*keys)) for df in (rows, answers)]
+    return guarded[0].join(guarded[1], [*keys, "_guard"], how).drop("_guard")
+
+
 def dense_index(df: DataFrame, ordinal: str, name: str, buckets: int = 4096) -> DataFrame:
     """Number rows 0, 1, 2 ... by a unique integer ``ordinal`` without a one-task window.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
-from leadflow.functions.tables import first_per_key
+from leadflow.functions.tables import first_per_key, look_up
 from leadflow.functions.text import bare_host, col, first_filled, host_of, one_of, or_blank, strip
 
 
@@ -98,7 +98,7 @@ def normalize_with_redirects(
         .filter(F.col("_target").isNotNull())
         .select("domain", "_target")
     )
-    joined = plain.join(targets, "domain", "left")
+    joined = look_up(plain, targets, "domain")
     moved = F.col("_target").isNotNull()
     blocked = moved & is_blocked("_target")
     return joined.select(

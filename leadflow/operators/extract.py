@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadflow import schemas
 from leadflow.functions import fixed
-from leadflow.functions.tables import cap_per_key
+from leadflow.functions.tables import cap_per_key, look_up
 from leadflow.functions.text import filled, or_blank, strip
 
 TEXT_FIELDS = ["industry", "niche", "description", "address", "phone", "target_market", "homepage_raw_text"]
@@ -84,7 +84,7 @@ def merge_extractions(rows: DataFrame, intel: DataFrame) -> DataFrame:
     answer = intel.select(
         F.col("domain").alias("raw_domain"), F.col("intel").alias("_new"), F.col("present").alias("_keys")
     )
-    joined = rows.join(answer, "raw_domain", "left")
+    joined = look_up(rows, answer, "raw_domain")
     merged = {
         f: F.when(F.array_contains("_keys", f), F.col(f"_new.{f}")).otherwise(F.col(f)) for f in INTEL_FIELDS
     }

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadflow.functions.tables import look_up
 from leadflow.functions.text import micros, or_blank
 
 DAY = 86_400
@@ -46,7 +47,7 @@ def live_entries(cache: DataFrame, now: Column) -> DataFrame:
 def cache_hits(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """Requests with a fresh answer. Entries written after ``now`` do not exist yet."""
     known = live_entries(cache.filter(F.col("written_at") <= now), now)
-    return requests.join(known, "cache_key")
+    return look_up(requests, known, "cache_key", "inner")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:

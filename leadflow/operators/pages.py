@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
 from leadflow.functions.html import read_page
-from leadflow.functions.tables import cap_per_key, first_per_key
+from leadflow.functions.tables import cap_per_key, first_per_key, look_up
 from leadflow.functions.text import any_of, col, filled, one_of, or_blank, strip
 from leadflow.operators.domains import is_antibot
 
@@ -312,7 +312,7 @@ def apply_crawl(rows: DataFrame, crawled: DataFrame, pages: DataFrame, options:
     digest = digest.withColumn("_crawled", F.lit(True)).withColumnRenamed("domain", "raw_domain")
     status = F.when(~has, "not_found").when(F.col("_crawled"), "crawled").otherwise("scrape_failed")
     return (
-        rows.join(digest, "raw_domain", "left")
+        look_up(rows, digest, "raw_domain")
         .withColumns({"status": status, "homepage_raw_text": raw_text})
         .drop("homepage_text", "_crawled")
     )
