@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="leadflow-")
+def shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, else the session's warehouse.
 
+    A warehouse on one machine's own disk is refused on a cluster: executors would each write to their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    root = spark.conf.get("spark.sql.warehouse.dir")
+    master = spark.conf.get("spark.master", "")
+    one_machine = root.startswith("file:") or "://" not in root
+    if one_machine and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{root} is a folder of one machine; set spark.checkpoint.dir to a shared folder")
+    return root
 
-def workspace(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``.
 
-    The cluster names that folder. Only a session without the setting (a test on one machine) gets a
-    temporary one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
