@@ -37,3 +37,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.decontam import find_passages
+
+    found = find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.col("passages")
+    return found.select(
+        "doc_id", hit["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"),
+        F.size(hit["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"), (hit["n_hit"] > 0).alias("contaminated"),
+    )
