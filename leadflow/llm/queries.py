@@ -50,3 +50,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(hit["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"), (hit["n_hit"] > 0).alias("contaminated"),
     )
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.tokens import count_tokens
+
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(text).cast("long").alias("n_bytes"))
+    counts = count_tokens(docs, _tokenizer("piece_bpe_32k.model"), keep=("doc_id", "n_bytes"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
