@@ -23,6 +23,8 @@ from leadflow.llm.common import process_cache, slices
 
 _SLICE_CHARS = 2_000_000
 _CACHED_WORDS = 200_000
+_CACHED_STEMS = 400_000
+_TAIL = ".,!?;:()[]{}\"'*$%&#|-"
 #: str.split() takes these as blanks, the tokenizer does not
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -80,11 +82,34 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[list[int]]:
     return windows
 
 
+class _Recent:
+    """Ids of recent strings, as bytes: two generations of a dict, so that memory is bounded and common ones stay."""
+
+    def __init__(self, limit: int, encode):
+        self.limit, self.encode = limit, encode
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, strings: list[str]) -> dict[str, bytes]:
+        """A dict that has all of ``strings``."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        missing = set(strings).difference(self.young)
+        kept = self.old.keys() & missing
+        for s in kept:
+            self.young[s] = self.old[s]
+        missing -= kept
+        if missing:
+            self.young.update(self.encode(list(missing)))
+        return self.young
+
+
 class _Words:
     """Token ids of whole texts by way of their words.
 
     The tokenizer drops blanks and never merges over them, so a text's ids are its words' ids in order; each
     distinct word is encoded once. Special strings hold no blank and are met inside words as in whole texts.
+    It also splits letters from what follows, so a word of letters and a tail of signs is encoded as both.
     """
 
     def __init__(self, path: str):
@@ -92,19 +117,45 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        size = self.tokenizer.get_vocab_size()
+        #: tokens that end a run of letters, digits or signs
+        self.final = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.words = _Recent(_CACHED_WORDS, self._encode_words)
+        self.stems = _Recent(_CACHED_STEMS, self._encode_stems)
+        self.tails = _Recent(_CACHED_WORDS, self._encode_any)
+
+    def _encode_any(self, strings: list[str]):
+        encoded = self.tokenizer.encode_batch(strings, add_special_tokens=False)
+        return zip(strings, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True)
+
+    def _encode_stems(self, stems: list[str]):
+        """Runs of letters: one call for all, cut behind each token that ends a run."""
+        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) != len(stems):  # letters that this Python and the tokenizer class differently
+            return self._encode_any(stems)
+        raw, bounds = ids.tobytes(), (ends * 4).tolist()
+        return zip(stems, (raw[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)), strict=True)
+
+    def _encode_words(self, words: list[str]):
+        split, other = [], []
+        for word in words:
+            stem = word.rstrip(_TAIL)
+            if stem.isalpha():
+                # folding each letter is what the tokenizer does; a final sigma would fold by its place
+                split.append((word, stem if "\u03a3" in stem else stem.lower(), word[len(stem) :]))
+            else:
+                other.append(word)
+        out = list(self._encode_any(other)) if other else []
+        if split:
+            stems = self.stems.of([s for _, s, _ in split])
+            tails = self.tails.of([t for _, _, t in split])
+            out += [(word, stems[stem] + tails[tail]) for word, stem, tail in split]
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         words = _BLANKS.split(text) if _ODD_BLANKS.search(text) else text.split()
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        if new:
-            for word, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = encoded.ids
-        found = list(map(self.known.__getitem__, words))
-        out = np.fromiter((i for ids in found for i in ids), np.uint32, sum(map(len, found)))
-        return out
+        return np.frombuffer(b"".join(map(self.words.of(words).__getitem__, words)), "<u4")
 
     def stream(self, text: str) -> Iterator[np.ndarray]:
         """The ids in parts, cut at blanks, so that a huge text never has all its ids in memory."""
@@ -244,7 +295,7 @@ def pack(
 def _cut(words: _Words, info: list, text: str, window: int, end_id: int) -> Iterator[tuple]:
     if len(text) > _SLICE_CHARS:  # a first pass for the length, which every piece carries
         info[1] = sum(len(part) for part in words.stream(text)) + 1
-    held, start = np.empty(0, np.uint32), 0
+    held, start = np.empty(0, "<u4"), 0
     for part in words.stream(text):
         held = np.concatenate([held, part]) if len(held) else part
         full = len(held) // window * window if len(text) > _SLICE_CHARS else 0
