@@ -29,6 +29,41 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# The rules of the query, and the host labels whose hosts make up its block list
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets"]
+_URL_SQL = """
+WITH a AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a
+), c AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM b
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host, '(^|[.])(ads-track|adult-x|casino-win|cheap-pills|free-bets)([.]|$)') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM c"""
+
+
+@query("op7_url_filter", _URL_SQL)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.urlfilter import hosts_with_labels, judge_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = judge_urls(pages, hosts_with_labels(pages, LISTED_LABELS), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadflow.llm.packing import pack
