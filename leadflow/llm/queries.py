@@ -29,6 +29,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.pii import BASE, find_pii, listed
+
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii")
+
+    def of(kinds: tuple[str, ...]):
+        return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of((k,))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(of(BASE)), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
 # The rules of the query, and the host labels whose hosts make up its block list
 URL_RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
