@@ -101,6 +101,19 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op1_warc")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.warc import read_archives, write_archives
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))
+    records = read_archives(write_archives(pages, least_bytes=0))
+    page = F.regexp_extract("record_id", "([0-9-]+)$", 1).cast("long")
+    return records.select(
+        page.alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.regexp_extract("refers_to", "([0-9-]+)$", 1).cast("long").alias("refers_to"), "payload_ok",
+    )
+
+
 _TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
