@@ -114,6 +114,30 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place, role, text
+  FROM conversations WHERE conv_id IS NOT NULL
+), p AS (
+  SELECT conv_id, place, list((role, text)) OVER (PARTITION BY conv_id ORDER BY place) AS prefix,
+    count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t
+), w AS (
+  SELECT prefix, min(conv_id) AS conv_id, count(*) AS copies, min(n_turns) AS n_turns FROM p WHERE place = n_turns GROUP BY prefix
+), k AS (
+  SELECT conv_id, n_turns, copies FROM w ANTI JOIN (SELECT prefix FROM p WHERE place < n_turns) s USING (prefix)
+)
+SELECT conv_id, (place - 1) // 256 AS part, any_value(n_turns) AS n_turns, any_value(copies) AS copies,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM t JOIN k USING (conv_id) GROUP BY conv_id, part"""
+
+
+@query("op2_chat_format", _CHAT_SQL)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.conversations import render_chats
+
+    return render_chats(table(spark, sf_dir, "conversations"))
+
+
 _TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
