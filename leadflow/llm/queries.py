@@ -176,3 +176,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(text).cast("long").alias("n_bytes"))
     counts = count_tokens(docs, _tokenizer("piece_bpe_32k.model"), keep=("doc_id", "n_bytes"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.quality import fit, held_out, score_quality
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.filter(~held_out()))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
