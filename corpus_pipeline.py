@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadflow.llm import stages
 from leadflow.llm.common import table, written
 
-STAGES: list = []
-#: tokenizers and trained models are outside SQL; tests/llm checks the stages against brute force
+STAGES = [
+    ("quality_classifier", stages.quality),
+    ("minhash_near_dedup", stages.near_dedup),
+    ("benchmark_decontamination", stages.decontamination),
+    ("pii", stages.pii),
+    ("packing", stages.packing),
+]
+#: a trained classifier, minhashes and a tokenizer are outside SQL; tests/llm checks the stages by brute force
 ORACLE_SQL = None
 
 
