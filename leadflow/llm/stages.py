@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadflow.llm.common import table
 from leadflow.llm.decontam import drop_contaminated
@@ -28,8 +29,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
-    return mask_pii(docs)
+    """Documents with personal data masked, their lengths counted anew."""
+    masked = mask_pii(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(masked.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
