@@ -75,18 +75,27 @@ view(
         SELECT *, row_number() OVER (PARTITION BY domain ORDER BY title_idx, pos) AS r FROM (
           SELECT *, row_number() OVER (PARTITION BY domain, key ORDER BY title_idx, pos) AS n FROM (
             SELECT *, CASE WHEN email <> '' AND upper(email) <> 'N/A' THEN 'm' || lower(email) WHEN first_name <> '' OR last_name <> '' THEN 'n' || lower(first_name || '|' || last_name)
-                      ELSE 'r' || pos END AS key FROM records WHERE {FITS} AND {REAL})) WHERE n = 1) WHERE r <= 3""",
+                      ELSE 'r' || pos END AS key FROM records WHERE {FITS} AND {REAL})) WHERE n = 1)""",
     ("records",),
 )
 
 
 def domain_lists(spark, d):
-    return contacts.domain_contacts(directory(spark, d), WANTED, 3)
+    return contacts.domain_contacts(directory(spark, d), WANTED)
 
 
 @query("domain_contacts", "SELECT * FROM domain_lists", ("domain_lists",))
 def domain_contacts(spark, d):
-    lists = domain_lists(spark, d).select("domain", F.posexplode("contacts").alias("_p", "c"))
+    return _listed_contacts(domain_lists(spark, d))
+
+
+@query("domain_contacts_first_3", "SELECT * FROM domain_lists WHERE r <= 3", ("domain_lists",))
+def domain_contacts_first_3(spark, d):
+    return _listed_contacts(contacts.domain_contacts(directory(spark, d), WANTED, 3))
+
+
+def _listed_contacts(found):
+    lists = found.select("domain", F.posexplode("contacts").alias("_p", "c"))
     return lists.select("domain", (F.col("_p") + 1).cast("long").alias("r"), "c.*")
 
 

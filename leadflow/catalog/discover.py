@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from leadflow.catalog.base import case, div, firm_answers, firms, mod, query, table, text, view
+from leadflow.functions import fixed
 from leadflow.operators import discover, listing
 from leadflow.plans.stages import written
 
@@ -196,7 +197,7 @@ view(
 
 
 def tiles(spark, d):
-    return discover.place_tiles(places(spark, d).filter(F.col("call") == 0))
+    return discover.place_tiles(places(spark, d).filter(F.col("call") == 0), fixed.MAX_TILES)
 
 
 def _rounded(df):
@@ -225,12 +226,12 @@ def place_requests(spark, d):
 COLLECTED = """SELECT * EXCLUDE (id, n, r) FROM (SELECT *, row_number() OVER (PARTITION BY search_idx ORDER BY call, pos) AS r FROM (
     SELECT *, row_number() OVER (PARTITION BY search_idx, id ORDER BY call, pos) AS n FROM (
       SELECT *, CASE WHEN placeId <> '' THEN placeId WHEN cid <> '' THEN cid ELSE title END AS id FROM places
-      WHERE search_idx IN (SELECT search_idx FROM places WHERE call = 0)) WHERE id <> '') WHERE n = 1) WHERE r <= 20"""
+      WHERE search_idx IN (SELECT search_idx FROM places WHERE call = 0)) WHERE id <> '') WHERE n = 1)"""
 view("collected", COLLECTED, ("places",))
 
 
 def collected(spark, d):
-    return discover.place_collect(places(spark, d), cap=20)
+    return discover.place_collect(places(spark, d))
 
 
 @query("place_collect", "SELECT * REPLACE (round(latitude, 6) AS latitude, round(longitude, 6) AS longitude) FROM collected", ("collected",))
@@ -238,6 +239,16 @@ def place_collect(spark, d):
     return _rounded(collected(spark, d))
 
 
+@query(
+    "place_collect_first_20",
+    """SELECT * EXCLUDE (r) REPLACE (round(latitude, 6) AS latitude, round(longitude, 6) AS longitude)
+       FROM (SELECT *, row_number() OVER (PARTITION BY search_idx ORDER BY call, pos) AS r FROM collected) WHERE r <= 20""",
+    ("collected",),
+)
+def place_collect_first_20(spark, d):
+    return _rounded(discover.place_collect(places(spark, d), cap=20))
+
+
 view(
     "unique_places",
     """SELECT * EXCLUDE (key, n) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY search_idx, call, pos) AS n FROM (
@@ -399,19 +410,31 @@ view(
     """SELECT category, page, page_count, n_new, n_new AS total FROM walked WHERE page = 1
        UNION ALL SELECT w.category, w.page, w.page_count, w.n_new, v.total + w.n_new FROM visited v
        JOIN walked w ON w.category = v.category AND w.page = v.page + 1
-       WHERE v.n_new > 0 AND NOT (v.page_count > 1 AND v.page >= v.page_count) AND v.total < 100""",
+       WHERE v.n_new > 0 AND NOT (v.page_count > 1 AND v.page >= v.page_count)""",
     ("walked",),
 )
 view(
     "merged_listing",
     """SELECT category, page, pos, slug, name, website, rating, review_count, page_count FROM (
        SELECT f.*, row_number() OVER (PARTITION BY f.category ORDER BY f.page, f.pos) AS r
-       FROM fresh f JOIN visited v ON v.category = f.category AND v.page = f.page) WHERE r <= 100""",
+       FROM fresh f JOIN visited v ON v.category = f.category AND v.page = f.page)""",
     ("fresh", "visited"),
 )
 
 
 def merged_listing(spark, d):
+    p = listed(spark, d)
+    fetched = p.groupBy("category", "page").agg(F.max("page_count").alias("page_count"))
+    return discover.listing_merge_pages(p, fetched)
+
+
+@query(
+    "listing_merge_first_100",
+    """SELECT category, page, pos, slug, name, website, rating, review_count, page_count FROM (
+       SELECT *, row_number() OVER (PARTITION BY category ORDER BY page, pos) AS r FROM merged_listing) WHERE r <= 100""",
+    ("merged_listing",),
+)
+def listing_merge_first_100(spark, d):
     p = listed(spark, d)
     fetched = p.groupBy("category", "page").agg(F.max("page_count").alias("page_count"))
     return discover.listing_merge_pages(p, fetched, max_products=100)
@@ -442,7 +465,8 @@ QUERY_TEXTS = [
 def category_query_plan(spark, d):
     k = F.col("p_partkey")
     return discover.category_query_plan(
-        table(spark, d, "part").select(text("crm2-b2b-", k).alias("slug"), F.when(k % 2 == 0, text("Name ", k)).alias("name"))
+        table(spark, d, "part").select(text("crm2-b2b-", k).alias("slug"), F.when(k % 2 == 0, text("Name ", k)).alias("name")),
+        pages=3,
     )
 
 
@@ -503,11 +527,13 @@ NEWS_SQL = [
     "news_query_plan",
     "SELECT p_partkey AS job, hours, CASE WHEN hours <= 24 THEN 'qdr:d' WHEN hours <= 48 THEN 'qdr:2d' ELSE 'qdr:w' END AS recency, (i - 1)::INTEGER AS query_idx, ["
     + ", ".join(NEWS_SQL)
-    + "][i] AS query, p::INTEGER AS page FROM (SELECT p_partkey, (p_partkey % 200)::INTEGER AS hours FROM part), range(1, 9) AS q(i), range(1, 4) AS r(p) WHERE hours BETWEEN 1 AND 168",
+    + """][i] AS query, p::INTEGER AS page, NULL AS error FROM (SELECT p_partkey, (p_partkey % 200)::INTEGER AS hours FROM part), range(1, 9) AS q(i), range(1, 4) AS r(p)
+    WHERE hours BETWEEN 1 AND 168
+    UNION ALL SELECT p_partkey, (p_partkey % 200)::INTEGER, NULL, NULL, NULL, NULL, 'hours must be between 1 and 168' FROM part WHERE p_partkey % 200 NOT BETWEEN 1 AND 168""",
 )
 def news_query_plan(spark, d):
     jobs = table(spark, d, "part").select(F.col("p_partkey").alias("job"), (F.col("p_partkey") % 200).cast("int").alias("hours"))
-    return discover.news_query_plan(jobs)
+    return discover.news_query_plan(jobs, pages=3)
 
 
 view(

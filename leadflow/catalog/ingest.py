@@ -156,7 +156,7 @@ def maps_search_plan(spark, d):
         F.col("p_partkey").alias("search_idx"),
         F.when(mod("p_partkey", 7) == 3, "  ").otherwise(F.concat(F.lit(" "), "p_name")).alias("term"),
     )
-    return ingest.maps_plan_from_terms(terms, " Austin, TX ")
+    return ingest.maps_plan_from_terms(terms, " Austin, TX ", limits=ingest.SearchLimits(searches=10**9, per_search=100), max_per_search=100)
 
 
 @query(

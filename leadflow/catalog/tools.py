@@ -73,7 +73,7 @@ view(
           SELECT *, row_number() OVER (PARTITION BY domain, key ORDER BY title_idx, pos) AS n FROM (
             SELECT rec.* EXCLUDE (domain), 'firm' || (o_custkey // 3) || '-1.com' AS domain,
                    CASE WHEN email <> '' AND upper(email) <> 'N/A' THEN 'm' || lower(email) WHEN first_name <> '' OR last_name <> '' THEN 'n' || lower(first_name || '|' || last_name)
-                   ELSE 'r' || pos END AS key FROM records rec JOIN orders ON o_orderkey = pos WHERE {FITS} AND {REAL})) WHERE n = 1) WHERE r <= 2 GROUP BY domain""",
+                   ELSE 'r' || pos END AS key FROM records rec JOIN orders ON o_orderkey = pos WHERE {FITS} AND {REAL})) WHERE n = 1) GROUP BY domain""",
     ("records",),
 )
 
@@ -98,7 +98,7 @@ def websites(spark, d):
     )
     items = written(verify.number_batches(verify.verify_items(searched(spark, d))).select("batch_id", "row_index"), "asked")
     p = Providers(search=firm_answers(spark, d), verdicts=verdict_answers(items), redirects=redirects, directory=flow_directory(spark, d))
-    return tools.website_finder(rows, p, WANTED, max_contacts=2)
+    return tools.website_finder(rows, p, WANTED)
 
 
 @query("website_finder", "SELECT * FROM websites", ("websites",))
@@ -147,7 +147,7 @@ def intel_columns(df):
 def run_intel(rows, spark, d):
     rows = written(rows, "rows")
     p = with_verdicts(intel_providers(spark, d), rows, spark, d)
-    return tools.company_intel(rows, p, OPTIONS, titles=WANTED, max_contacts=2)
+    return tools.company_intel(rows, p, OPTIONS, titles=WANTED)
 
 
 intel_view(

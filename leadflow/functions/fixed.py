@@ -161,7 +161,7 @@ PREVIEW_LABELS = {
 # Fixed value: reason of a verdict that could not be had.
 FAILED_VERDICT = "LLM call failed or response could not be parsed."
 
-# Limits of the jobs.
+# Limits that a job may pass; no operator cuts by them unless told to.
 MAX_ROWS = 100_000
 MAX_TEXT_PER_PAGE = 8_000
 MIN_CONTENT_LENGTH = 1_500

@@ -21,8 +21,10 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return best.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
-def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, cap: int) -> DataFrame:
-    """First ``cap`` rows of each key. Spark prunes to ``cap`` per partition before the shuffle."""
+def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, cap: int | None) -> DataFrame:
+    """First ``cap`` rows of each key, all for None. Spark prunes to ``cap`` per partition before the shuffle."""
+    if cap is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= cap).drop("_rank")
 

@@ -24,31 +24,30 @@ _BETWEEN = "\n\n---\n\n"
 _LEAST_PER_PAGE = 16
 
 
-def site_documents(pages: DataFrame, cap: int = fixed.MAX_DOCUMENT_CHARS) -> DataFrame:
-    """One document per domain from (domain, ordinal, url, text), cut at ``cap`` with a marker.
+def site_documents(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """One document per domain from (domain, ordinal, url, text), with ``cap`` cut there with a marker.
 
-    Pages that start behind the cut cannot show, so a group holds at most ``cap / 16`` pages whatever
-    the size of the site; lengths and counts still cover all pages.
+    With a cap, pages that start behind the cut cannot show and are not gathered; addresses, lengths and
+    counts cover all pages. Without one a document is as long as its site.
     """
     block = F.concat(F.lit("[Page: "), "url", F.lit("]\n"), or_blank("text"))
     blocks = pages.select("domain", "ordinal", "url", block.alias("_block"))
+    urls = F.array_sort(F.collect_list(F.struct("ordinal", "url")))
     totals = blocks.groupBy("domain").agg(
+        F.transform(urls, lambda p: p["url"]).alias("page_urls"),
         F.count(F.lit(1)).alias("n_pages"),
         (F.sum(F.length("_block")) + (F.count(F.lit(1)) - 1) * len(_BETWEEN)).alias("_chars"),
     )
-    shown = cap_per_key(blocks, ["domain"], ["ordinal"], cap // _LEAST_PER_PAGE)
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "url", "_block")))
+    shown = cap_per_key(blocks, ["domain"], ["ordinal"], None if cap is None else max(1, cap // _LEAST_PER_PAGE))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "_block")))
     docs = shown.groupBy("domain").agg(ordered.alias("_pages"))
     joined = F.array_join(F.transform("_pages", lambda p: p["_block"]), _BETWEEN)
-    more = F.when(F.col("n_pages") > F.size("_pages"), _BETWEEN).otherwise("")
-    return docs.join(totals, "domain").select(
-        "domain",
-        "n_pages",
-        F.transform("_pages", lambda p: p["url"]).alias("page_urls"),
-        F.when(F.col("_chars") > cap, F.concat(F.substring(F.concat(joined, more), 1, cap), F.lit(fixed.TRUNCATION_MARK)))
-        .otherwise(joined)
-        .alias("document"),
-    )
+    document = joined
+    if cap is not None:
+        more = F.when(F.col("n_pages") > F.size("_pages"), _BETWEEN).otherwise("")
+        cut = F.concat(F.substring(F.concat(joined, more), 1, cap), F.lit(fixed.TRUNCATION_MARK))
+        document = F.when(F.col("_chars") > cap, cut).otherwise(joined)
+    return docs.join(totals, "domain").select("domain", "n_pages", "page_urls", document.alias("document"))
 
 
 def has_value(field: str, source: str = "") -> Column:

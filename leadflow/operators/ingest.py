@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,15 +178,27 @@ class PlanError(ValueError):
     """A search plan breaks one of the limits."""
 
 
-def check_search_plan(n_searches: int, max_per_search: int = fixed.MAPS_PER_SEARCH) -> None:
+@dataclass(frozen=True)
+class SearchLimits:
+    """What a search plan may ask for; None lifts a limit."""
+
+    searches: int | None = None
+    per_search: int | None = None
+    results: int | None = None
+
+
+def check_search_plan(n_searches: int, max_per_search: int | None = None, limits: SearchLimits = SearchLimits()) -> None:
+    """Refuse an empty plan, and one beyond ``limits``."""
     if n_searches < 1:
         raise PlanError("at least one search term is required")
-    if n_searches > 500:
-        raise PlanError("at most 500 search term and location combinations")
-    if not 1 <= max_per_search <= 100:
-        raise PlanError("max_per_search must be between 1 and 100")
-    if n_searches * max_per_search > 50_000:
-        raise PlanError("more than 50,000 results expected")
+    if limits.searches is not None and n_searches > limits.searches:
+        raise PlanError(f"at most {limits.searches} search term and location combinations")
+    if max_per_search is None:
+        return
+    if max_per_search < 1 or (limits.per_search is not None and max_per_search > limits.per_search):
+        raise PlanError(f"max_per_search must be between 1 and {limits.per_search}")
+    if limits.results is not None and n_searches * max_per_search > limits.results:
+        raise PlanError(f"more than {limits.results} results expected")
 
 
 def maps_search_plan(
@@ -193,7 +206,8 @@ def maps_search_plan(
     terms: Sequence[str] = (),
     location: str = "",
     pairs: Sequence[tuple[str, str]] = (),
-    max_per_search: int = fixed.MAPS_PER_SEARCH,
+    max_per_search: int | None = None,
+    limits: SearchLimits = SearchLimits(),
 ) -> DataFrame:
     """(search_idx, search_term, location): the given pairs, else every term at one location."""
     if pairs:
@@ -202,20 +216,28 @@ def maps_search_plan(
         searches = [(t.strip(), location.strip()) for t in terms if t.strip()]
     else:
         raise PlanError("provide search terms with a location, or pairs")
-    check_search_plan(len(searches), max_per_search)
+    check_search_plan(len(searches), max_per_search, limits)
     return spark.createDataFrame(
         [(i, t, p) for i, (t, p) in enumerate(searches)],
         "search_idx int, search_term string, location string",
     )
 
 
-def maps_plan_from_terms(terms: DataFrame, location: str, term_col: str = "term") -> DataFrame:
-    """The same plan from a table of terms: trimmed, blanks dropped, one location."""
-    return terms.select(
+def maps_plan_from_terms(
+    terms: DataFrame, location: str, term_col: str = "term", max_per_search: int | None = None, limits: SearchLimits | None = None,
+) -> DataFrame:
+    """The same plan from a table of terms: trimmed, blanks dropped, one location.
+
+    With ``limits`` the searches are counted first and a plan beyond them is refused.
+    """
+    plan = terms.select(
         *[c for c in terms.columns if c != term_col],
         strip(or_blank(term_col)).alias("search_term"),
         F.lit(location.strip()).alias("location"),
     ).filter(F.col("search_term") != "")
+    if limits is not None:
+        check_search_plan(plan.count(), max_per_search, limits)
+    return plan
 
 
 def maps_pairs_from_csv(df: DataFrame) -> DataFrame:
@@ -284,14 +306,13 @@ def validate_categories(picked: DataFrame, categories: DataFrame) -> DataFrame:
     return picked.join(categories.select("slug"), "slug", "left_anti")
 
 
-def check_categories(picked: DataFrame, categories: DataFrame, limit: int = 50) -> None:
+def check_categories(picked: DataFrame, categories: DataFrame, limit: int | None = None) -> None:
     """Raise for an unknown slug, none at all or more than ``limit``."""
     unknown = validate_categories(picked, categories).limit(1).collect()
     if unknown:
         raise PlanError(f"unknown category: {unknown[0]['slug']}")
-    n = picked.limit(limit + 1).count()
-    if n == 0 or n > limit:
-        raise PlanError(f"pick between 1 and {limit} categories")
+    if picked.isEmpty() or (limit is not None and picked.limit(limit + 1).count() > limit):
+        raise PlanError("pick at least one category" if limit is None else f"pick between 1 and {limit} categories")
 
 
 def intel_column(headers: Sequence[str]) -> str:

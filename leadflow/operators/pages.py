@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -39,12 +40,13 @@ def without_blocks(html: str | Column, tags: Sequence[str]) -> Column:
     return F.regexp_replace(c, rf"(?is)<({rest})\b[^>]*>.*?</\1\s*>", _BREAK) if rest else c
 
 
-def tidy_text(text: Column, limit: int) -> Column:
+def tidy_text(text: Column, limit: int | None) -> Column:
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.substring(F.regexp_replace(text, r"[ \t]{2,}", " "), 1, limit)
+    text = F.regexp_replace(text, r"[ \t]{2,}", " ")
+    return text if limit is None else F.substring(text, 1, limit)
 
 
-def _text_by_parser(html: str, limit: int) -> str:
+def _text_by_parser(html: str, limit: int | None) -> str:
     page = read_page(html)
     for tag in ("main", "article", "body"):
         found = _first_outside(page, tag)
@@ -52,18 +54,8 @@ def _text_by_parser(html: str, limit: int) -> str:
             page = found
             break
     text = "\n".join(page.strings(frozenset(SKIPPED_TAGS)))
-    while "\n\n\n" in text:
-        text = text.replace("\n\n\n", "\n\n")
-    out, blank = [], ""
-    for ch in text:
-        if ch in " \t":
-            blank += ch
-            continue
-        out.append(blank if len(blank) < 2 else " ")
-        out.append(ch)
-        blank = ""
-    out.append(blank if len(blank) < 2 else " ")
-    return "".join(out)[:limit]
+    text = re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", text))
+    return text[:limit]
 
 
 def _first_outside(page, tag: str):
@@ -79,8 +71,8 @@ def _first_outside(page, tag: str):
     return None
 
 
-def page_text(pages: DataFrame, html_col: str = "html", limit: int = fixed.MAX_TEXT_PER_PAGE) -> DataFrame:
-    """Add ``text``: the visible text of each page, cut at ``limit`` characters.
+def page_text(pages: DataFrame, html_col: str = "html", limit: int | None = None) -> DataFrame:
+    """Add ``text``: the visible text of each page, with ``limit`` its first characters.
 
     Plain pages are read by Spark's own string functions. Pages those cannot read exactly (nested or
     unclosed elements, rare entities, angle brackets in attributes) go to the parser; for all other
@@ -198,11 +190,11 @@ def page_links(pages: DataFrame, key: str = "page_id", site_col: str = "site", h
 def relevant_links(
     links: DataFrame,
     options: Sequence[str],
-    k: int = fixed.MAX_PAGES_PER_SITE - 1,
+    k: int | None = None,
     patterns: Mapping[str, Sequence[str]] = fixed.LINK_PATTERNS,
     key: str = "page_id",
 ) -> DataFrame:
-    """Best ``k`` links per page by the patterns of the chosen options, ties in page order."""
+    """Links per page that fit the patterns of the chosen options; with ``k`` the best ones, ties in page order."""
     score = F.lit(0)
     for option in options:
         for i, pattern in enumerate(patterns.get(option, [])):
@@ -251,7 +243,7 @@ def choose_fetch_pass(
     return attempts.join(picked, ["domain", "pass"], "left_semi")
 
 
-def site_pages(homepages: DataFrame, internal: DataFrame, max_pages: int = fixed.MAX_PAGES_PER_SITE) -> DataFrame:
+def site_pages(homepages: DataFrame, internal: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Homepage first, then the chosen pages that have text: (domain, ordinal, url, text).
 
     ``internal`` carries the link order in ``ordinal`` (0 is the best link).

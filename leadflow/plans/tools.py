@@ -12,7 +12,7 @@ from leadflow.operators import contacts, discover, domains, extract, ingest, pag
 from leadflow.plans.stages import Providers, Stage, written
 
 
-def _with_enrichment(rows: DataFrame, p: Providers, titles: Sequence[str], max_contacts: int, match_names: bool) -> DataFrame:
+def _with_enrichment(rows: DataFrame, p: Providers, titles: Sequence[str], max_contacts: int | None, match_names: bool) -> DataFrame:
     if p.directory is None or not titles:
         return rows.withColumn("contacts", F.lit(None).cast(f"array<{contacts.schemas.CONTACT}>"))
     found = contacts.domain_contacts(p.directory, titles, max_contacts)
@@ -29,7 +29,7 @@ def search_rows(rows: DataFrame, search: DataFrame) -> DataFrame:
 
 
 def website_finder(
-    rows: DataFrame, p: Providers, titles: Sequence[str] = (), max_contacts: int = 1, stage: Stage = written
+    rows: DataFrame, p: Providers, titles: Sequence[str] = (), max_contacts: int | None = None, stage: Stage = written
 ) -> DataFrame:
     """(row_index, company_name, location) to websites and contacts."""
     searched = stage(search_rows(rows, p.search), "searched")
@@ -49,7 +49,7 @@ def company_intel(
     p: Providers,
     options: Sequence[str],
     titles: Sequence[str] = (),
-    max_contacts: int = 3,
+    max_contacts: int | None = None,
     people_mode: bool = False,
     stage: Stage = written,
 ) -> DataFrame:
@@ -103,9 +103,7 @@ def funding_intel(companies: DataFrame, p: Providers, options: Sequence[str], **
 def profile_answers(people: DataFrame, profiles: DataFrame) -> DataFrame:
     """Profile and confidence per request from the profile search answers."""
     asked = discover.profile_requests(people)
-    parsed = discover.parse_search_responses(profiles).select(
-        "request_key", F.slice("results", 1, 3).alias("results")
-    ).filter(F.col("results").isNotNull())
+    parsed = discover.parse_search_responses(profiles).select("request_key", "results").filter(F.col("results").isNotNull())
     return discover.score_profile(discover.pick_profile(asked.join(parsed, "request_key")))
 
 

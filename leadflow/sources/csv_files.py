@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadflow.functions import fixed
 from leadflow.functions.text import blank_to_null, or_blank, strip
 
 BOM = "\ufeff"
@@ -48,11 +47,11 @@ def csv_company_rows(
     path: str,
     company_col: str,
     location_col: str | None = None,
-    max_rows: int | None = fixed.MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Company rows of an uploaded CSV: (row_index, company_name, location).
 
-    The index counts skipped rows too; ``max_rows`` is the upload limit, None lifts it.
+    The index counts skipped rows too; ``max_rows`` keeps the first ones only.
     """
     raw = read_header_csv(spark, path)
     location = F.lit(None).cast("string")

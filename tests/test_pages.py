@@ -85,10 +85,11 @@ def test_fetch_passes(spark):
 def test_documents_and_their_cut(spark):
     rows = [("s.com", i, f"https://s.com/{i}", "t" * n) for i, n in enumerate([10, 20])] + [("l.com", i, f"u{i}", "w" * 7000) for i in range(4)]
     df = spark.createDataFrame(rows, "domain string, ordinal int, url string, text string")
-    got = {r.domain: r for r in extract.site_documents(df).collect()}
+    got = {r.domain: r for r in extract.site_documents(df, 16_000).collect()}
     assert got["s.com"].document == "[Page: https://s.com/0]\n" + "t" * 10 + "\n\n---\n\n[Page: https://s.com/1]\n" + "t" * 20
     assert len(got["l.com"].document) == 16000 + 16 and got["l.com"].document.endswith("[...truncated]")
     many = spark.range(3000).selectExpr("'m.com' AS domain", "id AS ordinal", "'' AS url", "'' AS text")
-    doc = extract.site_documents(many).first()
+    doc = extract.site_documents(many, 16_000).first()
     whole = "\n\n---\n\n".join(["[Page: ]\n"] * 3000)
+    assert len(doc.page_urls) == 3000 and extract.site_documents(many).first().document == whole
     assert doc.n_pages == 3000 and doc.document == whole[:16000] + "\n\n[...truncated]"
