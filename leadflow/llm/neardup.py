@@ -5,19 +5,21 @@ one of each collection, so ``groups`` squared keys come from only twice ``groups
 compute grow with the square root of the keys. Texts that share a key are candidates; a link is confirmed on
 the full shingle sets.
 
-Equal sets are one node from the start. Nodes that share a key are not paired with each other but with the
-first of them; keys whose nodes are one component by then need no more, others go on with the next heads,
-four times as many each round, until every pair of nodes that share a key is tested or connected.
+Equal sets are one node from the start. Nodes that share a key are first tested against one node each, the
+smallest that shares a key with them. Keys whose nodes are one component by then need no more. The nodes of all
+others are dealt into blocks of bounded size by the largest key they share, and every two blocks with a common
+key are compared in one step that returns only links between components. So all pairs of different components
+that share a key are decided, but none is a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,7 @@ _SLICE_CHARS = 1_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0x9E3779B97F4A7C15
+_BLOCK_NODES = 128
 _WRAP = 2**64
 
 
@@ -181,34 +184,89 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [
+                _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column(2), batch.column(3), strict=True)
+            ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _promising(s: Settings):
-    """Pairs whose sizes allow the similarity and whose minhash bytes do not rule it out.
+def _least_agreement(s: Settings) -> int:
+    """Minhash bytes that a pair at the threshold surely shares.
 
-    Of the hashes a pair at the threshold agrees on a binomial number; one more than six and a half deviations
-    below its mean is taken for unlike (a chance under one in a billion).
+    Their number is binomial; this is six and a half deviations below its mean (a chance under one in a billion).
     """
     p = s.percent / 100
-    least = int(s.hashes * p - 6.5 * (s.hashes * p * (1 - p)) ** 0.5)
+    return int(s.hashes * p - 6.5 * (s.hashes * p * (1 - p)) ** 0.5)
+
+
+def _promising(s: Settings):
+    """Pairs whose minhash bytes do not rule the similarity out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, s.hashes) for i in (2, 3))
-            keep = (x == y).sum(axis=1) >= least
+            keep = (x == y).sum(axis=1) >= _least_agreement(s)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+class _Block:
+    def __init__(self, members: list[dict], s: Settings):
+        self.nodes = [m["node"] for m in members]
+        self.comps = [m["comp"] for m in members]
+        self.sets = [np.frombuffer(m["found"], np.uint64) for m in members]
+        self.sizes = np.array([len(f) for f in self.sets])
+        self.sigs = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(-1, s.hashes)
+
+
+def _between(s: Settings):
+    """(x, y) links between different components of two blocks, as many as join what can be joined."""
+
+    def links(a: _Block, b: _Block) -> list[tuple[int, int]]:
+        agree = np.zeros((len(a.nodes), len(b.nodes)), np.int16)
+        for column in range(s.hashes):
+            agree += a.sigs[:, column, None] == b.sigs[None, :, column]
+        small, large = np.minimum(a.sizes[:, None], b.sizes[None, :]), np.maximum(a.sizes[:, None], b.sizes[None, :])
+        comps = np.array(a.comps)[:, None] != np.array(b.comps)[None, :]
+        rows, columns = np.nonzero((agree >= _least_agreement(s)) & (small * 100 >= large * s.percent) & comps)
+        order = np.argsort(-agree[rows, columns], kind="stable")
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        out = []
+        for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
+            x, y = find(a.comps[i]), find(b.comps[j])
+            if x != y and _similar(a.sets[i], b.sets[j], s.percent):
+                root[max(x, y)] = min(x, y)
+                out.append((a.nodes[i], b.nodes[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = (_Block(batch.column(c)[r].as_py(), s) for c in (0, 1))
+                found = links(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], names=["x", "y"])
+
+    return run
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over ``links`` (x, y), for every node of a link.
 
@@ -280,35 +338,40 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
 
     # first each node with the smallest of all its heads, which most copies share
     first = members.filter("node <> head").groupBy(F.col("node").alias("y")).agg(F.min("head").alias("x")).select("x", "y")
-    tested = written(first, "pairs")
-    links = written(confirmed(tested), "confirmed")
+    links = written(confirmed(first), "confirmed")
     labels = None if links.isEmpty() else connected(links)
 
-    count = 1
-    open_members = members.select("key", "node")
-    while True:
-        now = open_members.withColumn("comp", F.col("node")) if labels is None else (
-            open_members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        )
-        now = written(now, "members-now")
-        # keys with several components whose members were not all heads already
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
-        mixed = mixed.filter((F.col("lo") < F.col("hi")) & (F.col("members") > (0 if count == 1 else count // 4)))
-        left = written(now.join(mixed.select("key"), "key", "left_semi"), "members-left")
-        if left.isEmpty():
-            return labels
-        order = Window.partitionBy("key").orderBy("node")
-        some = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
-        some = some.select("key", F.col("node").alias("head"), F.col("comp").alias("head_comp"))
-        met = left.join(some, "key").filter("comp <> head_comp")
-        new = met.select(F.least("node", "head").alias("x"), F.greatest("node", "head").alias("y")).distinct()
-        new = written(new.join(tested, ["x", "y"], "left_anti"), "pairs")
-        tested = tested.union(new)
-        more = written(confirmed(new), "confirmed")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = connected(links)
-        open_members, count = left.select("key", "node"), count * 4
+    now = members.select("key", "node", F.col("node").alias("comp")) if labels is None else (
+        members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    )
+    now = written(now, "members-now")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
+    left = written(now.join(mixed.filter("lo < hi").select("key", "members"), "key"), "members-left")
+    if left.isEmpty():
+        return labels
+    more = written(_across(left, small, sets, s), "confirmed")
+    return labels if more.isEmpty() else connected(links.union(more))
+
+
+def _across(left: DataFrame, small: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links between components among the nodes that share a key: ``left`` has (key, node, comp, members)."""
+    # the home of a node is the largest key it has; a home's nodes are dealt into blocks
+    homes = left.groupBy("node").agg(F.max(F.struct("members", "key")).alias("h"), F.first("comp").alias("comp"))
+    homes = homes.select("node", "comp", F.col("h.key").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / _BLOCK_NODES).alias("blocks"))
+    dealt = homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = written(dealt.select("node", "comp", F.xxhash64("home", "part").alias("block")), "blocks-of")
+    full = dealt.join(small.select("node", "sig"), "node").join(sets, "node")
+    packed = full.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "sig", "found")).alias("held"))
+    packed = written(packed, "blocks")
+    met = left.select("key", "node").join(dealt, "node").groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    met = written(met, "blocks-met")
+    other = met.toDF("key", "other", "other_lo", "other_hi")
+    # the same single component on both sides needs no test
+    several = F.least("lo", "other_lo") < F.greatest("hi", "other_hi")
+    pairs = met.join(other, "key").filter((F.col("block") <= F.col("other")) & several).select("block", "other").distinct()
+    both = pairs.join(packed, "block").select("other", F.col("held").alias("a")).join(packed.toDF("other", "b"), "other")
+    return both.select("a", "b").mapInArrow(_between(s), "x bigint, y bigint")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
