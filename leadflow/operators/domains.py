@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
+import os
+import string
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
 from leadflow.functions.tables import first_per_key, look_up
-from leadflow.functions.text import bare_host, col, first_filled, host_of, one_of, or_blank, strip
-
-
-def public_suffixes() -> list[str]:
-    """Generic suffixes and country second levels; two-letter suffixes are a rule, not a list."""
+from leadflow.functions.text import any_of, bare_host, col, first_filled, host_of, one_of, or_blank, strip
+
+
+#: where systems keep the Public Suffix List (Mozilla Public License 2.0, publicsuffix.org)
+SUFFIX_FILES = ("/usr/share/publicsuffix/public_suffix_list.dat", "/usr/share/publicsuffix/effective_tld_names.dat")
+
+
+@lru_cache(maxsize=4)
+def read_suffix_file(path: str, private: bool = False) -> tuple[str, ...]:
+    """Rules of a Public Suffix List file, as written and in their ASCII form; registry rules unless ``private``."""
+    rules: set[str] = set()
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            if "===BEGIN PRIVATE DOMAINS===" in line and not private:
+                break
+            rule = line.split("//")[0].strip().lower()
+            if rule:
+                mark = "!" if rule.startswith("!") else ""
+                rules |= {rule, mark + rule.removeprefix("!").encode("idna").decode("ascii") if "*" not in rule else rule}
+    return tuple(sorted(rules))
+
+
+def public_suffixes() -> Iterable[str]:
+    """The system's Public Suffix List; on a machine without one, a short list with any two-letter suffix."""
+    for path in SUFFIX_FILES:
+        if os.path.exists(path):
+            return read_suffix_file(path)
+    letters = string.ascii_lowercase
+    countries = [a + b for a in letters for b in letters]
     seconds = [f"{s}.{cc}" for cc, names in fixed.SECOND_LEVELS.items() for s in names]
-    return fixed.GENERIC_SUFFIXES + seconds
+    return fixed.GENERIC_SUFFIXES + seconds + countries
 
 
 def with_registered_domain(
@@ -23,26 +50,44 @@ def with_registered_domain(
 ) -> DataFrame:
     """Add ``out``: one label plus the longest public suffix of ``host``; null when either is missing.
 
-    A set test per tail length: no join and no shuffle, however long the suffix list is. The host and
-    its tails are columns of their own, so each is computed once per row.
+    ``suffixes`` are rules: a name, ``*.name`` for any label in front of it, ``!name`` for a name that such a
+    rule does not cover. A set test per tail length: no join and no shuffle, however long the list is. The
+    host and its tails are columns of their own, so each is computed once per row.
     """
-    known = sorted(set(suffixes) if suffixes is not None else public_suffixes())
-    by_depth: dict[int, list[str]] = {1: []}
-    for s in known:
-        by_depth.setdefault(s.count(".") + 1, []).append(s)
+    names: dict[int, list[str]] = {}
+    stars: dict[int, list[str]] = {}
+    exceptions: dict[int, list[str]] = {}
+    for rule in set(suffixes if suffixes is not None else public_suffixes()):
+        group = exceptions if rule.startswith("!") else stars if rule.startswith("*.") else names
+        rule = rule.removeprefix("!").removeprefix("*.")
+        group.setdefault(rule.count(".") + 1, []).append(rule)
     # user:password@, :port and closing dots never belong to the name
     host = strip(F.regexp_replace(host, r"^.*@|:[^@]*$|\.+$", ""))
-    deepest = max(by_depth)
+    deepest = max([1, *names, *exceptions, *(d + 1 for d in stars)])
     tails = {f"_tail{n}": F.substring_index("_host", ".", -n) for n in range(1, deepest + 2)}
+
+    def one_of_rules(group: dict[int, list[str]], depth: int) -> Column | None:
+        if depth not in group:
+            return None
+        # one expression text: thousands of literals one by one would take seconds to plan
+        rules = ", ".join("'" + r.replace("\\", "").replace("'", "") + "'" for r in sorted(group[depth]))
+        return F.expr(f"_tail{depth} IN ({rules})")
+
     found = None
+    for depth in sorted(exceptions):
+        test, value = one_of_rules(exceptions, depth), F.col(f"_tail{depth}")
+        found = F.when(test, value) if found is None else found.when(test, value)
     for depth in range(deepest, 0, -1):
         tail, whole = F.col(f"_tail{depth}"), F.col(f"_tail{depth + 1}")
-        is_suffix = tail.isin(by_depth.get(depth, []))
-        if depth == 1 and suffixes is None:
-            is_suffix = is_suffix | tail.rlike(r"^[a-z]{2}$")
+        tests = [t for t in (one_of_rules(names, depth),) if t is not None]
+        if depth - 1 in stars:
+            tests.append(one_of_rules(stars, depth - 1) & (F.length(tail) > F.length(f"_tail{depth - 1}")))
+        if not tests:
+            continue
         # a host that is a suffix itself has no label in front and stops here
         value = F.when((F.length(whole) > F.length(tail)) & ~whole.startswith("."), whole)
-        found = F.when(is_suffix, value) if found is None else found.when(is_suffix, value)
+        test = any_of(tests)
+        found = F.when(test, value) if found is None else found.when(test, value)
     return df.withColumn("_host", host).withColumns(tails).withColumn(out, found).drop("_host", *tails)
 
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from leadflow.operators import domains
@@ -63,3 +65,34 @@ def test_private_addresses(spark, ip, private):
 def test_antibot_needs_a_label_border(spark):
     df = spark.createDataFrame([("g2.com",), ("WWW.g2.com",), ("a.b.g2.com",), ("notg2.com",), ("g2.com.evil.org",), (None,)], "domain string")
     assert [r.antibot for r in domains.antibot_domains(df).collect()] == [True, True, True, False, False, False]
+
+
+PROBES = {
+    "acme.club": "acme.club", "a.acme.law": "acme.law", "acme.fun": "acme.fun", "acme.art": "acme.art", "acme.restaurant": "acme.restaurant",
+    "bank.top": "bank.top", "www.acme.co.hu": "acme.co.hu", "acme.com.ro": "acme.com.ro", "acme.com.ve": "acme.com.ve", "foo.zz": None,
+    "a.b.ck": "a.b.ck", "b.ck": None, "x.www.ck": "www.ck", "ck": None, "city.kawasaki.jp": "city.kawasaki.jp", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp",
+    "a.xn--55qx5d.cn": "a.xn--55qx5d.cn",
+}
+
+
+def longest_rule(host, rules):
+    """Registered domain by the list's own description, label by label."""
+    labels, best = host.split("."), 0
+    for n in range(1, len(labels) + 1):
+        tail = labels[-n:]
+        if "!" + ".".join(tail) in rules:
+            best = n - 1
+            break
+        if ".".join(tail) in rules or (n > 1 and "*." + ".".join(tail[1:]) in rules):
+            best = n
+    return ".".join(labels[-best - 1 :]) if 0 < best < len(labels) else None
+
+
+@pytest.mark.skipif(not os.path.exists(domains.SUFFIX_FILES[0]), reason="no public suffix list on this machine")
+def test_full_suffix_list(spark):
+    rules = set(domains.read_suffix_file(domains.SUFFIX_FILES[0]))
+    hosts = list(PROBES) + [f"a.b.{r.removeprefix('!').removeprefix('*.')}" for r in sorted(rules)[::7]]
+    df = spark.createDataFrame([(h,) for h in hosts], "url string")
+    got = {r.url: r.domain for r in domains.clean_domains(df, "url").collect()}
+    assert {h: got[h] for h in PROBES} == PROBES
+    assert got == {h: longest_rule(h, rules) for h in hosts}
