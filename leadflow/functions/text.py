@@ -96,3 +96,11 @@ def natural_key(c: str | Column) -> Column:
 
     runs = F.regexp_extract_all(or_blank(c), F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(runs, part), "")
+
+
+def strict_json(body: str | Column) -> Column:
+    """The text if all of it is one JSON document, else null: readers stop behind a first one without a word."""
+    c = F.col(body) if isinstance(body, str) else body
+    # beside a second element the document must be the whole first one
+    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(",0]"))), "$", "array<variant>")
+    return F.when(F.size(pair) == 2, c)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from leadflow import schemas
 from leadflow.functions import fixed
-from leadflow.functions.tables import cap_per_key, look_up
-from leadflow.functions.text import filled, or_blank, strip
+from leadflow.functions.tables import cap_per_key, first_per_key, look_up
+from leadflow.functions.text import filled, or_blank, strict_json, strip
 
 TEXT_FIELDS = ["industry", "niche", "description", "address", "phone", "target_market", "homepage_raw_text"]
 LIST_FIELDS = ["case_studies", "website_contacts", "general_emails"]
@@ -62,8 +62,8 @@ def parse_extractions(resp: DataFrame) -> DataFrame:
     ``present`` lists the keys of the answer, ``populated`` those that hold something; only an answer with
     a populated key may be cached. An unreadable or empty answer has neither.
     """
-    parsed = resp.withColumn("intel", F.from_json("body", schemas.INTEL))
-    keys = F.when(F.try_parse_json("body").isNotNull(), F.json_object_keys("body"))
+    parsed = resp.withColumn("intel", F.from_json(strict_json("body"), schemas.INTEL))
+    keys = F.json_object_keys(strict_json("body"))
     with_keys = parsed.withColumn("present", F.coalesce(keys, F.array().cast("array<string>")))
     populated = F.filter(
         F.array(*[F.when(has_value(f, "intel."), F.lit(f)) for f in INTEL_FIELDS]), lambda f: f.isNotNull()
@@ -78,9 +78,11 @@ def parse_extractions(resp: DataFrame) -> DataFrame:
 def merge_extractions(rows: DataFrame, intel: DataFrame) -> DataFrame:
     """Put a domain's answer into all its rows.
 
-    Keys of the answer overwrite, null included; other fields stay. The row's domain becomes final.
+    Keys of the answer overwrite, null included; other fields stay. The row's domain becomes final. Of several
+    answers of a domain that with most keys counts.
     """
-    answer = intel.select(
+    order = [-F.size("present"), F.xxhash64("intel")]
+    answer = first_per_key(intel.select("domain", "intel", "present"), ["domain"], order).select(
         F.col("domain").alias("raw_domain"), F.col("intel").alias("_new"), F.col("present").alias("_keys")
     )
     joined = look_up(rows, answer, "raw_domain")

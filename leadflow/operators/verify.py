@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leadflow import schemas
 from leadflow.functions import fixed
-from leadflow.functions.text import bare_host, blank_to_null, filled, or_blank
+from leadflow.functions.tables import first_per_key
+from leadflow.functions.text import bare_host, blank_to_null, filled, or_blank, strict_json
 
 MATCH_THRESHOLD = 0.7
 
@@ -131,14 +132,17 @@ def _verdict_cells(e: Column) -> Column:
     )
 
 
-def parse_verdicts(batches: DataFrame, resp: DataFrame) -> DataFrame:
-    """Verdicts per item.
+def parse_verdicts(
+    batches: DataFrame, resp: DataFrame, size: int = fixed.VERDICT_BATCH, block: int = fixed.ROW_BATCH
+) -> DataFrame:
+    """One verdict per item.
 
     ``batches(batch_id, row_index)`` are the items sent, ``resp(batch_id, body)`` one answer per batch:
     an array, or an object with ``results``. One bad entry, or no readable answer, fails the whole batch:
-    every item of it gets match false, confidence 0.0 and errored true.
+    every item of it gets match false, confidence 0.0 and errored true. An answer speaks of the items that were
+    sent in its block of rows, other row numbers are passed over; the last verdict of an item counts.
     """
-    doc = F.try_parse_json("body")
+    doc = F.try_parse_json(strict_json("body"))
     kind = F.schema_of_variant("_doc")
     listed = F.try_variant_get("_doc", "$", "array<variant>")
     wrapped = F.try_variant_get("_doc", "$.results", "array<variant>")
@@ -151,13 +155,19 @@ def parse_verdicts(batches: DataFrame, resp: DataFrame) -> DataFrame:
         .select("batch_id", F.transform(F.transform("_e", _answer_cells), _verdict_cells).alias("_e"))
         .select("batch_id", F.when(F.forall("_e", lambda e: e["good"]), F.col("_e")).alias("_e"))
     )
+    of_block = F.floor(F.col("batch_id") / -(-block // size)).alias("_block")
+    sent = batches.select(of_block, F.col("row_index").cast("long").alias("row_index")).distinct()
     parsed = (
-        answered.select("batch_id", F.explode_outer("_e").alias("e"))
+        answered.select("batch_id", F.posexplode_outer("_e").alias("_pos", "e"))
         .filter(F.col("e").isNotNull())
-        .select(*[F.col(f"e.{c}").alias(c) for c in verdict_columns()])
+        .select("batch_id", "_pos", of_block, *[F.col(f"e.{c}").alias(c) for c in verdict_columns()])
+        .join(sent, ["_block", "row_index"], "left_semi")
+        .drop("_block")
     )
     usable = answered.filter(F.col("_e").isNotNull()).select("batch_id").distinct()
     failed = batches.join(usable, "batch_id", "left_anti").select(
+        "batch_id",
+        F.lit(-1).alias("_pos"),
         F.col("row_index").cast("long").alias("row_index"),
         F.lit(False).alias("match"),
         F.lit(0.0).alias("confidence"),
@@ -165,11 +175,16 @@ def parse_verdicts(batches: DataFrame, resp: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("suggested_domain"),
         F.lit(True).alias("errored"),
     )
-    return parsed.unionByName(failed)
+    # the later batch and place first; a tie of equal places by the surest
+    order = [-F.col("batch_id"), -F.col("_pos"), -F.col("confidence"), F.xxhash64("reason", "suggested_domain")]
+    return first_per_key(parsed.unionByName(failed), ["row_index"], order).select(*verdict_columns())
 
 
 def _verdicts_by_row(verdicts: DataFrame) -> DataFrame:
-    return verdicts.select(
+    """One verdict per row: one that did not fail, the surest, whatever the table repeats."""
+    known = verdicts.select("row_index", "match", "confidence", "suggested_domain", "errored")
+    order = [F.coalesce("errored", F.lit(False)), -F.coalesce("confidence", F.lit(-1.0)), ~F.coalesce("match", F.lit(False)), or_blank("suggested_domain")]
+    return first_per_key(known, ["row_index"], order).select(
         "row_index",
         F.col("match").alias("_match"),
         F.col("confidence").alias("_conf"),
