@@ -6,6 +6,9 @@ import sys
 from collections.abc import Iterator
 from types import ModuleType
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``chars`` characters, one row at least."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= chars:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Row ranges of about ``size`` bytes, one row at least, with their texts: only a range is turned into strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start, done = 0, 0
+    while start < len(column):
+        end = min(len(column), max(start + 1, int(np.searchsorted(ends, done + size))))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start, done = end, int(ends[end - 1])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import process_cache, slices, written
+from leadflow.llm.common import process_cache, text_slices, written
 
 #: ASCII letters, digits and every byte above ASCII are parts of words; the rest are breaks
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -110,11 +110,10 @@ def _scan(docs: DataFrame, rows: list[tuple[str, list[str]]], text: str, out: st
         for batch in batches:
             names = batch.schema.names
             at = names.index(text)
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts, _SLICE_CHARS):
+            for a, b, texts in text_slices(batch.column(at), _SLICE_CHARS):
                 part = batch.slice(a, b - a)
                 before = part.column(names.index(out)).to_pylist() if again else [None] * (b - a)
-                hits = [_found(automaton, t or "", x) for t, x in zip(texts[a:b], before, strict=True)]
+                hits = [_found(automaton, t or "", x) for t, x in zip(texts, before, strict=True)]
                 columns = [part.column(i) for i, n in enumerate(names) if n != out]
                 kind = kind or pa.struct([
                     ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),

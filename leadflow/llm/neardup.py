@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import process_cache, slices, written
+from leadflow.llm.common import process_cache, text_slices, written
 
 _SLICE_CHARS = 1_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0x9E3779B97F4A7C15
-_BLOCK_NODES = 128
+_BLOCK_NODES = 64
 _WRAP = 2**64
 
 
@@ -144,10 +144,9 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataF
         sketcher = _Sketcher(s)
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in slices(texts, _SLICE_CHARS):
+                for a, b, texts in text_slices(batch.column(1), _SLICE_CHARS):
                     sizes, rows = [], []
-                    for text in texts[a:b]:
+                    for text in texts:
                         found = shingles(text, s.words)
                         sizes.append(len(found))
                         rows.append(sketcher.sketch(found) if len(found) else (None,) * 4)
@@ -166,9 +165,8 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
         sketcher = _Sketcher(s)
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for a, b in slices(texts, _SLICE_CHARS):
-                    found = [shingles(t, s.words) for t in texts[a:b]]
+                for _, _, texts in text_slices(batch.column(0), _SLICE_CHARS):
+                    found = [shingles(t, s.words) for t in texts]
                     found = [f for f in found if len(f)]
                     yield pa.RecordBatch.from_arrays(
                         [

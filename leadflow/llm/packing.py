@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import process_cache, slices
+from leadflow.llm.common import process_cache, text_slices
 
 _SLICE_CHARS = 2_000_000
 _CACHED_WORDS = 200_000
@@ -278,9 +278,9 @@ def pack(
 
         for batch in batches:
             id_arrow = batch.schema.field(0).type
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(texts.to_pylist(), _SLICE_CHARS):
-                for name, text in zip(names[a:b], texts[a:b].to_pylist(), strict=True):
+            names = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1), _SLICE_CHARS):
+                for name, text in zip(names[a:b], texts, strict=True):
                     for piece in _cut(words, [name, 0], text or "", window, end_id):
                         packer.add(piece)
                 if packer.out:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import slices
+from leadflow.llm.common import text_slices
 from leadflow.llm.neardup import word_hashes
 
 _SLICE_CHARS = 1_000_000
@@ -152,10 +152,9 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts, _SLICE_CHARS):
+            for a, b, texts in text_slices(batch.column(2), _SLICE_CHARS):
                 part = batch.slice(a, b - a)
-                rows = [r.tobytes() for r in features(texts[a:b])]
+                rows = [r.tobytes() for r in features(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], names=["id", "label", "row"])
 
     # repeated rows of an id count once
@@ -183,10 +182,9 @@ def score_quality(docs: DataFrame, model: Model | None, *, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts, _SLICE_CHARS):
+            for a, b, texts in text_slices(batch.column(at), _SLICE_CHARS):
                 part = batch.slice(a, b - a)
-                scores = sent.value.score(features(texts[a:b]))
+                scores = sent.value.score(features(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import process_cache, slices, written
+from leadflow.llm.common import process_cache, text_slices, written
 
 _SLICE_CHARS = 2_000_000
 _MARKS = "array<struct<pos:bigint,id:int,before:bigint>>"
@@ -35,10 +35,9 @@ def _counted(keep: Sequence[str], path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
             counts: list[int] = []
-            for a, b in slices(texts, _SLICE_CHARS):
-                counts += map(len, model.encode([t or "" for t in texts[a:b]], num_threads=1))
+            for _, _, texts in text_slices(batch.column(batch.num_columns - 1), _SLICE_CHARS):
+                counts += map(len, model.encode([t or "" for t in texts], num_threads=1))
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
