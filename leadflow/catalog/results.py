@@ -144,7 +144,7 @@ def sanitize_cells(spark, d):
 
 @query(
     "csv_sink",
-    f"SELECT * EXCLUDE (row_index) REPLACE (contact_no::VARCHAR AS contact_no) FROM ({WEBSITES_SQL})",
+    f"SELECT * EXCLUDE (row_index, contact_no) FROM ({WEBSITES_SQL})",
     VIEWS,
 )
 def csv_sink(spark, d):

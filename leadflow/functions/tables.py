@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadflow.functions.workspace import workspace
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """Keep the first row of each key by a declared order.
@@ -41,24 +43,22 @@ def look_up(rows: DataFrame, answers: DataFrame, on: str | Sequence[str], how: s
     return guarded[0].join(guarded[1], [*keys, "_guard"], how).drop("_guard")
 
 
-def dense_index(df: DataFrame, ordinal: str, name: str, buckets: int = 4096) -> DataFrame:
-    """Number rows 0, 1, 2 ... by a unique integer ``ordinal`` without a one-task window.
+def dense_index(df: DataFrame, ordinal: str, name: str, tasks: int = 64) -> DataFrame:
+    """Number rows 0, 1, 2 ... by a unique ``ordinal`` without a one-task window.
 
-    The table is read three times (range of the ordinal, size of each range, numbering), so give it a
-    stored one. Rows fall into at most ``buckets`` ranges of the ordinal; the start of each range is a running
-    sum over that small table, and the number inside a range is a window per range.
+    Rows are sorted into ranges of even size, wherever the values lie, and stored so that counting and numbering
+    see the same ranges. A row's number is its place in its range plus the rows of the ranges before.
     """
-    span = df.agg(F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi"))
-    lo = span.select("lo").scalar()
-    width = span.select((F.floor((F.col("hi") - F.col("lo")) / buckets) + 1).alias("w")).scalar()
-    placed = df.withColumn("_range", F.floor((F.col(ordinal) - lo) / width))
+    ranged = df.repartitionByRange(tasks, ordinal).sortWithinPartitions(ordinal)
+    path = workspace(df.sparkSession, "numbered")
+    ranged.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # at most `buckets` rows, so one task and a broadcast are safe
+    # one row per range, so one task and a broadcast are safe
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(ordinal))
     return (
         placed.join(F.broadcast(starts), "_range")
-        .withColumn(name, F.col("_start") + inside - 1)
-        .drop("_range", "_start")
+        .withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("_range", "_start", "_id")
     )

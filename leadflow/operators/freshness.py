@@ -34,25 +34,31 @@ def cache_keys(df: DataFrame, prefix: str, cols: Sequence[str]) -> DataFrame:
     return df.withColumn("cache_key", cache_key(prefix, cols))
 
 
-def live_entries(cache: DataFrame, now: Column) -> DataFrame:
-    """Newest entry per key, if it is still within its time."""
+def live_entries(cache: DataFrame, now: Column, fields: Sequence[str] = ("payload",)) -> DataFrame:
+    """Newest entry per key, if it is still within its time: the key, ``fields`` and ``written_at``."""
     newest = cache.groupBy("cache_key").agg(
-        F.max_by(F.struct("payload", "written_at", "ttl_seconds"), "written_at").alias("e")
+        F.max_by(F.struct(*fields, "written_at", "ttl_seconds"), "written_at").alias("e")
     )
     age = micros(now) - micros("e.written_at")
     fresh = newest.filter((age >= 0) & (age < F.col("e.ttl_seconds").cast("long") * 1_000_000))
-    return fresh.select("cache_key", F.col("e.payload").alias("payload"), F.col("e.written_at").alias("written_at"))
+    return fresh.select("cache_key", *[F.col(f"e.{c}").alias(c) for c in fields], F.col("e.written_at").alias("written_at"))
+
+
+def asked_entries(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """Cache entries that someone asks for; those written after ``now`` do not exist yet."""
+    asked = requests.select("cache_key").distinct()
+    return cache.filter(F.col("written_at") <= now).join(asked, "cache_key", "left_semi")
 
 
 def cache_hits(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """Requests with a fresh answer. Entries written after ``now`` do not exist yet."""
-    known = live_entries(cache.filter(F.col("written_at") <= now), now)
+    known = live_entries(asked_entries(requests, cache, now), now)
     return look_up(requests, known, "cache_key", "inner")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """Requests still to be fetched."""
-    known = live_entries(cache.filter(F.col("written_at") <= now), now)
+    known = live_entries(asked_entries(requests, cache, now), now, fields=())
     return requests.join(known.select("cache_key"), "cache_key", "left_anti")
 
 

@@ -15,7 +15,7 @@ from leadflow.functions.tables import cap_per_key, first_per_key, look_up
 from leadflow.functions.text import any_of, col, filled, one_of, or_blank, strip
 from leadflow.operators.domains import is_antibot
 
-SKIPPED_TAGS = ["script", "style", "nav", "footer", "header", "noscript", "svg"]
+SKIPPED_TAGS = ["script", "style", "nav", "footer", "header", "noscript", "svg", "template", "rt", "rp"]
 # Entities that the fast path decodes itself; & comes last.
 ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\xa0",
@@ -23,6 +23,11 @@ ENTITIES = {
 }
 _TAG = r"<(?:/?[a-zA-Z]|!)[^>]*>"
 _BREAK = "\x01"
+# steps over whole attributes, so that quoted text is never taken for one
+_HREF = (
+    r"""(?is)<a(?:\s++(?!href\s*=)[^\s"'>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+\s++href\s*=\s*"""
+    r"""("[^"]*"|'[^']*'|[^\s>"']+)"""
+)
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 
 
@@ -152,7 +157,7 @@ def page_links(pages: DataFrame, key: str = "page_id", site_col: str = "site", h
     """
     site = F.col("site")
     hrefs = F.regexp_extract_all(
-        without_blocks("_html", ["script", "style"]), F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1)
+        without_blocks("_html", ["script", "style"]), F.lit(_HREF), F.lit(1)
     )
 
     def cleaned(href: Column) -> Column:
@@ -173,18 +178,21 @@ def page_links(pages: DataFrame, key: str = "page_id", site_col: str = "site", h
         page = link["path"].rlike(r"[^/]") & ~link["path"].rlike(rf"(?:{one_of(fixed.SKIPPED_FILES)})/*$")
         return ((host == site) | (host == F.concat(F.lit("www."), site))) & page
 
+    def named_path(link: Column) -> Column:
+        url = F.concat(link["scheme"], link["netloc"], link["path"])
+        return F.struct(F.regexp_replace(link["path"], r"/+$", "").alias("path"), link["ordinal"].alias("ordinal"), url.alias("url"))
+
+    def firsts(links: Column) -> Column:
+        paths = F.transform(links, lambda x: x["path"])
+        return F.transform(F.array(paths), lambda all_paths: F.filter(links, lambda x, i: F.array_position(all_paths, x["path"]) == i + 1))[0]
+
     resolved = F.transform(F.transform(hrefs, cleaned), lambda h: resolved_link(h, site))
-    found = F.filter(F.transform(resolved, parts), kept)
+    own = F.transform(F.filter(F.transform(resolved, parts), kept), named_path)
+    # bound once: the first of each path is found inside the page's own list
+    found = F.transform(F.array(own), firsts)[0]
     named = pages.select(key, F.col(site_col).alias("site"), F.col(html_col).alias("_html"))
     links = named.select(key, "site", F.explode_outer(found).alias("l")).filter(F.col("l").isNotNull())
-    return first_per_key(
-        links.select(
-            key, "site", F.regexp_replace("l.path", r"/+$", "").alias("path"), "l.ordinal",
-            F.concat("l.scheme", "l.netloc", "l.path").alias("url"),
-        ),
-        [key, "site", "path"],
-        ["ordinal"],
-    )
+    return links.select(key, "site", "l.path", "l.ordinal", "l.url")
 
 
 def relevant_links(

@@ -182,8 +182,9 @@ def parse_verdicts(
 
 def _verdicts_by_row(verdicts: DataFrame) -> DataFrame:
     """One verdict per row: one that did not fail, the surest, whatever the table repeats."""
-    known = verdicts.select("row_index", "match", "confidence", "suggested_domain", "errored")
-    order = [F.coalesce("errored", F.lit(False)), -F.coalesce("confidence", F.lit(-1.0)), ~F.coalesce("match", F.lit(False)), or_blank("suggested_domain")]
+    known = verdicts.select("row_index", "match", "confidence", "suggested_domain", *[c for c in ("errored",) if c in verdicts.columns])
+    failed = [F.coalesce("errored", F.lit(False))] if "errored" in verdicts.columns else []
+    order = [*failed, -F.coalesce("confidence", F.lit(-1.0)), ~F.coalesce("match", F.lit(False)), or_blank("suggested_domain")]
     return first_per_key(known, ["row_index"], order).select(
         "row_index",
         F.col("match").alias("_match"),

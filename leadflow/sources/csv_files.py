@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions.text import blank_to_null, or_blank, strip
@@ -77,26 +79,35 @@ def paste_rows(spark: SparkSession, path: str) -> DataFrame:
     return read_header_csv(spark, path, paste_delimiter(header))
 
 
-def csv_sink(df: DataFrame, path: str, order: str | None = "row_index", single_file: bool = False) -> None:
+def csv_line(columns: Sequence[str]) -> Column:
+    """Cells as one CSV line: quoted where they hold a comma, a quote or a line break, otherwise as they are."""
+    def cell(name: str) -> Column:
+        value = or_blank(F.col(f"`{name}`").cast("string"))
+        quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(value.rlike('[",\\r\\n]'), quoted).otherwise(value)
+
+    return F.concat_ws(",", *[cell(c) for c in columns])
+
+
+def csv_sink(
+    df: DataFrame, path: str, order: Sequence[str] = ("row_index", "contact_no"), single_file: bool = False
+) -> None:
     """Write UTF-8 CSV with a byte order mark, header and CRLF line ends, in row order.
 
-    ``order`` is dropped from the output when it is ``row_index``. Each part file is complete with its
-    header; ``single_file`` merges them for a hand-out of modest size.
+    The columns of ``order`` that the table has sort the lines and are left out. Cells keep their bytes, line
+    breaks inside them too. Each part file is complete with its header; ``single_file`` merges them for a
+    hand-out of modest size.
     """
-    ordered = df.orderBy(order) if order else df
-    if single_file:
-        ordered = ordered.coalesce(1)
-    if order == "row_index":
-        ordered = ordered.drop("row_index")
-    first, *rest = ordered.columns
-    named = ordered.select(F.col(f"`{first}`").alias(BOM + first), *[f"`{c}`" for c in rest])
-    (
-        named.write.mode("error")
-        .option("header", True)
-        .option("lineSep", "\r\n")
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    order = [c for c in order if c in df.columns]
+    columns = [c for c in df.columns if c not in order]
+    header = BOM + ",".join(columns)
+    if df.isEmpty():
+        lines = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
+    else:
+        ordered = df.orderBy(*order) if order else df
+        if single_file:
+            ordered = ordered.coalesce(1)
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its part file
+        line = csv_line(columns)
+        lines = ordered.select(F.when(first, F.concat(F.lit(header + "\r\n"), line)).otherwise(line).alias("value"))
+    lines.write.mode("error").option("lineSep", "\r\n").text(path)

@@ -32,19 +32,21 @@ def status_changes(
     """Snapshots whose status differs from the row's previous one; the first sight is no change.
 
     A row's history is cut into time slots; each slot takes over the last status of the slot before, so a
-    row with very many snapshots spreads over many tasks.
+    row with very many snapshots spreads over many tasks. A null key is a row like others; snapshots without a
+    time come first.
     """
     cut = snapshots.withColumn("_slot", F.floor(micros(order[0]) / (slot_seconds * 1_000_000)))
     at = F.struct(*order)
     # a struct keeps a null status apart from no status at all
     ends = cut.groupBy(key, "_slot").agg(F.max_by(F.struct("status"), at).alias("_last"))
     carried = ends.select(
-        key, "_slot", F.lag("_last").over(Window.partitionBy(key).orderBy("_slot")).alias("_carried")
+        F.col(key).alias("_key"), F.col("_slot").alias("_at_slot"), F.lag("_last").over(Window.partitionBy(key).orderBy("_slot")).alias("_carried")
     )
     inside = Window.partitionBy(key, "_slot").orderBy(*order)
     previous = F.coalesce(F.lag(F.struct("status")).over(inside), F.col("_carried"))
     return (
-        cut.join(carried, [key, "_slot"])
+        cut.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_at_slot")))
+        .drop("_key", "_at_slot")
         .withColumn("_prev", previous)
         .filter(F.col("_prev").isNotNull() & ~F.col("_prev.status").eqNullSafe(F.col("status")))
         .withColumn("previous_status", F.col("_prev.status"))

@@ -8,6 +8,7 @@ time and with a few numbers of state, never as a whole in memory.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -40,13 +41,16 @@ class Sliding:
     """At most ``limit`` accepted requests younger than the window."""
 
     def __init__(self, limit: int, window: int, accepted: Sequence[int] = ()):
-        self.limit, self.window, self.accepted = limit, window, list(accepted)
+        self.window = window
+        # the limit-th last accepted request is all that can refuse one
+        self.recent = deque(accepted, maxlen=max(1, limit))
+        self.limit = limit
 
     def accept(self, ts: int) -> bool:
-        self.accepted = [t for t in self.accepted if ts - t < self.window]
-        if len(self.accepted) >= self.limit:
+        full = len(self.recent) >= self.limit
+        if self.limit < 1 or (full and ts - self.recent[0] < self.window):
             return False
-        self.accepted.append(ts)
+        self.recent.append(ts)
         return True
 
 
@@ -62,32 +66,38 @@ def _crowded(events: DataFrame, keys: Sequence[str], limit: int, window: int, an
     opens = ~joined if anchored else ~(joined & dense)
     slots = slots.withColumn("_dense", dense).withColumn("_opens", opens.cast("int"))
     slots = slots.withColumn("_stretch", F.sum("_opens").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    walked = slots.groupBy(*keys, "_stretch").agg(F.max("_dense").alias("_walk"))
-    return slots.join(walked, [*keys, "_stretch"]).select(*keys, "_slot", "_stretch", "_walk")
+    walk = F.max("_dense").over(Window.partitionBy(*keys, "_stretch"))
+    return slots.select(*keys, "_slot", "_stretch", walk.alias("_walk"))
 
 
 def _limited(events: DataFrame, keys: Sequence[str], order: str, limit: int, seconds: int, anchored: bool) -> DataFrame:
     window = seconds * MICROS
-    events = events.withColumn("_slot", F.floor(micros("ts") / window))
-    marked = events.join(_crowded(events, keys, limit, window, anchored), [*keys, "_slot"])
+    untimed = events.filter(F.col("ts").isNull()).withColumn("allowed", F.lit(None).cast("boolean"))
+    events = events.filter(F.col("ts").isNotNull()).withColumn("_slot", F.floor(micros("ts") / window))
+    same = [*keys, "_slot"]
+    crowds = _crowded(events, keys, limit, window, anchored).withColumnsRenamed({c: f"_of_{c}" for c in same})
+    # requests without a key are one client of their own
+    marked = events.join(crowds, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in same]).drop(*[f"_of_{c}" for c in same])
     quiet = marked.filter(~F.col("_walk")).withColumn("allowed", F.lit(True)).drop("_slot", "_stretch", "_walk")
     out_cols = quiet.columns
     rule = Daily if anchored else Sliding
-    group = [*keys, "_stretch"]
+    group = "_group"
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for pdf in batches:
             verdicts = []
-            for row in zip(*[pdf[g] for g in group], pdf["_us"]):
-                if row[:-1] != current:
-                    current, state = row[:-1], rule(limit, window)
-                verdicts.append(state.accept(int(row[-1])))
+            for name, us in zip(pdf[group], pdf["_us"]):
+                if name != current:
+                    current, state = name, rule(limit, window)
+                verdicts.append(state.accept(int(us)))
             yield pdf.assign(allowed=verdicts)[out_cols]
 
-    crowded = marked.filter("_walk").withColumn("_us", micros("ts")).drop("_slot", "_walk")
-    ordered = crowded.repartition(*group).sortWithinPartitions(*group, "_us", order)
-    return quiet.unionByName(ordered.mapInPandas(walk, quiet.schema))
+    crowded = marked.filter("_walk").withColumn("_us", micros("ts")).withColumn(
+        group, F.to_json(F.struct(*keys, "_stretch"), {"ignoreNullFields": "false"})
+    )
+    ordered = crowded.drop("_slot", "_walk", "_stretch").repartition(group).sortWithinPartitions(group, "_us", order)
+    return quiet.unionByName(ordered.mapInPandas(walk, quiet.schema)).unionByName(untimed)
 
 
 def daily_limits(
@@ -97,10 +107,13 @@ def daily_limits(
     order: str = "event_id",
     seconds: int = 86_400,
 ) -> DataFrame:
-    """Add ``allowed`` per request. ``limit`` None takes the fixed limits; an unknown action passes."""
+    """Add ``allowed`` per request. ``limit`` None takes the fixed limits; an unknown action passes.
+
+    A request without a time cannot be placed: ``allowed`` is null. Null keys count as a value.
+    """
     if limit is not None:
         return _limited(events, keys, order, limit, seconds, anchored=True)
-    kinds = F.concat_ws("|", "identifier_type", "action")
+    kinds = F.concat_ws("|", F.coalesce("identifier_type", F.lit("")), F.coalesce("action", F.lit("")))
     known = [f"{t}|{a}" for t, a in fixed.DAILY_LIMITS]
     free = events.filter(~kinds.isin(known)).withColumn("allowed", F.lit(True))
     for size in sorted(set(fixed.DAILY_LIMITS.values())):
@@ -137,7 +150,7 @@ def _limit_stream(
         # requests of one micro-batch are taken in time order
         pdf = pd.concat(list(batches)).sort_values(["_us", order])
         allowed = [rule.accept(int(t)) for t in pdf["_us"]]
-        state.update(([rule.start, rule.count] if anchored else rule.accepted,))
+        state.update(([rule.start, rule.count] if anchored else list(rule.recent),))
         state.setTimeoutTimestamp(int(pdf["_us"].iloc[-1]) // 1000 + 2 * seconds * 1000)
         yield pd.DataFrame({key: key_values[0], order: pdf[order].to_numpy(), "allowed": allowed})
 

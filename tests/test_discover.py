@@ -145,8 +145,13 @@ def test_score_looks_at_first_result(spark):
 def test_dense_index_and_hot_keys(spark):
     values = random.Random(3).sample(range(10**9), 500)
     df = spark.createDataFrame([(v,) for v in values], "o long")
-    got = {r.o: r.i for r in dense_index(df, "o", "i", buckets=16).collect()}
+    got = {r.o: r.i for r in dense_index(df, "o", "i", tasks=16).collect()}
     assert got == {v: i for i, v in enumerate(sorted(values))}
+    far = spark.range(2000).union(spark.range(10**15, 10**15 + 1)).toDF("o")
+    numbered = dense_index(far, "o", "i", tasks=8)
+    assert numbered.filter("i <> CASE WHEN o > 5000 THEN 2000 ELSE o END").count() == 0
+    sizes = far.repartitionByRange(8, "o").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() < 2 * 2001 / 8  # one far value leaves the ranges even
     hot = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"), F.col("id").alias("o"))
     assert first_per_key(hot, ["k"], ["o"]).count() == 4001
     assert cap_per_key(hot, ["k"], ["o"], 5).filter("k = 'hot'").toPandas()["o"].sort_values().tolist() == [0, 3, 6, 9, 12]

@@ -57,3 +57,25 @@ def test_unknown_actions_pass(spark):
     df = spark.createDataFrame(rows, "event_id long, identifier string, identifier_type string, action string, ts timestamp")
     got = limits.daily_limits(df).groupBy("action", "allowed").count().collect()
     assert {(r.action, r.allowed): r["count"] for r in got} == {("upload", True): 50, ("upload", False): 10, ("other", True): 60}
+
+
+def test_null_keys_and_times_stay(spark):
+    import datetime as dt
+
+    at = [dt.datetime(2024, 1, 1, 0, 0, s) for s in range(6)]
+    rows = [(0, None, at[0]), (1, None, at[1]), (2, "a", at[2]), (3, "a", None), (4, "a", at[3]), (5, None, None)]
+    df = spark.createDataFrame(rows, "event_id long, client string, ts timestamp")
+    for got in (limits.sliding_limits(df, 1, 60), limits.daily_limits(df, 1, ["client"], seconds=60)):
+        assert {r.event_id: r.allowed for r in got.collect()} == {0: True, 1: False, 2: True, 3: None, 4: False, 5: None}
+
+
+def test_status_changes_of_null_keys(spark):
+    import datetime as dt
+
+    from leadflow.streaming.feeds import status_changes
+
+    day = lambda d: dt.datetime(2024, 1, d)
+    rows = [(0, None, day(1), "a"), (1, None, day(3), "b"), (2, 7, None, "a"), (3, 7, day(1), "b"), (4, 7, day(1), "b")]
+    df = spark.createDataFrame(rows, "event_id long, row_index long, ts timestamp, status string")
+    got = status_changes(df).collect()
+    assert sorted((r.event_id, r.previous_status) for r in got) == [(1, "a"), (3, "a")]

@@ -32,13 +32,14 @@ def test_page_text(spark):
 
 def test_page_text_limit_and_null(spark):
     df = spark.createDataFrame([("<body>" + "x" * 9000 + "</body>",), (None,)], "html string")
-    assert [len(r.text) for r in pages.page_text(df).collect()] == [8000, 0]
+    assert [len(r.text) for r in pages.page_text(df, limit=8000).collect()] == [8000, 0]
+    assert [len(r.text) for r in pages.page_text(df).collect()] == [9000, 0]
 
 
 def test_both_readers_agree_on_given_pages(spark):
     df = pages.page_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     for r in df.select("html", "text").collect():
-        assert r.text == _text_by_parser(r.html, 8000)
+        assert r.text == _text_by_parser(r.html, None)
 
 
 HREFS = ["/about", "team", "./x", "../y", "a/../b", "/a/./b/", "//other.com/z", "https://acme.com/q?x#y", "?p=1", "#top", "/", "mailto:a@b.c", "a//b", "/a//b", "..", "a/.", "HTTPS://www.acme.com/w"]
@@ -93,3 +94,21 @@ def test_documents_and_their_cut(spark):
     whole = "\n\n---\n\n".join(["[Page: ]\n"] * 3000)
     assert len(doc.page_urls) == 3000 and extract.site_documents(many).first().document == whole
     assert doc.n_pages == 3000 and doc.document == whole[:16000] + "\n\n[...truncated]"
+
+
+def test_link_and_template_probes(spark):
+    html = (
+        '<a title="see href=/bad now" href="/about">x</a><a data-x=\'href="/no"\' class=y href=/team/>t</a><a\nhref = "/about/">again</a>'
+        '<A HREF="https://www.s.com/news?x=1">n</A><a hreflang="en" href="/de">d</a><abbr href="/never">z</abbr><a name="top">no</a>'
+    )
+    df = spark.createDataFrame([(1, "s.com", html), (2, "s.com", None), (3, "s.com", "<a " + "x=1 " * 20_000 + 'href="/far">')], "page_id int, site string, html string")
+    links = pages.page_links(df)
+    got = sorted((r.page_id, r.ordinal, r.path, r.url) for r in links.collect())
+    assert got == [
+        (1, 0, "/about", "https://s.com/about"), (1, 1, "/team", "https://s.com/team/"), (1, 3, "/news", "https://www.s.com/news"),
+        (1, 4, "/de", "https://s.com/de"), (3, 0, "/far", "https://s.com/far"),
+    ]
+    for plan in (links, pages.relevant_links(links, ["industry_description"])):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    texts = spark.createDataFrame([("<body>a<template>hidden <b>x</b></template><ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby></body>",)], "html string")
+    assert pages.page_text(texts).first().text == "a\nk"

@@ -67,7 +67,7 @@ def test_natural_order(spark):
 def test_csv_in_counts_skipped_rows_and_ignores_bom(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_bytes("﻿company,location\nStripe, San Francisco \n  ,x\n\"A, \"\"B\"\"\nC\",\nMonzo\n".encode())
-    got = csv_files.csv_company_rows(spark, str(path), "company", "location").collect()
+    got = csv_files.csv_company_rows(spark, str(path), "company", "location").orderBy("row_index").collect()
     assert [(r.row_index, r.company_name, r.location) for r in got] == [(0, "Stripe", "San Francisco"), (2, 'A, "B"\nC', None), (3, "Monzo", None)]
     assert [r.row_index for r in csv_files.csv_company_rows(spark, str(path), "company", max_rows=2).collect()] == [0, 2]
 
@@ -75,10 +75,22 @@ def test_csv_in_counts_skipped_rows_and_ignores_bom(spark, tmp_path):
 def test_csv_out_bytes(spark, tmp_path):
     rows = spark.createDataFrame([(1, "b", 'say "hi"'), (0, "a, x", ""), (2, "é", None)], "row_index int, name string, note string")
     csv_files.csv_sink(rows, str(tmp_path / "out"), single_file=True)
-    [part] = Path(tmp_path / "out").glob("part-*.csv")
+    [part] = Path(tmp_path / "out").glob("part-*.txt")
     assert part.read_bytes().decode() == '﻿name,note\r\n"a, x",\r\nb,"say ""hi"""\r\né,\r\n'
 
 
+def test_csv_out_keeps_line_breaks_and_contact_order(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(1, 0, "A\nB"), (0, 1, "second"), (0, 0, "first\r\nline, with \r and \"q\""), (1, 1, " spaced ")], "row_index int, contact_no int, note string"
+    )
+    csv_files.csv_sink(rows, str(tmp_path / "one"), single_file=True)
+    [part] = Path(tmp_path / "one").glob("part-*.txt")
+    want = '﻿note\r\n"first\r\nline, with \r and ""q"""\r\nsecond\r\n"A\nB"\r\n spaced \r\n'
+    assert part.read_bytes().decode() == want
+    csv_files.csv_sink(rows.limit(0), str(tmp_path / "none"))
+    assert b"".join(p.read_bytes() for p in Path(tmp_path / "none").glob("part-*.txt")).decode() == "﻿note\r\n"
+
+
 def test_pasted_text_delimiter(spark, tmp_path):
     assert csv_files.paste_delimiter("a\tb,c") == "\t" and csv_files.paste_delimiter("a,b,c\td") == ","
     (tmp_path / "p.txt").write_text("a, b ,c\n1,2,3\n\n4,5,6\n")
@@ -161,5 +173,5 @@ def test_limit_state_lives_across_micro_batches(spark, tmp_path):
 def test_helpers_travel_with_their_job(spark):
     from pyspark import cloudpickle
 
-    blob = cloudpickle.dumps(contacts._plain_name)
-    assert b"unicodedata" in blob and len(blob) > 200
+    blob = cloudpickle.dumps(contacts._letters)
+    assert b"NFKD" in blob and len(blob) > 200
