@@ -200,18 +200,6 @@ def _least_agreement(s: Settings) -> int:
     return int(s.hashes * p - 6.5 * (s.hashes * p * (1 - p)) ** 0.5)
 
 
-def _promising(s: Settings):
-    """Pairs whose minhash bytes do not rule the similarity out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, s.hashes) for i in (2, 3))
-            keep = (x == y).sum(axis=1) >= _least_agreement(s)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    return run
-
-
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
@@ -324,14 +312,13 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
     candidates = members.select("node").distinct()
     texts = docs.join(nodes.join(candidates, "node").select(F.col("first").alias(id_col)).distinct(), id_col, "left_semi")
     sets = written(_sets(texts.select(F.col(text_col).cast("string")), s).join(candidates, "node", "left_semi"), "sets")
-    small = nodes.select("node", "n", "sig")
+    lengths = nodes.select("node", "n")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among the (x, y) pairs."""
-        sized = pairs.join(small.toDF("x", "nx", "sx"), "x").join(small.toDF("y", "ny", "sy"), "y")
+        sized = pairs.join(lengths.toDF("x", "nx"), "x").join(lengths.toDF("y", "ny"), "y")
         fit = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * s.percent
-        likely = sized.filter(fit).select("x", "y", "sx", "sy").mapInArrow(_promising(s), "x bigint, y bigint")
-        both = likely.join(sets.toDF("x", "fx"), "x").join(sets.toDF("y", "fy"), "y")
+        both = sized.filter(fit).select("x", "y").join(sets.toDF("x", "fx"), "x").join(sets.toDF("y", "fy"), "y")
         return both.select("x", "y", "fx", "fy").mapInArrow(_linked(s.percent), "x bigint, y bigint")
 
     # first each node with the smallest of all its heads, which most copies share
@@ -347,11 +334,11 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
     left = written(now.join(mixed.filter("lo < hi").select("key", "members"), "key"), "members-left")
     if left.isEmpty():
         return labels
-    more = written(_across(left, small, sets, s), "confirmed")
+    more = written(_across(left, nodes, sets, s), "confirmed")
     return labels if more.isEmpty() else connected(links.union(more))
 
 
-def _across(left: DataFrame, small: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _across(left: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Links between components among the nodes that share a key: ``left`` has (key, node, comp, members)."""
     # the home of a node is the largest key it has; a home's nodes are dealt into blocks
     homes = left.groupBy("node").agg(F.max(F.struct("members", "key")).alias("h"), F.first("comp").alias("comp"))
@@ -359,7 +346,7 @@ def _across(left: DataFrame, small: DataFrame, sets: DataFrame, s: Settings) ->
     sizes = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / _BLOCK_NODES).alias("blocks"))
     dealt = homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = written(dealt.select("node", "comp", F.xxhash64("home", "part").alias("block")), "blocks-of")
-    full = dealt.join(small.select("node", "sig"), "node").join(sets, "node")
+    full = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
     packed = full.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "sig", "found")).alias("held"))
     packed = written(packed, "blocks")
     met = left.select("key", "node").join(dealt, "node").groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
