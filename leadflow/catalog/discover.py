@@ -445,14 +445,12 @@ def listing_merge_pages(spark, d):
     return merged_listing(spark, d)
 
 
-QUERY_TEXTS = [
-    """'site:g2.com/products "' || name || '"'""", "'site:g2.com/products ' || name || ' software reviews'",
-    "'site:g2.com/products best ' || name || ' tools'", "'site:g2.com/products ' || name || ' alternatives'",
-    "'site:g2.com/products top ' || name || ' software 2025 2026'", "'g2.com/products ' || name",
-    """'site:g2.com/products "' || name || '" platform'""", """'site:g2.com/products "' || name || '" vendor'""",
-    """'site:g2.com/products "G2 Grid" "' || name || '"'""", """'site:g2.com/products "' || name || '" 2026'""",
-    """'site:g2.com/products "' || name || '" software company'""", """'site:g2.com/products "' || name || '" pricing'""",
-]
+def _sql_text(phrase: str) -> str:
+    """A phrasing as an SQL expression, with the column ``name`` in its place."""
+    return "'" + phrase.replace("'", "''").replace("{name}", "' || name || '") + "'"
+
+
+QUERY_TEXTS = [_sql_text(q) for q in fixed.CATEGORY_QUERIES]
 
 
 @query(
@@ -515,12 +513,7 @@ def category_total_cap(spark, d):
 
 # --- funding news ----------------------------------------------------------------------------
 
-NEWS_SQL = [
-    """'startup "raises" funding'""", """'"Series A" OR "Series B" OR "Series C" funding round'""",
-    """'"Series D" OR "Series E" OR "Series F" funding round'""", """'"seed round" OR "pre-seed" startup funding'""",
-    """'startup "closes" funding round'""", """'"growth equity" OR "growth round" startup'""",
-    """'"venture debt" OR "bridge round" startup'""", """'startup "raised from" investors'""",
-]
+NEWS_SQL = [_sql_text(q) for q in fixed.NEWS_QUERIES]
 
 
 @query(

@@ -42,7 +42,7 @@ def _intel_cells(options: Sequence[str]) -> list[Column]:
     return cells
 
 
-# output column, contact field; in column order
+# Output column and contact field, in column order.
 _CONTACT_CELLS = [
     ("contact_title", "title"), ("first_name", "first_name"), ("last_name", "last_name"),
     ("email", "email"), ("phone", "phone"), ("linkedin", "linkedin_url"),
