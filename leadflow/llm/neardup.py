@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadflow.llm.common import process_cache, text_slices, written
+from leadflow.llm.urlfilter import bloom_level
 
 _SLICE_CHARS = 1_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0x9E3779B97F4A7C15
 _BLOCK_NODES = 64
+_FILTER_BYTES = 64 << 20
 _WRAP = 2**64
 
 
@@ -310,7 +312,8 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
     heads = written(heads.select("key", "head"), "heads")
     members = written(keyed.join(heads, "key"), "members")  # (key, node, head) of keys that several nodes share
     candidates = members.select("node").distinct()
-    texts = docs.join(nodes.join(candidates, "node").select(F.col("first").alias(id_col)).distinct(), id_col, "left_semi")
+    wanted = written(nodes.join(candidates, "node").select(F.col("first").alias("key")).distinct(), "wanted")
+    texts = _mostly(docs, id_col, wanted).join(wanted.toDF(id_col), id_col, "left_semi")
     sets = written(_sets(texts.select(F.col(text_col).cast("string")), s).join(candidates, "node", "left_semi"), "sets")
     lengths = nodes.select("node", "n")
 
@@ -338,6 +341,17 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
     return labels if more.isEmpty() else connected(links.union(more))
 
 
+def _mostly(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
+    """The documents that may be wanted: a Bloom filter drops most others before their texts are shuffled.
+
+    It is sent to the tasks, so a list that would take more than ``_FILTER_BYTES`` is not filtered for.
+    """
+    n = wanted.count()
+    if not 0 < n * 10 // 8 <= _FILTER_BYTES:
+        return docs
+    return docs.filter(bloom_level(wanted, n, 10, seed=9).holds(F.col(id_col)))
+
+
 def _across(left: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Links between components among the nodes that share a key: ``left`` has (key, node, comp, members)."""
     # the home of a node is the largest key it has; a home's nodes are dealt into blocks
@@ -351,10 +365,15 @@ def _across(left: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) ->
     packed = written(packed, "blocks")
     met = left.select("key", "node").join(dealt, "node").groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     met = written(met, "blocks-met")
+    # blocks wholly of the component that fills most of a key need no test among themselves
+    fill = met.filter("lo = hi").groupBy("key", "lo").agg(F.count(F.lit(1)).alias("n"))
+    most = fill.groupBy("key").agg(F.max_by("lo", F.struct("n", "lo")).alias("most"))
+    odd = met.join(most, "key", "left").filter("most IS NULL OR lo <> most OR hi <> most").drop("most")
     other = met.toDF("key", "other", "other_lo", "other_hi")
     # the same single component on both sides needs no test
     several = F.least("lo", "other_lo") < F.greatest("hi", "other_hi")
-    pairs = met.join(other, "key").filter((F.col("block") <= F.col("other")) & several).select("block", "other").distinct()
+    ends = [F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other")]
+    pairs = odd.join(other, "key").filter(several).select(*ends).distinct()
     both = pairs.join(packed, "block").select("other", F.col("held").alias("a")).join(packed.toDF("other", "b"), "other")
     return both.select("a", "b").mapInArrow(_between(s), "x bigint, y bigint")
 

@@ -64,7 +64,7 @@ class Level:
         return out
 
 
-def _level(keys: DataFrame, n: int, bits_per_key: float, seed: int) -> Level:
+def bloom_level(keys: DataFrame, n: int, bits_per_key: float, seed: int) -> Level:
     """Bits of ``keys`` as an array of longs, combined in the tasks before the shuffle."""
     n_words = max(1, math.ceil(n * bits_per_key / 64))
     shape = Level(F.lit(None), n_words * 64, max(1, round(bits_per_key * math.log(2))), seed)
@@ -106,7 +106,7 @@ def build_cascade(universe: DataFrame, max_bytes: int = 64 << 20) -> Cascade | N
     while n_inside:
         if (sum(level.bits for level in levels) + n_inside * per_key) / 8 > max_bytes:
             return None
-        level = _level(inside, n_inside, per_key, seed=len(levels))
+        level = bloom_level(inside, n_inside, per_key, seed=len(levels))
         levels.append(level)
         passed = written(outside.filter(level.holds(F.col("key"))), "cascade-passed")
         inside, outside, n_inside, per_key = passed, inside, passed.count(), 4.0
