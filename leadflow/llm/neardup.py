@@ -30,7 +30,8 @@ _SLICE_CHARS = 1_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0x9E3779B97F4A7C15
-_BLOCK_NODES = 64
+_BLOCK_NODES = 256
+_BLOCK_SHINGLES = 400_000
 _FILTER_BYTES = 64 << 20
 _WRAP = 2**64
 
@@ -354,12 +355,16 @@ def _mostly(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
 
 def _across(left: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Links between components among the nodes that share a key: ``left`` has (key, node, comp, members)."""
-    # the home of a node is the largest key it has; a home's nodes are dealt into blocks
+    # the home of a node is the largest key it has; a home's nodes are dealt into blocks, those of its largest
+    # component apart from the others
     homes = left.groupBy("node").agg(F.max(F.struct("members", "key")).alias("h"), F.first("comp").alias("comp"))
-    homes = homes.select("node", "comp", F.col("h.key").alias("home"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / _BLOCK_NODES).alias("blocks"))
-    dealt = homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = written(dealt.select("node", "comp", F.xxhash64("home", "part").alias("block")), "blocks-of")
+    homes = homes.join(nodes.select("node", "n"), "node").select("node", "comp", "n", F.col("h.key").alias("home"))
+    largest = homes.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("home").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
+    homes = homes.join(largest, "home").withColumn("main", F.col("comp") == F.col("most"))
+    room = F.greatest(F.count(F.lit(1)) / _BLOCK_NODES, F.sum("n") / _BLOCK_SHINGLES)
+    sizes = homes.groupBy("home", "main").agg(F.ceil(room).alias("blocks"))
+    dealt = homes.join(sizes, ["home", "main"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = written(dealt.select("node", "comp", F.xxhash64("home", "main", "part").alias("block")), "blocks-of")
     full = dealt.join(nodes.select("node", "sig"), "node").join(sets, "node")
     packed = full.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "sig", "found")).alias("held"))
     packed = written(packed, "blocks")
@@ -368,12 +373,13 @@ def _across(left: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) ->
     # blocks wholly of the component that fills most of a key need no test among themselves
     fill = met.filter("lo = hi").groupBy("key", "lo").agg(F.count(F.lit(1)).alias("n"))
     most = fill.groupBy("key").agg(F.max_by("lo", F.struct("n", "lo")).alias("most"))
-    odd = met.join(most, "key", "left").filter("most IS NULL OR lo <> most OR hi <> most").drop("most")
-    other = met.toDF("key", "other", "other_lo", "other_hi")
+    odd = F.col("most").isNull() | (F.col("lo") != F.col("most")) | (F.col("hi") != F.col("most"))
+    met = met.join(most, "key", "left").withColumn("odd", odd).drop("most")
+    other = met.toDF("key", "other", "other_lo", "other_hi", "other_odd")
     # the same single component on both sides needs no test
     several = F.least("lo", "other_lo") < F.greatest("hi", "other_hi")
-    ends = [F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other")]
-    pairs = odd.join(other, "key").filter(several).select(*ends).distinct()
+    once = ~F.col("other_odd") | (F.col("block") <= F.col("other"))
+    pairs = met.filter("odd").join(other, "key").filter(several & once).select("block", "other").distinct()
     both = pairs.join(packed, "block").select("other", F.col("held").alias("a")).join(packed.toDF("other", "b"), "other")
     return both.select("a", "b").mapInArrow(_between(s), "x bigint, y bigint")
 
