@@ -124,7 +124,7 @@ class Model:
         for a in range(0, len(rows), 512):
             near = self.project(rows[a : a + 512]) @ self.vectors.T
             best = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
-            weight = np.maximum(np.take_along_axis(near, best, axis=1), 0)
+            weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64)
             total = weight.sum(axis=1)
             vote = (weight * self.labels[best]).sum(axis=1)
             out[a : a + 512] = np.divide(vote, total, out=np.zeros(len(total)), where=total > 0)
