@@ -1,10 +1,11 @@
 """The six tools end to end, and the row statuses they leave."""
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from leadflow.catalog.base import div, firm_answers, firms, mod, query, table, text, view
+from leadflow.catalog.base import VIEWS, div, firm_answers, firms, mod, query, table, text, view
 from leadflow.catalog.contacts import FITS, REAL, WANTED, directory, people_text
 from leadflow.catalog.discover import articles, funding_answers, person_results, persons
 from leadflow.catalog.verify import batches_view, searched, verdict_answers, verdict_sql
@@ -308,3 +309,79 @@ def row_status_flow(spark, d):
     both = counts(websites(spark, d), "websites").unionByName(counts(run_intel(company_rows(spark, d), spark, d), "intel"))
     unknown = entities.unknown_statuses(both).select("status", F.lit(False).alias("_ok"))
     return both.join(unknown, "status", "left").select("tool", "status", "n_rows", F.coalesce("_ok", F.lit(True)).alias("allowed"))
+
+
+# --- many jobs in one table: their rows have equal numbers -------------------------------------
+
+JOB_ROWS = 40
+JOB_KEY = ("job_id", "row_index")
+
+
+def jobs_view(name: str, of: str, **instead: str) -> None:
+    """The view ``of`` with other views instead of the named ones."""
+    needs, sql = VIEWS[of]
+    for old, new in instead.items():
+        sql = re.sub(rf"\b{old}\b(?=[ ).]|$)", new, sql)
+    view(name, sql, tuple(instead.get(n, n) for n in needs))
+
+
+def job_batches(name: str, source: str, condition: str) -> None:
+    """Two batches of 20 a job, numbered through all jobs."""
+    view(
+        name,
+        f"""SELECT *, (row_index // {JOB_ROWS}) * 2 + (n - 1) // 20 AS batch_id FROM (
+            SELECT *, row_number() OVER (PARTITION BY row_index // {JOB_ROWS} ORDER BY row_index) AS n FROM {source} WHERE {condition})""",
+        (source,),
+    )
+
+
+def of_jobs(source: str) -> str:
+    return f"SELECT row_index // {JOB_ROWS} AS job_id, row_index % {JOB_ROWS} AS row_index, * EXCLUDE (row_index) FROM {source}"
+
+
+job_batches("job_item_batches", "searched", "raw_domain IS NOT NULL")
+view("job_verdicts", verdict_sql("job_item_batches"), ("job_item_batches",))
+jobs_view("job_verified", "verified", verdicts="job_verdicts")
+jobs_view("job_websites", "websites", verified="job_verified")
+intel_view("jobs", VIEWS["company_rows"][1], ("firms",))
+job_batches("jobs_batches", "jobs_resolved", "raw_domain IS NOT NULL AND input_type = 'name'")
+
+
+def in_jobs(rows):
+    """Rows with the number of their job and their number in it."""
+    return rows.withColumns({"job_id": div("row_index", JOB_ROWS), "row_index": mod("row_index", JOB_ROWS)})
+
+
+def job_answers(items):
+    """The answers about the items of all jobs, in the numbers of each job."""
+    numbered = written(verify.number_batches(items, key=JOB_KEY).select("job_id", "batch_id", "row_index"), "asked")
+    through = numbered.select(
+        (F.col("job_id") * JOB_ROWS + F.col("row_index")).alias("row_index"), (F.col("job_id") * 2 + F.col("batch_id")).alias("batch_id"),
+        F.col("row_index").alias("number"),
+    )
+    return verdict_answers(through, "number").select(div("batch_id", 2).alias("job_id"), mod("batch_id", 2).alias("batch_id"), "body")
+
+
+@query("website_finder_jobs", of_jobs("job_websites"), ("job_websites",))
+def website_finder_jobs(spark, d):
+    k = F.col("k")
+    redirects = firm_keys(spark, d).filter((k % 5 == 1) | (k % 5 == 2)).select(
+        firm_domain().alias("domain"), F.when(k % 5 == 1, text("https://moved", k, ".net/")).otherwise("https://x.com/a").alias("final_url")
+    )
+    answers = job_answers(verify.verify_items(in_jobs(searched(spark, d)), JOB_KEY))
+    p = Providers(search=firm_answers(spark, d), verdicts=answers, redirects=redirects, directory=flow_directory(spark, d))
+    rows = in_jobs(firms(spark, d)).select(*JOB_KEY, "company_name", "location")
+    out = tools.website_finder(rows, p, WANTED, key=JOB_KEY).withColumn("people", people_text(F.col("contacts")))
+    return out.select(*JOB_KEY, "raw_domain", "verified_domain", "verification_confidence", "normalized_domain", "status", "people")
+
+
+@query("company_intel_jobs", of_jobs("jobs_final"), ("jobs_final",))
+def company_intel_jobs(spark, d):
+    rows = written(in_jobs(company_rows(spark, d)), "rows")
+    p = intel_providers(spark, d)
+    names = rows.filter(F.coalesce(F.col("input_type") != "url", F.lit(True))).withColumn("company_name", F.col("input"))
+    found = discover.fan_out_search(names, discover.parse_search_responses(p.search))
+    items = verify.verify_items_intel(verify.resolve_rows(names, found, JOB_KEY), JOB_KEY)
+    out = tools.company_intel(rows, replace(p, verdicts=job_answers(items)), OPTIONS, titles=WANTED, key=JOB_KEY)
+    columns = intel_columns(out.withColumn("row_index", F.struct(*JOB_KEY)))
+    return columns.select("row_index.job_id", "row_index.row_index", *columns.columns[1:])

@@ -109,11 +109,11 @@ def verify_batches(spark, d):
     return verify.verify_batches(verify.verify_items(searched(spark, d)))
 
 
-def verdict_answers(items):
-    """One answer per batch: a list, an object, garbage, or one entry without a reason."""
-    r = F.col("row_index")
+def verdict_answers(items, number="row_index"):
+    """One answer per batch: a list, an object, garbage, or one entry without a reason; ``number`` is the row it names."""
+    r, shown = F.col("row_index"), F.col(number)
     entry = F.concat(
-        text('{"row_index": ', F.when(r % 5 == 0, text('"', r, '"')).otherwise(r.cast("string")), ', "match": ', F.when(r % 2 == 0, "true").otherwise("false"),
+        text('{"row_index": ', F.when(r % 5 == 0, text('"', shown, '"')).otherwise(shown.cast("string")), ', "match": ', F.when(r % 2 == 0, "true").otherwise("false"),
              ', "confidence": ', (r % 100) / 100.0, F.when((F.col("batch_id") % 9 == 2) & (F.col("_n") == 3), "").otherwise(', "reason": "seen"'),
              ', "suggested_domain": ', F.when(r % 7 == 0, text('"alt', r, '.example.org"')).when(r % 7 == 1, '""').otherwise("null"), "}"),
     )

@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from leadflow.functions.workspace import workspace
 
 
+Key = str | Sequence[str]
+
+
+def key_columns(key: Key) -> list[str]:
+    """The columns that tell a row, ``row_index`` or for instance (``job_id``, ``row_index``); none may be null."""
+    cols = [key] if isinstance(key, str) else list(key)
+    if "row_index" not in cols:
+        raise ValueError("a key needs row_index, the number of a row in its job")
+    return cols
+
+
+def job_columns(key: Key) -> list[str]:
+    """The key without the row number; rows with equal values are one job."""
+    return [c for c in key_columns(key) if c != "row_index"]
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """Keep the first row of each key by a declared order.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
-from leadflow.functions.tables import first_per_key, look_up
+from leadflow.functions.tables import Key, first_per_key, key_columns, look_up
 from leadflow.functions.text import any_of, bare_host, col, first_filled, host_of, one_of, or_blank, strip
 
 
@@ -127,7 +127,7 @@ def normalize_domains(
 
 
 def normalize_with_redirects(
-    rows: DataFrame, redirects: DataFrame, suffixes: Iterable[str] | None = None
+    rows: DataFrame, redirects: DataFrame, suffixes: Iterable[str] | None = None, key: Key = "row_index"
 ) -> DataFrame:
     """Outcome per row of ``verified_domain`` (else ``raw_domain``) after following redirects.
 
@@ -135,7 +135,7 @@ def normalize_with_redirects(
     may turn out blocked or invalid. A missing answer keeps the domain.
     """
     plain = normalize_domains(
-        rows.select("row_index", first_filled("verified_domain", "raw_domain").alias("_raw")), "_raw", suffixes
+        rows.select(*key_columns(key), first_filled("verified_domain", "raw_domain").alias("_raw")), "_raw", suffixes
     ).drop("_raw")
     answered = first_per_key(redirects.select("domain", "final_url"), ["domain"], ["final_url"])
     targets = (
@@ -147,7 +147,7 @@ def normalize_with_redirects(
     moved = F.col("_target").isNotNull()
     blocked = moved & is_blocked("_target")
     return joined.select(
-        "row_index",
+        *key_columns(key),
         F.when(blocked, None).when(moved, F.col("_target")).otherwise(F.col("domain")).alias("domain"),
         F.when(moved, blocked).otherwise(F.col("blocked")).alias("blocked"),
         F.when(blocked, F.concat(F.lit("blocked domain: "), F.col("_target")))
@@ -156,10 +156,10 @@ def normalize_with_redirects(
     )
 
 
-def apply_normalized(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
+def apply_normalized(rows: DataFrame, outcomes: DataFrame, key: Key = "row_index") -> DataFrame:
     """Write the outcome into ``normalized_domain`` and ``status``; rows without a verified domain stay."""
     o = outcomes.select(
-        "row_index",
+        *key_columns(key),
         F.col("domain").alias("_domain"),
         F.col("blocked").alias("_blocked"),
         F.col("error").alias("_error"),
@@ -168,7 +168,7 @@ def apply_normalized(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
     good = F.col("_error").isNull() & F.coalesce(F.col("_domain") != "", F.lit(False))
     blocked = F.coalesce(F.col("_blocked"), F.lit(False))
     return (
-        rows.join(o, "row_index", "left")
+        rows.join(o, key_columns(key), "left")
         .withColumn(
             "normalized_domain",
             F.when(eligible & ~blocked & good, F.col("_domain")).otherwise(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
+from leadflow.functions.tables import Key, key_columns
 from leadflow.functions.text import bare_host, blank_to_null, filled, first_filled, or_blank, strip
 from leadflow.operators.domains import with_registered_domain
 
@@ -326,11 +327,11 @@ def intel_lines(df: DataFrame, column: str | None = None) -> DataFrame:
     return df.select(*keep, strip(or_blank(f"`{name}`")).alias("line")).filter(F.col("line") != "")
 
 
-def seed_category_rows(products: DataFrame) -> DataFrame:
+def seed_category_rows(products: DataFrame, key: Key = "row_index") -> DataFrame:
     """Listing products as rows: website when known, else the product name."""
     site = filled("website")
     return products.select(
-        "row_index",
+        *key_columns(key),
         first_filled("website", "name").alias("input"),
         F.when(site, "url").otherwise("name").alias("input_type"),
         F.col("name").alias("company_name"),
@@ -342,12 +343,12 @@ def seed_category_rows(products: DataFrame) -> DataFrame:
     )
 
 
-def seed_place_rows(places: DataFrame) -> DataFrame:
+def seed_place_rows(places: DataFrame, key: Key = "row_index") -> DataFrame:
     """Map places as rows, with the bare host of the website and the map link of the cid."""
     site = filled("website")
     cid = or_blank("cid")
     return places.select(
-        "row_index",
+        *key_columns(key),
         first_filled("website", "title").alias("input"),
         F.when(site, "url").otherwise("name").alias("input_type"),
         or_blank("search_term").alias("search_term"),
@@ -369,10 +370,10 @@ def seed_place_rows(places: DataFrame) -> DataFrame:
     )
 
 
-def seed_funding_rows(companies: DataFrame) -> DataFrame:
+def seed_funding_rows(companies: DataFrame, key: Key = "row_index") -> DataFrame:
     """Funded companies as rows, always looked up by name."""
     return companies.select(
-        "row_index",
+        *key_columns(key),
         or_blank("company_name").alias("input"),
         F.lit("name").alias("input_type"),
         or_blank("company_name").alias("company_name"),
@@ -386,12 +387,12 @@ def seed_funding_rows(companies: DataFrame) -> DataFrame:
     )
 
 
-def seed_people_rows(people: DataFrame, profiles: DataFrame) -> DataFrame:
+def seed_people_rows(people: DataFrame, profiles: DataFrame, key: Key = "row_index") -> DataFrame:
     """People with their profile; the look-up input is the website, else the company name."""
-    p = profiles.select("row_index", "linkedin_url", "confidence")
+    p = profiles.select(*key_columns(key), "linkedin_url", "confidence")
     site = filled("website")
-    return people.drop("input_type").join(p, "row_index", "left").select(
-        "row_index",
+    return people.drop("input_type").join(p, key_columns(key), "left").select(
+        *key_columns(key),
         "full_name",
         "company_name",
         or_blank("website").alias("website"),

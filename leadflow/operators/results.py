@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
+from leadflow.functions.tables import Key, key_columns
 from leadflow.functions.text import blank_to_null, filled, first_filled, natural_key, or_blank, sanitize
 from leadflow.operators.extract import extracted_flag, with_intel_columns
 
@@ -59,17 +60,17 @@ def _contact_cells(cells, contact: Column, sanitized: Sequence[str], prefix: str
     return out
 
 
-def _export(rows: DataFrame, base: list[Column], cells, sanitized: Sequence[str]) -> DataFrame:
+def _export(rows: DataFrame, base: list[Column], cells, sanitized: Sequence[str], key: Key) -> DataFrame:
     """One line per contact, one with blank contact cells where there is none."""
-    lines = rows.select("row_index", *base, F.posexplode_outer("contacts").alias("_pos", "_contact"))
+    lines = rows.select(*key_columns(key), *base, F.posexplode_outer("contacts").alias("_pos", "_contact"))
     names = [c for c in lines.columns if c not in ("_pos", "_contact")]
     return lines.select(
         *names, F.coalesce("_pos", F.lit(0)).alias("contact_no"), *_contact_cells(cells, F.col("_contact"), sanitized)
     )
 
 
-def export_websites(rows: DataFrame) -> DataFrame:
-    """Website finder export; ``row_index`` and ``contact_no`` carry the line order."""
+def export_websites(rows: DataFrame, key: Key = "row_index") -> DataFrame:
+    """Website finder export; the key and ``contact_no`` carry the line order."""
     base = [
         sanitize(or_blank("company_name")).alias("company_name"),
         sanitize(or_blank("location")).alias("location"),
@@ -77,7 +78,7 @@ def export_websites(rows: DataFrame) -> DataFrame:
         _text("verification_confidence").alias("verification_confidence"),
         F.col("status"),
     ]
-    return _export(rows, base, _CONTACT_CELLS, _NAME_CELLS)
+    return _export(rows, base, _CONTACT_CELLS, _NAME_CELLS, key)
 
 
 def _website() -> Column:
@@ -91,12 +92,12 @@ def _flag() -> Column:
 _EVERY_CELL = ("title", "first_name", "last_name", "email", "phone", "mobile", "linkedin_url")
 
 
-def export_intel(rows: DataFrame, options: Sequence[str]) -> DataFrame:
+def export_intel(rows: DataFrame, options: Sequence[str], key: Key = "row_index") -> DataFrame:
     base = [sanitize(or_blank("input")).alias("input"), _website(), F.col("status"), _flag(), *_intel_cells(options)]
-    return _export(with_intel_columns(rows), base, _CONTACT_CELLS, _EVERY_CELL)
+    return _export(with_intel_columns(rows), base, _CONTACT_CELLS, _EVERY_CELL, key)
 
 
-def export_categories(rows: DataFrame, options: Sequence[str]) -> DataFrame:
+def export_categories(rows: DataFrame, options: Sequence[str], key: Key = "row_index") -> DataFrame:
     base = [
         sanitize(or_blank("g2_category")).alias("g2_category"),
         or_blank("g2_url").alias("g2_url"),
@@ -105,10 +106,10 @@ def export_categories(rows: DataFrame, options: Sequence[str]) -> DataFrame:
         sanitize(or_blank("input")).alias("input"),
         _website(), F.col("status"), _flag(), *_intel_cells(options),
     ]
-    return _export(with_intel_columns(rows), base, _CONTACT_CELLS_MOBILE, _EVERY_CELL)
+    return _export(with_intel_columns(rows), base, _CONTACT_CELLS_MOBILE, _EVERY_CELL, key)
 
 
-def export_places(rows: DataFrame, options: Sequence[str]) -> DataFrame:
+def export_places(rows: DataFrame, options: Sequence[str], key: Key = "row_index") -> DataFrame:
     named = ("search_term", "location", "business_name", "category", "maps_address")
     base = [
         *[sanitize(_text(c)).alias(c) for c in named],
@@ -118,10 +119,10 @@ def export_places(rows: DataFrame, options: Sequence[str]) -> DataFrame:
         _text("google_maps_url").alias("google_maps_url"),
         F.col("status"), _flag(), *_intel_cells(options),
     ]
-    return _export(with_intel_columns(rows), base, _CONTACT_CELLS, _NAME_CELLS)
+    return _export(with_intel_columns(rows), base, _CONTACT_CELLS, _NAME_CELLS, key)
 
 
-def export_funding(rows: DataFrame, options: Sequence[str]) -> DataFrame:
+def export_funding(rows: DataFrame, options: Sequence[str], key: Key = "row_index") -> DataFrame:
     base = [
         sanitize(_text("company_name")).alias("company_name"),
         _text("funding_amount").alias("funding_amount"),
@@ -130,7 +131,7 @@ def export_funding(rows: DataFrame, options: Sequence[str]) -> DataFrame:
         *[_text(c).alias(c) for c in ("funding_description", "source_url", "source_name")],
         _website(), F.col("status"), _flag(), *_intel_cells(options),
     ]
-    return _export(with_intel_columns(rows), base, _CONTACT_CELLS, _NAME_CELLS)
+    return _export(with_intel_columns(rows), base, _CONTACT_CELLS, _NAME_CELLS, key)
 
 
 _PERSON_CELLS = [
@@ -139,11 +140,11 @@ _PERSON_CELLS = [
 ]
 
 
-def export_people(rows: DataFrame, options: Sequence[str]) -> DataFrame:
+def export_people(rows: DataFrame, options: Sequence[str], key: Key = "row_index") -> DataFrame:
     """One line per person with the first contact only; no flag column."""
     rows = with_intel_columns(rows)
     return rows.select(
-        "row_index",
+        *key_columns(key),
         sanitize(or_blank("full_name")).alias("full_name"),
         sanitize(or_blank("company_name")).alias("company_name"),
         or_blank("linkedin_url").alias("linkedin_url"),
@@ -159,13 +160,13 @@ _WIDE_CELLS = [
 ]
 
 
-def wide_contacts(rows: DataFrame, titles: Sequence[str]) -> DataFrame:
+def wide_contacts(rows: DataFrame, titles: Sequence[str], key: Key = "row_index") -> DataFrame:
     """One line per row; contact *i* fills the six columns of title *i*, whatever its own title."""
     base = ["company_name", "location", "website", "verification_confidence", "status"]
     wide = []
     for i, title in enumerate(titles, 1):
         wide += _contact_cells(_WIDE_CELLS, F.try_element_at("contacts", F.lit(i)), (), f"{title} - ")
-    return rows.select("row_index", *[_text(c).alias(c) for c in base], *wide)
+    return rows.select(*key_columns(key), *[_text(c).alias(c) for c in base], *wide)
 
 
 # --- summaries ------------------------------------------------------------------------------
@@ -208,7 +209,7 @@ def progress_counts(rows: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataF
     )
 
 
-def preview_rows(rows: DataFrame) -> DataFrame:
+def preview_rows(rows: DataFrame, key: Key = "row_index") -> DataFrame:
     """Shape of a preview row; the company comes from the first filled naming column."""
     names = [c for c in ("company_name", "Company Name", "business_name", "input") if c in rows.columns]
     places = [c for c in ("location", "Location") if c in rows.columns]
@@ -216,19 +217,19 @@ def preview_rows(rows: DataFrame) -> DataFrame:
     place = F.coalesce(*[blank_to_null(F.col(f"`{c}`")) for c in places]) if places else F.lit(None).cast("string")
     extra = [c for c in ("contacts", "industry", "niche") if c in rows.columns]
     return rows.filter(F.col("status") != "pending").select(
-        "row_index", company.alias("company_name"), place.alias("location"),
+        *key_columns(key), company.alias("company_name"), place.alias("location"),
         F.coalesce(blank_to_null("normalized_domain"), blank_to_null("verified_domain")).alias("domain"),
         F.col("verification_confidence").cast("string").alias("confidence"), "status", *extra,
     )
 
 
-def preview_page(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of processed rows by row index, with the total of all pages in ``total``."""
+def preview_page(rows: DataFrame, limit: int = 50, offset: int = 0, key: Key = "row_index") -> DataFrame:
+    """One page of processed rows by key, with the total of all pages in ``total``."""
     if not 1 <= limit <= 5000 or offset < 0:
         raise ValueError("limit must be 1 to 5000, offset not negative")
-    shaped = preview_rows(rows)
+    shaped = preview_rows(rows, key)
     total = rows.filter(F.col("status") != "pending").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    return shaped.orderBy("row_index").offset(offset).limit(limit).withColumn("total", total)
+    return shaped.orderBy(*key_columns(key)).offset(offset).limit(limit).withColumn("total", total)
 
 
 def flatten_results(rows: DataFrame) -> DataFrame:
@@ -250,7 +251,8 @@ def flatten_results(rows: DataFrame) -> DataFrame:
 
 
 def filter_results(
-    rows: DataFrame, tab: str = "all", text: str = "", sort: str = "row_index", descending: bool = False
+    rows: DataFrame, tab: str = "all", text: str = "", sort: str = "row_index", descending: bool = False,
+    key: Key = "row_index",
 ) -> DataFrame:
     """Rows of a tab whose company holds the text, sorted with numbers in natural order."""
     if tab == "found":
@@ -259,8 +261,8 @@ def filter_results(
         rows = rows.filter(F.col("status").isin(fixed.NOT_FOUND_STATUSES))
     if text.strip():
         rows = rows.filter(F.lower("company_name").contains(text.lower()))
-    key = natural_key(F.col(sort).cast("string"))
-    return rows.orderBy(key.desc() if descending else key.asc(), "row_index")
+    by = natural_key(F.col(sort).cast("string"))
+    return rows.orderBy(by.desc() if descending else by.asc(), *key_columns(key))
 
 
 def rounded_percent(part: Column, whole: Column) -> Column:

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from leadflow import schemas
 from leadflow.functions import fixed
-from leadflow.functions.tables import first_per_key
+from leadflow.functions.tables import Key, first_per_key, job_columns, key_columns
 from leadflow.functions.text import bare_host, blank_to_null, filled, or_blank, strict_json
 
 MATCH_THRESHOLD = 0.7
 
 
-def verify_items(rows: DataFrame) -> DataFrame:
+def verify_items(rows: DataFrame, key: Key = "row_index") -> DataFrame:
     """Rows with a candidate domain as verification items."""
     return rows.filter(filled("raw_domain")).select(
-        "row_index",
+        *key_columns(key),
         or_blank("company_name").alias("company_name"),
         or_blank("location").alias("location"),
         F.col("raw_domain").alias("candidate_domain"),
@@ -24,11 +24,11 @@ def verify_items(rows: DataFrame) -> DataFrame:
     )
 
 
-def verify_items_intel(rows: DataFrame) -> DataFrame:
+def verify_items_intel(rows: DataFrame, key: Key = "row_index") -> DataFrame:
     """The variant for mixed inputs: URL rows need no check, the name falls back to the input."""
     named = rows.filter(F.coalesce(F.col("input_type") != "url", F.lit(True)))
     return verify_items(
-        named.withColumn("company_name", F.coalesce(blank_to_null("company_name"), F.col("input")))
+        named.withColumn("company_name", F.coalesce(blank_to_null("company_name"), F.col("input"))), key
     )
 
 
@@ -62,13 +62,13 @@ def item_text() -> Column:
 
 
 def number_batches(
-    items: DataFrame, size: int = fixed.VERDICT_BATCH, block: int = fixed.ROW_BATCH
+    items: DataFrame, size: int = fixed.VERDICT_BATCH, block: int = fixed.ROW_BATCH, key: Key = "row_index"
 ) -> DataFrame:
-    """Add ``batch_id``: ``size`` items each, cut inside blocks of ``block`` rows.
+    """Add ``batch_id``: ``size`` items each, cut inside blocks of ``block`` rows; every job counts its own.
 
     The block comes from the row index, so no window ever holds more than ``block`` rows.
     """
-    w = Window.partitionBy("_block").orderBy("row_index")
+    w = Window.partitionBy(*job_columns(key), "_block").orderBy("row_index")
     per_block = -(-block // size)
     return (
         items.withColumn("_block", F.floor(F.col("row_index") / block))
@@ -79,12 +79,13 @@ def number_batches(
 
 
 def verify_batches(
-    items: DataFrame, size: int = fixed.VERDICT_BATCH, block: int = fixed.ROW_BATCH
+    items: DataFrame, size: int = fixed.VERDICT_BATCH, block: int = fixed.ROW_BATCH, key: Key = "row_index"
 ) -> DataFrame:
     """One text block per batch of items."""
-    numbered = number_batches(items, size, block).select("batch_id", "row_index", item_text().alias("_text"))
+    batch = [*job_columns(key), "batch_id"]
+    numbered = number_batches(items, size, block, key).select(*batch, "row_index", item_text().alias("_text"))
     ordered = F.array_sort(F.collect_list(F.struct("row_index", "_text")))  # at most `size` per group
-    return numbered.groupBy("batch_id").agg(
+    return numbered.groupBy(*batch).agg(
         F.count(F.lit(1)).alias("n_items"),
         F.array_join(F.transform(ordered, lambda x: x["_text"]), "\n").alias("items"),
     )
@@ -133,40 +134,43 @@ def _verdict_cells(e: Column) -> Column:
 
 
 def parse_verdicts(
-    batches: DataFrame, resp: DataFrame, size: int = fixed.VERDICT_BATCH, block: int = fixed.ROW_BATCH
+    batches: DataFrame, resp: DataFrame, size: int = fixed.VERDICT_BATCH, block: int = fixed.ROW_BATCH, key: Key = "row_index"
 ) -> DataFrame:
     """One verdict per item.
 
     ``batches(batch_id, row_index)`` are the items sent, ``resp(batch_id, body)`` one answer per batch:
     an array, or an object with ``results``. One bad entry, or no readable answer, fails the whole batch:
     every item of it gets match false, confidence 0.0 and errored true. An answer speaks of the items that were
-    sent in its block of rows, other row numbers are passed over; the last verdict of an item counts.
+    sent in its block of rows, other row numbers are passed over; the last verdict of an item counts. With a
+    ``key`` of several columns both tables hold those of the job, and an answer speaks of its own job only.
     """
+    jobs = job_columns(key)
+    batch = [*jobs, "batch_id"]
     doc = F.try_parse_json(strict_json("body"))
     kind = F.schema_of_variant("_doc")
     listed = F.try_variant_get("_doc", "$", "array<variant>")
     wrapped = F.try_variant_get("_doc", "$.results", "array<variant>")
     answered = (
-        resp.select("batch_id", doc.alias("_doc"))
+        resp.select(*batch, doc.alias("_doc"))
         .select(
-            "batch_id",
+            *batch,
             F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), wrapped).alias("_e"),
         )
-        .select("batch_id", F.transform(F.transform("_e", _answer_cells), _verdict_cells).alias("_e"))
-        .select("batch_id", F.when(F.forall("_e", lambda e: e["good"]), F.col("_e")).alias("_e"))
+        .select(*batch, F.transform(F.transform("_e", _answer_cells), _verdict_cells).alias("_e"))
+        .select(*batch, F.when(F.forall("_e", lambda e: e["good"]), F.col("_e")).alias("_e"))
     )
     of_block = F.floor(F.col("batch_id") / -(-block // size)).alias("_block")
-    sent = batches.select(of_block, F.col("row_index").cast("long").alias("row_index")).distinct()
+    sent = batches.select(*jobs, of_block, F.col("row_index").cast("long").alias("row_index")).distinct()
     parsed = (
-        answered.select("batch_id", F.posexplode_outer("_e").alias("_pos", "e"))
+        answered.select(*batch, F.posexplode_outer("_e").alias("_pos", "e"))
         .filter(F.col("e").isNotNull())
-        .select("batch_id", "_pos", of_block, *[F.col(f"e.{c}").alias(c) for c in verdict_columns()])
-        .join(sent, ["_block", "row_index"], "left_semi")
+        .select(*batch, "_pos", of_block, *[F.col(f"e.{c}").alias(c) for c in verdict_columns()])
+        .join(sent, [*jobs, "_block", "row_index"], "left_semi")
         .drop("_block")
     )
-    usable = answered.filter(F.col("_e").isNotNull()).select("batch_id").distinct()
-    failed = batches.join(usable, "batch_id", "left_anti").select(
-        "batch_id",
+    usable = answered.filter(F.col("_e").isNotNull()).select(*batch).distinct()
+    failed = batches.join(usable, batch, "left_anti").select(
+        *batch,
         F.lit(-1).alias("_pos"),
         F.col("row_index").cast("long").alias("row_index"),
         F.lit(False).alias("match"),
@@ -177,16 +181,16 @@ def parse_verdicts(
     )
     # the later batch and place first; a tie of equal places by the surest
     order = [-F.col("batch_id"), -F.col("_pos"), -F.col("confidence"), F.xxhash64("reason", "suggested_domain")]
-    return first_per_key(parsed.unionByName(failed), ["row_index"], order).select(*verdict_columns())
+    return first_per_key(parsed.unionByName(failed), key_columns(key), order).select(*jobs, *verdict_columns())
 
 
-def _verdicts_by_row(verdicts: DataFrame) -> DataFrame:
+def _verdicts_by_row(verdicts: DataFrame, key: Key) -> DataFrame:
     """One verdict per row: one that did not fail, the surest, whatever the table repeats."""
-    known = verdicts.select("row_index", "match", "confidence", "suggested_domain", *[c for c in ("errored",) if c in verdicts.columns])
+    known = verdicts.select(*key_columns(key), "match", "confidence", "suggested_domain", *[c for c in ("errored",) if c in verdicts.columns])
     failed = [F.coalesce("errored", F.lit(False))] if "errored" in verdicts.columns else []
     order = [*failed, -F.coalesce("confidence", F.lit(-1.0)), ~F.coalesce("match", F.lit(False)), or_blank("suggested_domain")]
-    return first_per_key(known, ["row_index"], order).select(
-        "row_index",
+    return first_per_key(known, key_columns(key), order).select(
+        *key_columns(key),
         F.col("match").alias("_match"),
         F.col("confidence").alias("_conf"),
         F.col("suggested_domain").alias("_suggested"),
@@ -197,14 +201,14 @@ def _accepted() -> Column:
     return F.coalesce(F.col("_match") & (F.col("_conf") >= MATCH_THRESHOLD), F.lit(False))
 
 
-def apply_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+def apply_verdicts(rows: DataFrame, verdicts: DataFrame, key: Key = "row_index") -> DataFrame:
     """A sure match verifies the candidate, else a suggestion replaces it, else the row is not found.
 
     A failed call reads as not found; an item without any verdict keeps its status.
     """
     ok, suggested, judged = _accepted(), filled("_suggested"), F.col("_conf").isNotNull()
     return (
-        mark_without_candidate(rows).join(_verdicts_by_row(verdicts), "row_index", "left")
+        mark_without_candidate(rows).join(_verdicts_by_row(verdicts, key), key_columns(key), "left")
         .withColumn(
             "verified_domain",
             F.when(judged & ok, F.col("raw_domain")).when(judged & suggested, F.col("_suggested"))
@@ -219,12 +223,12 @@ def apply_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def apply_verdicts_intel(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+def apply_verdicts_intel(rows: DataFrame, verdicts: DataFrame, key: Key = "row_index") -> DataFrame:
     """The same rule on ``raw_domain``: a suggestion replaces it, a rejection empties it; URL rows pass."""
     checked = F.coalesce(F.col("input_type") != "url", F.lit(True)) & filled("raw_domain")
     ok, suggested = _accepted(), filled("_suggested")
     judged = checked & F.col("_conf").isNotNull()
-    marked = mark_without_candidate(rows).join(_verdicts_by_row(verdicts), "row_index", "left")
+    marked = mark_without_candidate(rows).join(_verdicts_by_row(verdicts, key), key_columns(key), "left")
     return (
         marked.withColumn("_judged", judged)
         .withColumn("verification_confidence", F.when(F.col("_judged"), F.col("_conf")))
@@ -240,15 +244,15 @@ def apply_verdicts_intel(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def resolve_rows(rows: DataFrame, searched: DataFrame) -> DataFrame:
+def resolve_rows(rows: DataFrame, searched: DataFrame, key: Key = "row_index") -> DataFrame:
     """URL rows take the host of their text, name rows the candidate of their search; all are resolved.
 
     ``searched(row_index, search_results, candidate_domain)`` holds the answers of the name rows.
     """
-    answers = searched.select("row_index", F.col("search_results").alias("_sr"), F.col("candidate_domain").alias("_cand"))
+    answers = searched.select(*key_columns(key), F.col("search_results").alias("_sr"), F.col("candidate_domain").alias("_cand"))
     is_url = F.coalesce(F.col("input_type") == "url", F.lit(False))
     return (
-        rows.join(answers, "row_index", "left")
+        rows.join(answers, key_columns(key), "left")
         .withColumn("raw_domain", blank_to_null(F.when(is_url, bare_host("input")).otherwise(F.col("_cand"))))
         .withColumn("search_results", F.when(~is_url, F.col("_sr")))
         .withColumn("status", F.lit("resolved"))

@@ -32,7 +32,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 class Providers:
     """Answers of the outside services as tables; None where a tool does not use one.
 
-    search(request_key, body); verdicts(batch_id, body); redirects(domain, final_url);
+    search(request_key, body); verdicts(the job columns of the key, batch_id, body); redirects(domain, final_url);
     directory(domain, title_idx, pos, record fields); crawled(domain); site_pages(domain, ordinal, url,
     text); extractions(domain, body); profiles(request_key, body)
     """

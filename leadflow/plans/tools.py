@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadflow.functions.tables import Key, key_columns
 from leadflow.functions.text import blank_to_null, filled
 from leadflow.operators import contacts, discover, domains, extract, ingest, pages, verify
 from leadflow.plans.stages import Providers, Stage, written
@@ -29,18 +30,19 @@ def search_rows(rows: DataFrame, search: DataFrame) -> DataFrame:
 
 
 def website_finder(
-    rows: DataFrame, p: Providers, titles: Sequence[str] = (), max_contacts: int | None = None, stage: Stage = written
+    rows: DataFrame, p: Providers, titles: Sequence[str] = (), max_contacts: int | None = None, stage: Stage = written,
+    key: Key = "row_index",
 ) -> DataFrame:
-    """(row_index, company_name, location) to websites and contacts."""
+    """(key, company_name, location) to websites and contacts; a table of several jobs needs their column in the key."""
     searched = stage(search_rows(rows, p.search), "searched")
-    items = verify.number_batches(verify.verify_items(searched))
-    verdicts = verify.parse_verdicts(items.select("batch_id", "row_index"), p.verdicts)
-    verified = stage(verify.apply_verdicts(searched, verdicts), "verified").withColumn(
+    items = verify.number_batches(verify.verify_items(searched, key), key=key)
+    verdicts = verify.parse_verdicts(items.select("batch_id", *key_columns(key)), p.verdicts, key=key)
+    verified = stage(verify.apply_verdicts(searched, verdicts, key), "verified").withColumn(
         "normalized_domain", F.lit(None).cast("string")
     )
     eligible = verified.filter(filled("verified_domain"))
-    outcomes = domains.normalize_with_redirects(eligible, p.redirects)
-    normalized = stage(domains.apply_normalized(verified, outcomes), "normalized")
+    outcomes = domains.normalize_with_redirects(eligible, p.redirects, key=key)
+    normalized = stage(domains.apply_normalized(verified, outcomes, key), "normalized")
     return _with_enrichment(normalized, p, titles, max_contacts, match_names=False)
 
 
@@ -52,21 +54,22 @@ def company_intel(
     max_contacts: int | None = None,
     people_mode: bool = False,
     stage: Stage = written,
+    key: Key = "row_index",
 ) -> DataFrame:
-    """Rows with (row_index, input, input_type ...) through resolve, verify, crawl, extract and enrich."""
+    """Rows with (key, input, input_type ...) through resolve, verify, crawl, extract and enrich."""
     names_persons = "full_name" in rows.columns
     missing = [c for c in ("company_name", "location", "full_name", "linkedin_url") if c not in rows.columns]
     if missing:
         rows = rows.withColumns({c: F.lit("") for c in missing})
     names = rows.filter(F.coalesce(F.col("input_type") != "url", F.lit(True))).select(
-        "row_index", F.col("input").alias("company_name"), "location"
+        *key_columns(key), F.col("input").alias("company_name"), "location"
     )
     searched = discover.fan_out_search(names, discover.parse_search_responses(p.search))
-    resolved = stage(verify.resolve_rows(rows.drop("raw_domain", "search_results"), searched), "resolved")
+    resolved = stage(verify.resolve_rows(rows.drop("raw_domain", "search_results"), searched, key), "resolved")
 
-    items = verify.number_batches(verify.verify_items_intel(resolved))
-    verdicts = verify.parse_verdicts(items.select("batch_id", "row_index"), p.verdicts)
-    verified = stage(verify.apply_verdicts_intel(resolved, verdicts), "verified")
+    items = verify.number_batches(verify.verify_items_intel(resolved, key), key=key)
+    verdicts = verify.parse_verdicts(items.select("batch_id", *key_columns(key)), p.verdicts, key=key)
+    verified = stage(verify.apply_verdicts_intel(resolved, verdicts, key), "verified")
 
     crawled = pages.apply_crawl(verified.drop("search_results"), p.crawled, p.site_pages, options)
     crawled = extract.with_intel_columns(crawled.withColumn("normalized_domain", F.lit(None).cast("string")))
@@ -82,35 +85,35 @@ def company_intel(
     if not people_mode:
         return _with_enrichment(done, p, titles, max_contacts, match_names=names_persons)
     people = done.select(
-        "row_index", "full_name", F.coalesce(blank_to_null("normalized_domain"), "raw_domain").alias("domain"), "linkedin_url"
+        *key_columns(key), "full_name", F.coalesce(blank_to_null("normalized_domain"), "raw_domain").alias("domain"), "linkedin_url"
     )
-    return contacts.apply_person_contacts(done, contacts.person_fan_out(people, p.directory))
+    return contacts.apply_person_contacts(done, contacts.person_fan_out(people, p.directory, key), key)
 
 
-def category_intel(products: DataFrame, p: Providers, options: Sequence[str], **kw) -> DataFrame:
+def category_intel(products: DataFrame, p: Providers, options: Sequence[str], key: Key = "row_index", **kw) -> DataFrame:
     """Listing products (row_index, name, website ...) to company intel."""
-    return company_intel(ingest.seed_category_rows(products), p, options, **kw)
+    return company_intel(ingest.seed_category_rows(products, key), p, options, key=key, **kw)
 
 
-def maps_intel(places: DataFrame, p: Providers, options: Sequence[str], **kw) -> DataFrame:
-    return company_intel(ingest.seed_place_rows(places), p, options, **kw)
+def maps_intel(places: DataFrame, p: Providers, options: Sequence[str], key: Key = "row_index", **kw) -> DataFrame:
+    return company_intel(ingest.seed_place_rows(places, key), p, options, key=key, **kw)
 
 
-def funding_intel(companies: DataFrame, p: Providers, options: Sequence[str], **kw) -> DataFrame:
-    return company_intel(ingest.seed_funding_rows(companies), p, options, **kw)
+def funding_intel(companies: DataFrame, p: Providers, options: Sequence[str], key: Key = "row_index", **kw) -> DataFrame:
+    return company_intel(ingest.seed_funding_rows(companies, key), p, options, key=key, **kw)
 
 
-def profile_answers(people: DataFrame, profiles: DataFrame) -> DataFrame:
+def profile_answers(people: DataFrame, profiles: DataFrame, key: Key = "row_index") -> DataFrame:
     """Profile and confidence per request from the profile search answers."""
-    asked = discover.profile_requests(people)
+    asked = discover.profile_requests(people, key)
     parsed = discover.parse_search_responses(profiles).select("request_key", "results").filter(F.col("results").isNotNull())
     return discover.score_profile(discover.pick_profile(asked.join(parsed, "request_key")))
 
 
-def people_intel(people: DataFrame, p: Providers, options: Sequence[str] = ("company_people",), **kw) -> DataFrame:
+def people_intel(people: DataFrame, p: Providers, options: Sequence[str] = ("company_people",), key: Key = "row_index", **kw) -> DataFrame:
     """People (row_index, full_name, company_name, website) to one contact per person."""
-    found = discover.fan_out_profiles(people, profile_answers(people, p.profiles))
-    return company_intel(ingest.seed_people_rows(people, found), p, options, people_mode=True, **kw)
+    found = discover.fan_out_profiles(people, profile_answers(people, p.profiles, key))
+    return company_intel(ingest.seed_people_rows(people, found, key), p, options, people_mode=True, key=key, **kw)
 
 
 def funded_companies(articles: DataFrame, answers: DataFrame, ordinal: str, stage: Stage = written) -> DataFrame:
