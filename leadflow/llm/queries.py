@@ -115,10 +115,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))
     records = read_archives(write_archives(pages, least_bytes=0))
-    page = F.regexp_extract("record_id", "([0-9-]+)$", 1).cast("long")
+    page = F.regexp_extract("record_id", "([0-9-]+)$", 1).try_cast("long")  # a null id is written as None
     return records.select(
         page.alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.regexp_extract("refers_to", "([0-9-]+)$", 1).cast("long").alias("refers_to"), "payload_ok",
+        F.regexp_extract("refers_to", "([0-9-]+)$", 1).try_cast("long").alias("refers_to"), "payload_ok",
     )
 
 

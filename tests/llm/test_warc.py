@@ -79,3 +79,13 @@ def test_query(spark, tables):
     for i, p in rows:
         want = (len(p), sha(p), *(("response", None) if largest[p] == i else ("revisit", largest[p])))
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
+
+
+def test_query_with_a_null_id(spark, tmp_path):
+    from leadflow.llm.queries import QUERIES
+
+    rows = [(None, "u", "p"), (4, "u", "p"), (None, "v", "alone")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op1_warc"](spark, str(tmp_path)).collect()
+    want = [(None, "revisit", 4), (4, "response", None), (None, "response", None)]
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
