@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,10 +136,10 @@ class _Sketcher:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, n, node, ga, gb, sig) of every row; the last four are null for an empty set."""
+    """(id, print, n, node, ga, gb, sig) of every row; the last four are null for an empty set."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
-        T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
+        T.StructField("id", id_type), T.StructField("print", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
         T.StructField("ga", T.ArrayType(T.LongType())), T.StructField("gb", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()),
     ])
 
@@ -155,10 +155,15 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataF
                         rows.append(sketcher.sketch(found) if len(found) else (None,) * 4)
                     columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
                         (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))]
-                    ids = batch.column(0).slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *columns], names=schema.names)
+                    ids, prints = batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([ids, prints, pa.array(sizes, pa.int64()), *columns], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string"), _print(text_col)).mapInArrow(run, schema)
+
+
+def _print(text_col: str) -> Column:
+    """Tells the unlike texts of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -286,7 +291,12 @@ def near_duplicates(
     without words has no shingles and is linked with nothing. Rows without an id are compared with nothing and
     have no component. Repeated rows are in one component; other columns are left out; an empty table stays so.
     """
-    s = settings
+    found = _grouped(docs, id_col, text_col, settings)
+    return found.select("id", "n", "component_id").withColumnsRenamed({"id": id_col, "n": "n_shingles"})
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
+    """(id, print, n, comp, component_id) of every row; ``comp`` tells groups apart that have the same smallest id."""
     rows = written(_sketches(docs, id_col, text_col, s), "sketches")
     comparable = rows.filter("node IS NOT NULL AND id IS NOT NULL")
     nodes = written(
@@ -295,14 +305,16 @@ def near_duplicates(
     )
     labels = _components(docs, nodes, id_col, text_col, s)
     if labels is None:
-        named = nodes.select("node", F.col("first").alias("component_id"))
+        named = nodes.select("node", F.col("node").alias("comp"), F.col("first").alias("component_id"))
     else:
         of = nodes.select("node", "first").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         names = of.groupBy("comp").agg(F.min("first").alias("component_id"))
-        named = of.select("node", "comp").join(names, "comp").select("node", "component_id")
-    found = comparable.select("id", "n", "node").join(written(named, "components"), "node").select("id", "n", "component_id")
-    alone = rows.filter("node IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return found.unionByName(alone).withColumnsRenamed({"id": id_col, "n": "n_shingles"})
+        named = of.select("node", "comp").join(names, "comp").select("node", "comp", "component_id")
+    found = comparable.select("id", "print", "n", "node").join(written(named, "components"), "node").select("id", "print", "n", "comp", "component_id")
+    alone = rows.filter("node IS NULL OR id IS NULL").select(
+        "id", "print", "n", F.lit(None).cast("long").alias("comp"), F.col("id").alias("component_id")
+    )
+    return found.unionByName(alone)
 
 
 def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame | None:
@@ -387,11 +399,16 @@ def _across(left: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) ->
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The documents with one of each group: that with the smallest id. Columns stay as they are.
 
-    Rows without an id all stay. Of rows that repeat a kept id one stays.
+    Rows without an id all stay. A row is told by its id and its text: of rows that repeat both one stays, unlike
+    texts of one id are judged each in its own group.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, settings=settings)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows"))
-    kept = written(kept, "kept")
-    once = docs.join(kept.filter("__rows = 1").select(id_col), id_col, "left_semi")
-    repeated = docs.join(kept.filter("__rows > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    found = _grouped(docs, id_col, text_col, settings)
+    least = found.filter("id = component_id").groupBy("comp", "id", "print").agg(F.count(F.lit(1)).alias("rows"))
+    # one text of a group; texts without words are groups of their own
+    one = least.groupBy("comp", "id", F.when(F.col("comp").isNull(), F.col("print"))).agg(F.min(F.struct("print", "rows")).alias("k"))
+    kept = written(one.select(F.col("id").alias(id_col), F.col("k.print").alias("__print"), F.col("k.rows").alias("__rows")), "kept")
+    printed, row = docs.withColumn("__print", _print(text_col)), [id_col, "__print"]
+    once = printed.join(kept.filter("__rows = 1").select(*row), row, "left_semi")
+    repeated = printed.join(kept.filter("__rows > 1").select(*row), row, "left_semi").dropDuplicates(row)
+    kept_rows = once.unionByName(repeated).select(*docs.columns)
+    return kept_rows.unionByName(docs.filter(F.col(id_col).isNull()))

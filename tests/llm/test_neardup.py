@@ -83,6 +83,19 @@ def test_dropping_keeps_one_of_each_group(make, odd):
     assert {r.doc_id for r in again} >= {0, 1, 2, 3, 4, 5, 6, 901}
 
 
+def test_an_id_with_unlike_texts(make):
+    rows = [
+        (0, "a b c d e f g"), (1, "h i j k l m n"), (1, "o p q r s t u"),  # both texts of 1 are their own groups
+        (2, "a b c d e f g"), (2, "v w x y z"),  # one text of 2 repeats that of 0
+        (3, "1 2 3 4 5 6"), (3, "1 2 3 4 5 6 "), (3, "1 2 3 4 5 6"),  # one group
+        (4, ""), (4, None), (4, ""),
+    ]
+    docs = make([], [(i, t, "en", "s", 0) for i, t in rows])
+    kept = [(r.doc_id, r.text and r.text.strip()) for r in drop_near_duplicates(docs).collect()]
+    want = [rows[0], rows[1], rows[2], rows[4], rows[5], (4, ""), (4, None)]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(make):
     assert near_duplicates(make([])).collect() == [] and drop_near_duplicates(make([])).collect() == []
 
