@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import table
+from leadflow.llm.common import let, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,45 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, labels.filter(~held_out()))
     scored = score_quality(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def _words(text):
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the hash of its id, becomes periodic from a word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def periodic(ws):
+        n = F.size(ws).cast("bigint")
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("bigint")
+        later = F.transform(F.sequence(a, n - 1), lambda i: F.get(ws, (a + F.pmod(i - a, p)).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(ws, F.lit(1), a.cast("int")), later), " ")).otherwise("")
+
+    planted = let(_words(F.col("text")), periodic)
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), planted).otherwise(F.col("text")))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.runs import find_runs
+
+    docs = _with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_runs(docs).select("doc_id", "periodic.*")
+
+    def better(best, r):
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    # runs come by start and period, so an equal one later is not better
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, better)
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
