@@ -228,3 +228,11 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+@query("op12_id_files")
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.idfiles import read_ids, write_ids
+
+    folder = write_ids(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return read_ids(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
