@@ -236,3 +236,41 @@ def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = write_ids(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
     return read_ids(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_LEXICAL_SQL = r"""
+WITH fold AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents WHERE text IS NOT NULL
+), d AS (
+  SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM fold WHERE len(ts) > 0
+), s AS (
+  SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS l FROM d
+), q AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL
+  ) GROUP BY item_id, term
+), p AS (
+  SELECT doc_id, any_value(n) AS n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM p, s GROUP BY term
+), i AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l)) AS f FROM p, s
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * f) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN i USING (term)
+  GROUP BY item_id, doc_id HAVING sum(times * w * f) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r QUALIFY rank <= 20"""
+
+
+@query("op11_lexical_search", _LEXICAL_SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.lexical import build_index, search
+
+    folder = build_index(table(spark, sf_dir, "documents"))
+    found, _ = search(spark, folder, table(spark, sf_dir, "benchmark"), k=20)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
