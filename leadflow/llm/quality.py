@@ -4,7 +4,8 @@ A text becomes counts of hashed words, of word shapes (which kinds of signs a wo
 and of how far back each word last occurred. A bounded, class-balanced sample of labelled rows gives the latent
 axes (a truncated singular value decomposition) and the labelled vectors; both are sent to the tasks. Every
 document is projected, its cosines with all labelled vectors are computed in blocks, and its nearest ones vote,
-weighted by cosine. A score depends on the text alone.
+weighted by cosine over the share of their label, so that a rare label is not outvoted by number alone. A score
+depends on the text alone.
 """
 
 from __future__ import annotations
@@ -118,13 +119,14 @@ class Model:
         return np.divide(latent, size, out=np.zeros_like(latent), where=size > 0)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest, weighted by cosine; 0 for a text without words."""
+        """Share of label 1 among the nearest, weighted by cosine over the label's share; 0 for a text without words."""
         out = np.zeros(len(rows))
+        voice = 1 / np.bincount(self.labels.astype(np.int64), minlength=2).clip(1)[self.labels.astype(np.int64)]
         k = min(self.neighbours, len(self.labels))
         for a in range(0, len(rows), 512):
             near = self.project(rows[a : a + 512]) @ self.vectors.T
             best = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
-            weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64)
+            weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) * voice[best]
             total = weight.sum(axis=1)
             vote = (weight * self.labels[best]).sum(axis=1)
             out[a : a + 512] = np.divide(vote, total, out=np.zeros(len(total)), where=total > 0)
@@ -177,14 +179,16 @@ def score_quality(docs: DataFrame, model: Model | None, *, text_col: str = "text
     docs = docs.drop(out)
     if model is None:
         return docs.withColumn(out, F.lit(1.0))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: a worker without this package could not read a broadcast Model
+    sent = docs.sparkSession.sparkContext.broadcast((model.axes, model.vectors, model.labels, model.neighbours))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for batch in batches:
             for a, b, texts in text_slices(batch.column(at), _SLICE_CHARS):
                 part = batch.slice(a, b - a)
-                scores = sent.value.score(features(texts))
+                scores = model.score(features(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -1,4 +1,7 @@
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,3 +71,29 @@ def test_labels_and_ids_are_no_inputs(spark, make):
     moved = docs.withColumns({"doc_id": F.col("doc_id") + 999, "lang": F.lit("x"), "source": F.lit("y")})
     assert [r.score for r in score_quality(docs, model).collect()] == [r.score for r in score_quality(moved, model).collect()]
     assert docs.filter(held_out()).count() == sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(GOOD + BAD)))
+
+
+def test_a_rare_label_is_not_outvoted_by_number(spark, make):
+    texts = [t.format(i=i) for i, t in enumerate(GOOD[:30] + BAD[:4])]
+    docs = make(texts + BAD[4:10])
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(34)], "doc_id long, quality int")
+    model = fit(docs, labels)
+    assert model.neighbours > 2 * (model.labels == 0).sum()
+    scores = {r.doc_id: r.score for r in score_quality(docs, model).collect()}
+    assert all((scores[i] >= 0.7) == (i < 30) for i in scores)
+
+
+def test_workers_need_no_installation(tmp_path):
+    repo = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+from leadflow.llm.quality import fit, score_quality
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", "w").getOrCreate()
+docs = spark.createDataFrame([(i, "one two" if i % 2 else "!! ??") for i in range(8)], "doc_id long, text string")
+labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+print("scores", sorted((r.doc_id, round(r.score)) for r in score_quality(docs, fit(docs, labels)).collect()))
+"""
+    made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert f"scores {[(i, i % 2) for i in range(8)]}" in made.stdout, made.stderr[-2000:]
