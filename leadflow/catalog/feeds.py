@@ -115,20 +115,3 @@ def status_changes(spark, d):
 def streaming_first_seen(spark, d):
     out = feeds.streaming_first_seen(event_stream(spark, d), ["user_id", "event_type"], horizon="60 days")
     return drained(spark, "first-seen", out.select("user_id", "event_type").writeStream.outputMode("append"))
-
-
-# rows of a feed moved through two phases, each of which writes its table
-@query(
-    "phase_stream",
-    """SELECT row_index, CASE WHEN row_index % 3 <> 0 THEN 'normalized' ELSE 'not_found' END AS status, row_index % 3 <> 0 AS found FROM (SELECT event_id AS row_index FROM events)""",
-)
-def phase_stream(spark, d):
-    folder = workspace(spark, "phases")
-    has = mod("row_index", 3) != 0
-    phases = [
-        ("search", lambda df: df.select(F.col("event_id").alias("row_index")).withColumn("status", F.when(has, "searched").otherwise("not_found"))),
-        ("normalize", lambda df: df.withColumn("status", F.when(F.col("status") == "searched", "normalized").otherwise(F.col("status"))).withColumn("found", has)),
-    ]
-    feeds.phase_stream(event_stream(spark, d), phases, folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/normalize").drop("batch_id")
-

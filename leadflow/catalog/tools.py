@@ -1,5 +1,6 @@
 """The six tools end to end, and the row statuses they leave."""
 
+import os
 import re
 from dataclasses import replace
 
@@ -9,9 +10,12 @@ from leadflow.catalog.base import VIEWS, div, firm_answers, firms, mod, query, t
 from leadflow.catalog.contacts import FITS, REAL, WANTED, directory, people_text
 from leadflow.catalog.discover import articles, funding_answers, person_results, persons
 from leadflow.catalog.verify import batches_view, searched, verdict_answers, verdict_sql
+from leadflow.functions import fixed
+from leadflow.functions.workspace import workspace
 from leadflow.operators import discover, entities, ingest, verify
 from leadflow.plans import tools
 from leadflow.plans.stages import Providers, written
+from leadflow.streaming import phases
 
 OPTIONS = ["industry_description", "homepage_raw_text", "company_people"]
 
@@ -91,15 +95,36 @@ view(
 )
 
 
-def websites(spark, d):
-    rows = firms(spark, d).select("row_index", "company_name", "location")
+def website_providers(spark, d):
     k = F.col("k")
     redirects = firm_keys(spark, d).filter((k % 5 == 1) | (k % 5 == 2)).select(
         firm_domain().alias("domain"), F.when(k % 5 == 1, text("https://moved", k, ".net/")).otherwise("https://x.com/a").alias("final_url")
     )
     items = written(verify.number_batches(verify.verify_items(searched(spark, d))).select("batch_id", "row_index"), "asked")
-    p = Providers(search=firm_answers(spark, d), verdicts=verdict_answers(items), redirects=redirects, directory=flow_directory(spark, d))
-    return tools.website_finder(rows, p, WANTED)
+    return Providers(search=firm_answers(spark, d), verdicts=verdict_answers(items), redirects=redirects, directory=flow_directory(spark, d))
+
+
+def websites(spark, d):
+    return tools.website_finder(firms(spark, d).select("row_index", "company_name", "location"), website_providers(spark, d), WANTED)
+
+
+# the same phases as a chain of streams over rows that arrive in files of whole blocks
+@query(
+    "phase_stream",
+    """SELECT row_index, raw_domain, verified_domain, verification_confidence, normalized_domain,
+       CASE WHEN status = 'enriched' THEN 'normalized' ELSE status END AS status FROM websites""",
+    ("websites",),
+)
+def phase_stream(spark, d):
+    block = F.floor(F.col("row_index") / fixed.ROW_BATCH)
+    rows = written(firms(spark, d).select("row_index", "company_name", "location").repartition(block), "rows-in")
+    p = website_providers(spark, d)
+    p = replace(p, search=written(p.search, "search"), verdicts=written(p.verdicts, "verdicts"))  # read by every batch
+    folder = workspace(spark, "phases")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(os.path.dirname(rows.inputFiles()[0]))
+    phases.phase_stream(arriving, tools.website_phases(p), folder, together=block).drain()
+    found = phases.phase_rows(spark, folder, "normalized")
+    return found.select("row_index", "raw_domain", "verified_domain", "verification_confidence", "normalized_domain", "status")
 
 
 @query("website_finder", "SELECT * FROM websites", ("websites",))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,21 +29,35 @@ def search_rows(rows: DataFrame, search: DataFrame) -> DataFrame:
     ).drop("candidate_domain")
 
 
+def website_phases(p: Providers, key: Key = "row_index") -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """Search, verify and normalise as steps from rows to rows: for whole tables, or for batches of a stream.
+
+    A batch must hold the rows of a block of 200 row numbers together, since verdicts are numbered inside blocks.
+    """
+    cols = key_columns(key)
+    batch = [c for c in cols if c != "row_index"] + ["batch_id"]
+
+    def verified(searched: DataFrame) -> DataFrame:
+        items = verify.number_batches(verify.verify_items(searched, key), key=key).select("batch_id", *cols)
+        answers = p.verdicts.join(items.select(*batch).distinct(), batch, "left_semi")
+        verdicts = verify.parse_verdicts(items, answers, key=key)
+        return verify.apply_verdicts(searched, verdicts, key).withColumn("normalized_domain", F.lit(None).cast("string"))
+
+    def normalized(rows: DataFrame) -> DataFrame:
+        outcomes = domains.normalize_with_redirects(rows.filter(filled("verified_domain")), p.redirects, key=key)
+        return domains.apply_normalized(rows, outcomes, key)
+
+    return [("searched", lambda rows: search_rows(rows, p.search)), ("verified", verified), ("normalized", normalized)]
+
+
 def website_finder(
     rows: DataFrame, p: Providers, titles: Sequence[str] = (), max_contacts: int | None = None, stage: Stage = written,
     key: Key = "row_index",
 ) -> DataFrame:
     """(key, company_name, location) to websites and contacts; a table of several jobs needs their column in the key."""
-    searched = stage(search_rows(rows, p.search), "searched")
-    items = verify.number_batches(verify.verify_items(searched, key), key=key)
-    verdicts = verify.parse_verdicts(items.select("batch_id", *key_columns(key)), p.verdicts, key=key)
-    verified = stage(verify.apply_verdicts(searched, verdicts, key), "verified").withColumn(
-        "normalized_domain", F.lit(None).cast("string")
-    )
-    eligible = verified.filter(filled("verified_domain"))
-    outcomes = domains.normalize_with_redirects(eligible, p.redirects, key=key)
-    normalized = stage(domains.apply_normalized(verified, outcomes, key), "normalized")
-    return _with_enrichment(normalized, p, titles, max_contacts, match_names=False)
+    for name, step in website_phases(p, key):
+        rows = stage(step(rows), name)
+    return _with_enrichment(rows, p, titles, max_contacts, match_names=False)
 
 
 def company_intel(

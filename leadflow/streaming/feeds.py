@@ -1,12 +1,11 @@
-"""Progress feed, change feed, first-seen feed and the phase stream."""
+"""Progress feed, change feed and first-seen feed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from leadflow.functions.text import micros
 
@@ -57,28 +56,3 @@ def status_changes(
 def streaming_first_seen(feed: DataFrame, keys: Sequence[str], ts: str = "ts", horizon: str = "1 day") -> DataFrame:
     """First row per key within the watermark horizon of an unbounded feed."""
     return feed.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(list(keys))
-
-
-Phase = tuple[str, Callable[[DataFrame], DataFrame]]
-
-
-def phase_stream(rows: DataFrame, phases: Sequence[Phase], folder: str) -> StreamingQuery:
-    """Move micro-batches of rows through the phases; later rows may still be in an earlier phase.
-
-    Each phase writes its rows under ``folder/<phase>/batch_id=<n>`` and the next one reads them from
-    there, so a lost executor or a restart repeats at most one phase of one batch. A failing phase ends
-    the run.
-    """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        for name, step in phases:
-            path = f"{folder}/{name}/batch_id={batch_id}"
-            step(batch).write.mode("overwrite").parquet(path)
-            batch = spark.read.parquet(path)
-
-    return (
-        rows.writeStream.foreachBatch(run)
-        .option("checkpointLocation", f"{folder}/_checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
