@@ -4,44 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.functions.text import blank_to_null, or_blank, strip
-
-BOM = "\ufeff"
+from leadflow.sources.csv_records import BOM, read_csv
 
 
 def read_header_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Header CSV as strings; quoted line breaks allowed, a byte order mark is ignored."""
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .option("sep", sep)
-        .csv(path)
-    )
-    return df.toDF(*[c.lstrip(BOM).strip() for c in df.columns])
-
-
-def with_file_row_index(df: DataFrame) -> DataFrame:
-    """Number the records 0, 1, 2 ... over all files by name and position.
-
-    A quoted CSV is one split per file, so the id within a file is its position. Only one row per
-    file goes through the running sum.
-    """
-    named = df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
-        "_id", F.monotonically_increasing_id()
-    )
-    sizes = named.groupBy("_file").agg(F.min("_id").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_file", "_lo", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
-    return (
-        named.join(starts, "_file")
-        .withColumn("row_index", F.col("_at") + F.col("_id") - F.col("_lo"))
-        .drop("_file", "_id", "_lo", "_at")
-    )
+    return read_csv(spark, path, sep)
 
 
 def csv_company_rows(
@@ -55,13 +27,12 @@ def csv_company_rows(
 
     The index counts skipped rows too; ``max_rows`` keeps the first ones only.
     """
-    raw = read_header_csv(spark, path)
+    raw = read_csv(spark, path, index="_row")
     location = F.lit(None).cast("string")
     if location_col and location_col in raw.columns:
         location = blank_to_null(strip(location_col))
     rows = (
-        with_file_row_index(raw)
-        .select("row_index", strip(or_blank(company_col)).alias("company_name"), location.alias("location"))
+        raw.select(F.col("_row").alias("row_index"), strip(or_blank(company_col)).alias("company_name"), location.alias("location"))
         .filter(F.col("company_name") != "")
     )
     return rows if max_rows is None else rows.orderBy("row_index").limit(max_rows)
