@@ -34,7 +34,7 @@ from leadflow.llm.warc import _open
 
 MARK = b"LFIDS\x00\x01\n"
 _HEAD, _TRAILER = "<8sII32s", "<QQ8s"
-_SLICE_CHARS = 2_000_000
+_SLICE_BYTES = 1 << 20
 _SENT_BYTES = 16 << 20
 _DICTIONARY_BYTES = 112_640
 
@@ -55,19 +55,32 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def _whole(words, text: str, end_id: int) -> np.ndarray:
-    return np.concatenate([*words.stream(text), np.array([end_id], "<u4")])
+def _whole(words, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text and the end id; a text too long for a slice comes alone and is encoded in parts."""
+    end = np.array([end_id], "<u4")
+    if len(texts) == 1:
+        yield np.concatenate([*words.stream(texts[0]), end])
+    else:
+        for ids in words.ids_of_all(texts):
+            yield np.append(ids, end)
 
 
 def _sampled(docs: DataFrame, path: str, end_id: int, width: int, sample_docs: int, sample_chars: int) -> list[bytes]:
-    """Serialized ids of at most ``sample_docs`` texts of 1 to ``sample_chars`` characters, those of smallest hash."""
-    short = docs.filter(F.char_length("text").between(1, sample_chars)).select("text", F.xxhash64("text").alias("h"))
-    some = short.dropDuplicates(["h"]).orderBy("h").limit(sample_docs) if sample_docs else short.limit(0)
+    """Serialized ids of at most ``sample_docs`` texts of 1 to ``sample_chars`` characters, chosen by their hashes.
+
+    Hashes below a bound that some twice as many rows keep go on, so what is sorted does not grow with the table.
+    """
+    rows = docs.count()
+    if not rows or not sample_docs:
+        return []
+    place = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    short = docs.filter(place < min(2 * sample_docs * (1 << 63) // rows, (1 << 63) - 1)).filter(F.char_length("text").between(1, sample_chars))
+    some = short.select("text", place.alias("h")).dropDuplicates(["h"]).orderBy("h").limit(sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for batch in batches:
-            made = [serialized(_whole(words, t, end_id), width) for t in batch.column(0).to_pylist()]
+            made = [serialized(ids, width) for ids in _whole(words, batch.column(0).to_pylist(), end_id)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
 
     return sorted(bytes(r.ids) for r in some.select("text").mapInArrow(run, "ids binary").collect())
@@ -117,7 +130,7 @@ class _File:
 
 def write_ids(
     docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 2, file_bytes: int = 128 << 20, block_docs: int = 1024, block_ids: int = 1 << 20, level: int = 3,
+    end_id: int = 2, file_bytes: int = 128 << 20, block_docs: int = 1024, block_ids: int = 1 << 20, level: int = 1,
     sample_docs: int = 1000, sample_chars: int = 4096,
 ) -> str:
     """Write the ids of every whole text, each with ``end_id`` behind, in ascending order of the id; returns the folder.
@@ -157,12 +170,11 @@ def write_ids(
 
         for batch in batches:
             names, id_type = batch.column(0).to_pylist(), batch.schema.field(0).type
-            for a, b, texts in text_slices(batch.column(1), _SLICE_CHARS):
-                for name, text in zip(names[a:b], texts, strict=True):
+            for a, b, texts in text_slices(batch.column(1), _SLICE_BYTES):
+                for name, ids in zip(names[a:b], _whole(words, texts, end_id), strict=True):
                     if file is None:
                         part = f"part-{task:05d}-{n_files:04d}-{uuid.uuid4().hex}.ids"
                         file = _File(store, posixpath.join(root, part), f"{folder}/{part}", width, sha, id_type, block_docs, block_ids)
-                    ids = _whole(words, text, end_id)
                     file.add(name, packer.compress(serialized(ids, width)), len(ids))
                     if file.at >= file_bytes:
                         closed(file, n_files)

@@ -8,9 +8,11 @@ buffers of bounded size, so nothing is shuffled and no task or driver holds more
 
 from __future__ import annotations
 
+import operator
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from leadflow.llm.common import process_cache, text_slices
 
 _SLICE_CHARS = 2_000_000
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 400_000
 _CACHED_STEMS = 400_000
 _TAIL = ".,!?;:()[]{}\"'*$%&#|-"
 #: str.split() takes these as blanks, the tokenizer does not
@@ -90,7 +92,7 @@ class _Recent:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def of(self, strings: list[str]) -> dict[str, bytes]:
+    def of(self, strings: Iterable[str]) -> dict[str, bytes]:
         """A dict that has all of ``strings``."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
@@ -125,12 +127,12 @@ class _Words:
         self.tails = _Recent(_CACHED_WORDS, self._encode_any)
 
     def _encode_any(self, strings: list[str]):
-        encoded = self.tokenizer.encode_batch(strings, add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return zip(strings, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True)
 
     def _encode_stems(self, stems: list[str]):
         """Runs of letters: one call for all, cut behind each token that ends a run."""
-        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.final[ids]) + 1
         if len(ends) != len(stems):  # letters that this Python and the tokenizer class differently
             return self._encode_any(stems)
@@ -138,25 +140,35 @@ class _Words:
         return zip(stems, (raw[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)), strict=True)
 
     def _encode_words(self, words: list[str]):
-        split, other = [], []
-        for word in words:
-            stem = word.rstrip(_TAIL)
-            if stem.isalpha():
-                # folding each letter is what the tokenizer does; a final sigma would fold by its place
-                split.append((word, stem if "\u03a3" in stem else stem.lower(), word[len(stem) :]))
-            else:
-                other.append(word)
-        out = list(self._encode_any(other)) if other else []
+        heads = [w.rstrip(_TAIL) for w in words]
+        # folding each letter is what the tokenizer does; a final sigma would fold by its place
+        stems = [h if "\u03a3" in h else h.lower() for h in heads]
+        # a folded letter may bring a mark of its own
+        split = [i for i, (h, s) in enumerate(zip(heads, stems, strict=True)) if h.isalpha() and s.isalpha()]
+        if len(split) < len(words):
+            chosen = set(split)
+            yield from self._encode_any([w for i, w in enumerate(words) if i not in chosen])
         if split:
-            stems = self.stems.of([s for _, s, _ in split])
-            tails = self.tails.of([t for _, _, t in split])
-            out += [(word, stems[stem] + tails[tail]) for word, stem, tail in split]
-        return out
+            stems, tails = [stems[i] for i in split], [words[i][len(heads[i]) :] for i in split]
+            of_stem, of_tail = self.stems.of(stems).__getitem__, self.tails.of(tails).__getitem__
+            yield from zip([words[i] for i in split], map(operator.add, map(of_stem, stems), map(of_tail, tails)), strict=True)
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        return _BLANKS.split(text) if _ODD_BLANKS.search(text) else text.split()
 
     def ids(self, text: str) -> np.ndarray:
-        words = _BLANKS.split(text) if _ODD_BLANKS.search(text) else text.split()
+        words = self._cut(text)
         return np.frombuffer(b"".join(map(self.words.of(words).__getitem__, words)), "<u4")
 
+    def ids_of_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, the words of all of them looked up at once."""
+        cut = [self._cut(t) for t in texts]
+        words = set(chain.from_iterable(cut))
+        known = self.words.of(words)
+        here = {w: known[w] for w in words}.__getitem__  # a small table is quicker to ask for every word
+        return (np.frombuffer(b"".join(map(here, some)), "<u4") for some in cut)
+
     def stream(self, text: str) -> Iterator[np.ndarray]:
         """The ids in parts, cut at blanks, so that a huge text never has all its ids in memory."""
         start = 0
