@@ -72,6 +72,50 @@ def sliding_limit_stream(spark, d):
     return drained(spark, "sliding", out.writeStream.outputMode("append"))
 
 
+# requests by address, kind of address and action; pages views have no limit
+view(
+    "asked",
+    """SELECT event_id, 'u' || (user_id % 20) AS identifier, CASE WHEN user_id % 3 = 0 THEN 'ip' ELSE 'email' END AS identifier_type,
+       event_type AS action, epoch_us(ts) AS us FROM events""",
+)
+LIMITS_SQL = "(VALUES ('email', 'purchase', 2), ('ip', 'purchase', 4), ('email', 'signup', 1))"
+view(
+    "asked_steps",
+    f"""SELECT a.*, l.n_max, row_number() OVER (PARTITION BY identifier, a.identifier_type, a.action ORDER BY us, event_id) AS n
+        FROM asked a JOIN {LIMITS_SQL} AS l(identifier_type, action, n_max) ON l.identifier_type = a.identifier_type AND l.action = a.action""",
+    ("asked",),
+)
+view(
+    "asked_walk",
+    f"""SELECT event_id, identifier, identifier_type, action, n, us AS start, 1 AS used, true AS allowed FROM asked_steps WHERE n = 1
+        UNION ALL SELECT s.event_id, s.identifier, s.identifier_type, s.action, s.n, CASE WHEN s.us - w.start > {DAY_SECONDS}000000 THEN s.us ELSE w.start END,
+          CASE WHEN s.us - w.start > {DAY_SECONDS}000000 THEN 1 WHEN w.used >= s.n_max THEN w.used ELSE w.used + 1 END,
+          s.us - w.start > {DAY_SECONDS}000000 OR w.used < s.n_max
+        FROM asked_walk w JOIN asked_steps s ON s.identifier = w.identifier AND s.identifier_type = w.identifier_type AND s.action = w.action AND s.n = w.n + 1""",
+    ("asked_steps",),
+)
+
+
+def as_requests(events):
+    return events.select(
+        "event_id", text("u", mod("user_id", 20)).alias("identifier"), F.when(mod("user_id", 3) == 0, "ip").otherwise("email").alias("identifier_type"),
+        F.col("event_type").alias("action"), "ts",
+    )
+
+
+@query(
+    "daily_limit_stream_by_kind",
+    """SELECT event_id, identifier, identifier_type, action, allowed FROM asked_walk
+       UNION ALL SELECT event_id, identifier, identifier_type, action, true FROM asked WHERE event_id NOT IN (SELECT event_id FROM asked_walk)""",
+    ("asked", "asked_walk"),
+)
+def daily_limit_stream_by_kind(spark, d):
+    kinds = [("email", "purchase", 2), ("ip", "purchase", 4), ("email", "signup", 1)]
+    table_ = spark.createDataFrame(kinds, "identifier_type string, action string, `limit` int")
+    out = limits.daily_limit_stream(as_requests(event_stream(spark, d)), limits=table_, seconds=DAY_SECONDS)
+    return drained(spark, "daily-kinds", out.writeStream.outputMode("append"))
+
+
 def as_results(events):
     t = F.col("event_type")
     return events.select(
@@ -101,6 +145,23 @@ def progress_stream(spark, d):
     return last.select("job_id", "s.*")
 
 
+# a job ends with its first signup; an hour later its counts go out, once the newest event is an hour further
+@query(
+    "finished_jobs",
+    """SELECT job_id, count(*) AS processed_rows, count(*) FILTER (WHERE event_type <> 'error') AS found_count,
+       count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS enriched_count, true AS terminal, 'completed' AS job_status
+       FROM (SELECT 'job' || (user_id % 400) AS job_id, event_type, ts, min(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id % 400) AS ended FROM events)
+       WHERE ts <= ended + INTERVAL 1 HOUR AND ended + INTERVAL 1 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY job_id""",
+)
+def finished_jobs(spark, d):
+    t = F.col("event_type")
+    fed = event_stream(spark, d).select(
+        text("job", mod("user_id", 400)).alias("job_id"), "ts", F.when(t != "error", "d.example.com").alias("normalized_domain"),
+        F.when(t.isin("purchase", "signup"), F.array(F.lit(1))).alias("contacts"), F.when(t == "signup", "completed").otherwise("enriching").alias("job_status"),
+    )
+    return drained(spark, "finished", feeds.finished_jobs(fed, idle="365 days").writeStream.outputMode("append"))
+
+
 @query(
     "status_changes",
     """SELECT event_id, row_index, status, previous_status FROM (SELECT event_id, user_id AS row_index, event_type AS status,

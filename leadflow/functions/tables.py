@@ -59,22 +59,25 @@ def look_up(rows: DataFrame, answers: DataFrame, on: str | Sequence[str], how: s
     return guarded[0].join(guarded[1], [*keys, "_guard"], how).drop("_guard")
 
 
-def dense_index(df: DataFrame, ordinal: str, name: str, tasks: int = 64) -> DataFrame:
+def dense_index(df: DataFrame, ordinal: str, name: str, tasks: int | None = None) -> DataFrame:
     """Number rows 0, 1, 2 ... by a unique ``ordinal`` without a one-task window.
 
-    Rows are sorted into ranges of even size, wherever the values lie, and stored so that counting and numbering
-    see the same ranges. A row's number is its place in its range plus the rows of the ranges before.
+    Rows are sorted into ranges, wherever the values lie, and stored so that counting and numbering see the same ranges. A
+    row's number is its place in its range plus the rows of the ranges before. Without ``tasks`` the ranges are as many as
+    the session's shuffle partitions, small ones put together by adaptive execution, so they follow the cluster's own
+    settings for the size of the data. Sums over ranges go in two levels, by thousands of ranges.
     """
-    ranged = df.repartitionByRange(tasks, ordinal).sortWithinPartitions(ordinal)
+    ranged = (df.repartitionByRange(ordinal) if tasks is None else df.repartitionByRange(tasks, ordinal)).sortWithinPartitions(ordinal)
     path = workspace(df.sparkSession, "numbered")
     ranged.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
     placed = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range, so one task and a broadcast are safe
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_many", F.floor(F.col("_range") / 1000))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    many = sizes.groupBy("_many").agg(F.sum("_n").alias("_n")).select("_many", earlier(Window.orderBy("_many")).alias("_base"))
+    inside = sizes.withColumn("_inside", earlier(Window.partitionBy("_many").orderBy("_range")))
+    starts = inside.join(many, "_many").select("_range", (F.col("_base") + F.col("_inside")).alias("_start"))
     return (
-        placed.join(F.broadcast(starts), "_range")
+        placed.join(starts, "_range")
         .withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_range", "_start", "_id")
     )
