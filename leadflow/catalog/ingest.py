@@ -156,7 +156,36 @@ def maps_search_plan(spark, d):
         F.col("p_partkey").alias("search_idx"),
         F.when(mod("p_partkey", 7) == 3, "  ").otherwise(F.concat(F.lit(" "), "p_name")).alias("term"),
     )
-    return ingest.maps_plan_from_terms(terms, " Austin, TX ", limits=ingest.SearchLimits(searches=10**9, per_search=100), max_per_search=100)
+    return ingest.maps_search_plan(terms, " Austin, TX ", max_per_search=100, limits=ingest.SearchLimits(searches=10**9, per_search=100))
+
+
+@query(
+    "maps_search_pairs",
+    """SELECT s_suppkey AS search_idx, s_name AS search_term, n_name AS location FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+)
+def maps_search_pairs(spark, d):
+    n = table(spark, d, "nation")
+    pairs = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("search_idx"), F.concat(F.lit("  "), "s_name").alias("term"), F.concat("n_name", F.lit(" ")).alias("location")
+    )
+    return ingest.maps_search_plan(pairs=pairs, terms=pairs, location="not used", max_per_search=1, limits=ingest.SearchLimits(10**9, 100, 10**9))
+
+
+# a job per nation: its customers are the terms, its key the results wanted per search
+@query(
+    "maps_search_refusals",
+    """SELECT c_nationkey AS job_id, count(*) AS n_searches, CASE
+         WHEN count(*) > (SELECT count(*) FROM customer) / 24 THEN 'at most ' || CAST(floor((SELECT count(*) FROM customer) / 24) AS BIGINT) || ' search term and location combinations'
+         WHEN c_nationkey < 1 OR c_nationkey > 20 THEN 'max_per_search must be between 1 and 20'
+         WHEN count(*) * c_nationkey > (SELECT count(*) FROM customer) / 2 THEN 'more than ' || CAST(floor((SELECT count(*) FROM customer) / 2) AS BIGINT) || ' results expected' END AS error
+       FROM customer GROUP BY c_nationkey""",
+)
+def maps_search_refusals(spark, d):
+    c = table(spark, d, "customer")
+    n = c.count()
+    terms = c.select(F.col("c_nationkey").cast("long").alias("job_id"), F.col("c_name").alias("term"))
+    plan = ingest.maps_search_plan(terms, "Austin")
+    return ingest.search_plan_errors(plan, "job_id", ingest.SearchLimits(n // 24, 20, n // 2), jobs=["job_id"])
 
 
 @query(

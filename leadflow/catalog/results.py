@@ -187,6 +187,19 @@ def preview_page(spark, d):
     return results.preview_page(result_rows(spark, d), limit=500, offset=40).drop("contacts")
 
 
+@query(
+    "preview_deep",
+    """SELECT * EXCLUDE (n) FROM (SELECT row_index, coalesce(nullif(company_name, ''), input) AS company_name, location, coalesce(normalized_domain, verified_domain) AS domain, verification_confidence::VARCHAR AS confidence,
+       status, industry, niche, count(*) OVER () AS total, row_number() OVER (ORDER BY row_index) AS n FROM result_rows WHERE status <> 'pending')
+       WHERE n > total * 9 // 10 AND n <= total * 9 // 10 + 50""",
+    ("result_rows",),
+)
+def preview_deep(spark, d):
+    folder = results.write_preview(result_rows(spark, d), workspace(spark, "preview"), ranges=64)
+    total = spark.read.parquet(f"{folder}/ranges").agg(F.sum("n")).first()[0]
+    return results.preview_stored(spark, folder, 50, total * 9 // 10).drop("contacts")
+
+
 @query(
     "flatten_results",
     f"""SELECT r.row_index, nullif(trim(c.first_name || ' ' || c.last_name), '') AS contact_name, nullif(c.title, '') AS contact_title, nullif(c.email, '') AS contact_email,

@@ -4,6 +4,7 @@ import os
 import re
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadflow.catalog.base import VIEWS, div, firm_answers, firms, mod, query, table, text, view
@@ -13,7 +14,8 @@ from leadflow.catalog.verify import batches_view, searched, verdict_answers, ver
 from leadflow.functions import fixed
 from leadflow.functions.workspace import workspace
 from leadflow.operators import discover, entities, ingest, verify
-from leadflow.plans import tools
+from leadflow.operators.contacts import RECORD_FIELDS
+from leadflow.plans import cache, tools
 from leadflow.plans.stages import Providers, written
 from leadflow.streaming import phases
 
@@ -108,6 +110,70 @@ def websites(spark, d):
     return tools.website_finder(firms(spark, d).select("row_index", "company_name", "location"), website_providers(spark, d), WANTED)
 
 
+# the finder over a cache that is empty at first: each run's missing answers are added for the next one
+def now():
+    return F.lit("2026-01-01 00:00:00").cast("timestamp")
+
+
+def served(spark, d, missing, p):
+    """What the services answer to the requests that a run lacked: (cache_key, payload)."""
+    asked = lambda kind, name: missing.filter(F.col("kind") == kind).select("cache_key", F.get_json_object("request", f"$.{name}").alias(name))
+    found = asked("serper", "request_key").join(p.search.groupBy("request_key").agg(F.min("body").alias("payload")), "request_key")
+    made = found.select("cache_key", "payload")
+    if p.directory is not None:
+        record = F.struct("title_idx", "pos", *[c for c in RECORD_FIELDS if c in p.directory.columns])
+        lists = p.directory.groupBy("domain").agg(F.to_json(F.sort_array(F.collect_list(record))).alias("payload"))
+        listed = asked("enrich", "domain").join(lists, "domain", "left").select("cache_key", F.coalesce("payload", F.lit("[]")).alias("payload"))
+        made = made.unionByName(listed)
+    if p.site_pages is not None:
+        page = F.struct("ordinal", "url", "text")
+        sites = p.crawled.join(p.site_pages.groupBy("domain").agg(F.to_json(F.sort_array(F.collect_list(page))).alias("pages")), "domain", "left")
+        crawled = asked("scrape", "domain").join(sites, "domain").select("cache_key", F.coalesce("pages", F.lit(" []")).alias("payload"))
+        read = asked("intel", "domain").join(p.extractions, "domain").select("cache_key", F.col("body").alias("payload"))
+        made = made.unionByName(crawled).unionByName(read)
+    return made
+
+
+def over_cache(spark, d, p, tool, runs):
+    """Results of the last run, and what every run had to fetch."""
+    folder, asked = cache.create_cache(spark, workspace(spark, "cache"), 16), []
+    for run in range(runs):
+        ans = cache.CachedAnswers(folder, now(), WANTED)
+        rows = tool(ans.providers(verdicts=p.verdicts, redirects=p.redirects))
+        asked.append(written(ans.to_fetch(), "to-fetch"))
+        if run + 1 < runs:
+            cache.add_answers(cache.fetched(asked[-1], served(spark, d, asked[-1], p), now()), folder)
+    return rows, asked
+
+
+def finder_over_cache(spark, d, runs):
+    p = website_providers(spark, d)
+    p = replace(p, verdicts=written(p.verdicts, "verdicts"))
+    rows = firms(spark, d).select("row_index", "company_name", "location")
+    return over_cache(spark, d, p, lambda cached: tools.website_finder(rows, cached, WANTED), runs)
+
+
+@query("website_finder_cached", "SELECT * FROM websites", ("websites",))
+def website_finder_cached(spark, d):
+    out = finder_over_cache(spark, d, 3)[0].withColumn("people", people_text(F.col("contacts")))
+    return out.select("row_index", "raw_domain", "verified_domain", "verification_confidence", "normalized_domain", "status", "people")
+
+
+# an empty cache lacks every search; with the searches known, the contacts of every domain; then the searches nobody answered
+@query(
+    "website_finder_to_fetch",
+    """SELECT 0 AS run, 'serper' AS kind, count(DISTINCT lower(company_name) || '|' || lower(location)) AS n FROM firms
+       UNION ALL SELECT 1, 'serper', count(DISTINCT lower(company_name) || '|' || lower(location)) FROM firms WHERE lower(company_name) || '|' || lower(location) NOT IN (SELECT request_key FROM firm_answers)
+       UNION ALL SELECT 1, 'enrich', count(DISTINCT normalized_domain) FROM websites
+       UNION ALL SELECT 2, 'serper', count(DISTINCT lower(company_name) || '|' || lower(location)) FROM firms WHERE lower(company_name) || '|' || lower(location) NOT IN (SELECT request_key FROM firm_answers)""",
+    ("firms", "firm_answers", "websites"),
+)
+def website_finder_to_fetch(spark, d):
+    runs = [a.select(F.lit(i).alias("run"), "kind") for i, a in enumerate(finder_over_cache(spark, d, 3)[1])]
+    every = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    return every.groupBy("run", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 # the same phases as a chain of streams over rows that arrive in files of whole blocks
 @query(
     "phase_stream",
@@ -336,6 +402,40 @@ def row_status_flow(spark, d):
     return both.join(unknown, "status", "left").select("tool", "status", "n_rows", F.coalesce("_ok", F.lit(True)).alias("allowed"))
 
 
+# rows are customers, their orders are snapshots that go through the website finder's statuses; some take a wrong step
+view(
+    "histories",
+    """SELECT o_orderkey AS event_id, o_custkey AS row_index, o_orderdate::TIMESTAMP AS ts,
+       CASE WHEN o_orderkey % 17 = 0 THEN 'pending' WHEN o_orderkey % 23 = 0 THEN 'crawled' WHEN o_orderkey % 29 = 0 THEN NULL
+            ELSE ['pending', 'searched', 'verified', 'normalized', 'enriched'][least(n, 5)] END AS status
+       FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)""",
+)
+
+
+@query(
+    "row_status_steps",
+    """SELECT event_id, row_index, status, previous_status, problem FROM (
+         SELECT *, CASE WHEN n > 1 AND status IS NOT DISTINCT FROM previous_status THEN NULL
+           WHEN n = 1 AND status = 'pending' THEN NULL
+           WHEN status IS NULL OR status NOT IN ('pending', 'searched', 'verified', 'not_found', 'normalized', 'blocked', 'failed', 'enriched') THEN 'unknown status'
+           WHEN n = 1 THEN 'begins elsewhere'
+           WHEN (previous_status, status) IN (('pending', 'searched'), ('searched', 'verified'), ('verified', 'normalized'), ('normalized', 'enriched')) THEN NULL
+           ELSE 'illegal step' END AS problem
+         FROM (SELECT *, lag(status) OVER w AS previous_status, row_number() OVER w AS n FROM histories WINDOW w AS (PARTITION BY row_index ORDER BY ts, event_id)))
+       WHERE problem IS NOT NULL""",
+    ("histories",),
+)
+def row_status_steps(spark, d):
+    o = F.col("o_orderkey")
+    flow = F.array(*[F.lit(s) for s in ("pending", "searched", "verified", "normalized", "enriched")])
+    place = F.least(F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")), F.lit(5))
+    history = table(spark, d, "orders").select(
+        o.alias("event_id"), F.col("o_custkey").alias("row_index"), F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.when(o % 17 == 0, "pending").when(o % 23 == 0, "crawled").when(o % 29 == 0, F.lit(None)).otherwise(F.element_at(flow, place)).alias("status"),
+    )
+    return entities.row_status_flow(history, fixed.WEBSITE_STEPS).drop("ts")
+
+
 # --- many jobs in one table: their rows have equal numbers -------------------------------------
 
 JOB_ROWS = 40

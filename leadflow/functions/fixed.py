@@ -192,3 +192,13 @@ CACHE_PREFIXES = [
     "g2_cat_scrape_v3", "g2_cat_scrape_v2", "g2_cat", "enrich", "linkedin", "serper", "scrape",
     "intel", "funding_discovery",
 ]
+# The steps a row's status may take, website finder first, then company intel.
+WEBSITE_STEPS = [
+    ("pending", "searched"), ("searched", "verified"), ("searched", "not_found"), ("verified", "normalized"), ("verified", "blocked"),
+    ("verified", "failed"), ("normalized", "enriched"),
+]
+INTEL_STEPS = [
+    ("pending", "resolved"), ("resolved", "verified"), ("resolved", "not_found"), ("resolved", "crawled"), ("resolved", "scrape_failed"),
+    ("verified", "crawled"), ("verified", "scrape_failed"), ("verified", "not_found"), ("crawled", "extracted"), ("crawled", "extract_failed"),
+    ("scrape_failed", "extracted"), ("extracted", "enriched"), ("extract_failed", "enriched"),
+]

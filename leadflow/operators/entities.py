@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions import fixed
+from leadflow.functions.tables import first_per_key
+from leadflow.streaming.feeds import status_changes
 
 
 def upsert_captures(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -30,6 +34,27 @@ def unknown_statuses(rows: DataFrame) -> DataFrame:
     )
 
 
+def row_status_flow(
+    history: DataFrame, steps: Sequence[tuple[str, str]], key: str = "row_index", order: Sequence[str] = ("ts", "event_id"), first: str = "pending"
+) -> DataFrame:
+    """Illegal steps of rows through their statuses: the snapshots that took them, with ``previous_status`` and ``problem``.
+
+    ``history`` holds snapshots (key, order columns, status). A row begins as ``first``; from there only ``steps`` lead on,
+    and a repeated status is no step. The problem is ``begins elsewhere``, ``unknown status`` (in no step) or
+    ``illegal step``. Changes are found slot by slot in time, so a row with very many snapshots spreads over tasks.
+    """
+    known = sorted({s for step in steps for s in step})
+    changes = status_changes(history, key, order)
+    begins = first_per_key(history.withColumn("_key", F.struct(key)), ["_key"], list(order)).drop("_key")
+    begins = begins.filter(~F.col("status").eqNullSafe(first)).withColumn("previous_status", F.lit(None).cast("string"))
+    step = F.struct(F.col("previous_status"), F.col("status"))
+    legal = F.array(*[F.struct(F.lit(a).alias("previous_status"), F.lit(b).alias("status")) for a, b in steps])
+    unknown = F.coalesce(~F.col("status").isin(known), F.lit(True))
+    problem = F.when(unknown, "unknown status").when(~F.array_contains(legal, step), "illegal step")
+    bad = changes.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+    return bad.unionByName(begins.withColumn("problem", F.when(unknown, "unknown status").otherwise("begins elsewhere")).select(bad.columns))
+
+
 def job_diagnosis(site_pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """Pages, characters, characters per page and populated fields per domain."""
     pages = site_pages.groupBy("domain").agg(

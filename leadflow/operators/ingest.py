@@ -188,57 +188,54 @@ class SearchLimits:
     results: int | None = None
 
 
-def check_search_plan(n_searches: int, max_per_search: int | None = None, limits: SearchLimits = SearchLimits()) -> None:
-    """Refuse an empty plan, and one beyond ``limits``."""
-    if n_searches < 1:
-        raise PlanError("at least one search term is required")
-    if limits.searches is not None and n_searches > limits.searches:
-        raise PlanError(f"at most {limits.searches} search term and location combinations")
-    if max_per_search is None:
-        return
-    if max_per_search < 1 or (limits.per_search is not None and max_per_search > limits.per_search):
-        raise PlanError(f"max_per_search must be between 1 and {limits.per_search}")
-    if limits.results is not None and n_searches * max_per_search > limits.results:
-        raise PlanError(f"more than {limits.results} results expected")
-
-
-def maps_search_plan(
-    spark: SparkSession,
-    terms: Sequence[str] = (),
-    location: str = "",
-    pairs: Sequence[tuple[str, str]] = (),
-    max_per_search: int | None = None,
-    limits: SearchLimits = SearchLimits(),
+def search_plan_errors(
+    plan: DataFrame, max_per_search: int | str | None = None, limits: SearchLimits = SearchLimits(), jobs: Sequence[str] = ()
 ) -> DataFrame:
-    """(search_idx, search_term, location): the given pairs, else every term at one location."""
-    if pairs:
-        searches = list(pairs)
-    elif terms and location:
-        searches = [(t.strip(), location.strip()) for t in terms if t.strip()]
-    else:
-        raise PlanError("provide search terms with a location, or pairs")
-    check_search_plan(len(searches), max_per_search, limits)
-    return spark.createDataFrame(
-        [(i, t, p) for i, (t, p) in enumerate(searches)],
-        "search_idx int, search_term string, location string",
-    )
+    """(jobs, n_searches, error) of every job of a plan: why it is refused, null if it is not.
+
+    ``max_per_search`` is a number, or a column of the plan with one value a job. The first rule that a job breaks counts:
+    too many searches, a number per search outside 1 to its limit, too many results expected.
+    """
+    per_search = F.lit(max_per_search).cast("long") if max_per_search is None or isinstance(max_per_search, int) else F.col(max_per_search).cast("long")
+    counted = plan.groupBy(*jobs).agg(F.count(F.lit(1)).alias("n_searches"), F.min(per_search).alias("_per"), F.max(per_search).alias("_most"))
+    rules = []
+    if limits.searches is not None:
+        rules.append((F.col("n_searches") > limits.searches, f"at most {limits.searches} search term and location combinations"))
+    if limits.per_search is not None:
+        rules.append(((F.col("_per") < 1) | (F.col("_most") > limits.per_search), f"max_per_search must be between 1 and {limits.per_search}"))
+    if limits.results is not None:
+        rules.append((F.col("n_searches") * F.col("_most") > limits.results, f"more than {limits.results} results expected"))
+    error = F.lit(None).cast("string")
+    for broken, message in reversed(rules):
+        error = F.when(broken, message).otherwise(error)
+    return counted.select(*jobs, "n_searches", error.alias("error"))
 
 
-def maps_plan_from_terms(
-    terms: DataFrame, location: str, term_col: str = "term", max_per_search: int | None = None, limits: SearchLimits | None = None,
+def maps_search_plan(
+    terms: DataFrame | None = None, location: str = "", pairs: DataFrame | None = None, term_col: str = "term", place_col: str = "location",
+    max_per_search: int | None = None, limits: SearchLimits = SearchLimits(),
 ) -> DataFrame:
-    """The same plan from a table of terms: trimmed, blanks dropped, one location.
+    """Searches (other columns, search_term, location): the given pairs, else every term at one location.
 
-    With ``limits`` the searches are counted first and a plan beyond them is refused.
+    Texts are trimmed; terms that are blank make no search. A plan beyond ``limits`` is refused when it runs: its rows
+    carry a guard that the whole plan's count decides, so nothing is counted on the driver before.
     """
-    plan = terms.select(
-        *[c for c in terms.columns if c != term_col],
-        strip(or_blank(term_col)).alias("search_term"),
-        F.lit(location.strip()).alias("location"),
-    ).filter(F.col("search_term") != "")
-    if limits is not None:
-        check_search_plan(plan.count(), max_per_search, limits)
-    return plan
+    if pairs is not None:
+        plan = pairs.select(
+            *[c for c in pairs.columns if c not in (term_col, place_col)], strip(or_blank(term_col)).alias("search_term"),
+            strip(or_blank(place_col)).alias("location"),
+        )
+    elif terms is not None and location.strip():
+        plan = terms.select(
+            *[c for c in terms.columns if c != term_col], strip(or_blank(term_col)).alias("search_term"), F.lit(location.strip()).alias("location")
+        ).filter(F.col("search_term") != "")
+    else:
+        raise PlanError("provide search terms with a location, or pairs")
+    if limits == SearchLimits():
+        return plan
+    error = search_plan_errors(plan, max_per_search, limits).select("error").scalar()
+    refused = F.when(error.isNotNull(), F.raise_error(error)).cast("boolean")
+    return plan.filter(F.coalesce(refused, F.lit(True)))
 
 
 def maps_pairs_from_csv(df: DataFrame) -> DataFrame:

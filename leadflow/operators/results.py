@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadflow.functions import fixed
 from leadflow.functions.tables import Key, key_columns
@@ -232,6 +233,44 @@ def preview_page(rows: DataFrame, limit: int = 50, offset: int = 0, key: Key = "
     return shaped.orderBy(*key_columns(key)).offset(offset).limit(limit).withColumn("total", total)
 
 
+def write_preview(rows: DataFrame, folder: str, key: Key = "row_index", ranges: int | None = None) -> str:
+    """Store the processed rows for paging: sorted by key into ranges, and the number of rows of each; returns the folder.
+
+    Without ``ranges`` Spark sizes them. ``folder/rows`` has a directory a range, ``folder/ranges`` one row a range,
+    ``folder/columns`` the columns.
+    """
+    cols = key_columns(key)
+    shaped = preview_rows(rows, key)
+    dealt = shaped.repartitionByRange(*cols) if ranges is None else shaped.repartitionByRange(ranges, *cols)
+    placed = dealt.sortWithinPartitions(*cols).withColumn("_range", F.spark_partition_id())
+    placed.write.partitionBy("_range").parquet(f"{folder}/rows")
+    rows.sparkSession.createDataFrame([], shaped.schema).write.parquet(f"{folder}/columns")  # known also without rows
+    stored = rows.sparkSession.read.schema(placed.schema).parquet(f"{folder}/rows")
+    stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/ranges")
+    return folder
+
+
+def preview_stored(spark: SparkSession, folder: str, limit: int = 50, offset: int = 0, key: Key = "row_index") -> DataFrame:
+    """A page of ``write_preview``'s table, equal to that of ``preview_page``: only the ranges it lies in are read."""
+    if not 1 <= limit <= 5000 or offset < 0:
+        raise ValueError("limit must be 1 to 5000, offset not negative")
+    ends = spark.read.parquet(f"{folder}/ranges").withColumn("end", F.sum("n").over(Window.orderBy("_range")))  # one row a range
+    total = F.max("end").over(Window.partitionBy())
+    hit = ends.withColumn("total", total).filter((F.col("end") > offset) & (F.col("end") - F.col("n") < offset + limit))
+    wanted = hit.orderBy("_range").collect()  # a few ranges, those of one page
+    rows = spark.read.schema(preview_schema(spark, folder)).parquet(f"{folder}/rows")
+    before, total = (wanted[0]["end"] - wanted[0]["n"], wanted[0]["total"]) if wanted else (0, 0)
+    some = rows.filter(F.col("_range").isin([r["_range"] for r in wanted])).drop("_range")
+    page = some.orderBy(*key_columns(key)).offset(max(0, offset - before)).limit(limit)
+    return page.withColumn("total", F.lit(total).cast("long"))
+
+
+def preview_schema(spark: SparkSession, folder: str) -> T.StructType:
+    """Columns of the stored rows and the range."""
+    columns = spark.read.parquet(f"{folder}/columns").schema
+    return T.StructType([*columns.fields, T.StructField("_range", T.IntegerType())])
+
+
 def flatten_results(rows: DataFrame) -> DataFrame:
     """First contact and industry fields as flat columns, empty ones null."""
     first = F.try_element_at("contacts", F.lit(1))

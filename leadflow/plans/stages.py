@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from leadflow.functions.workspace import workspace
 
 Stage = Callable[[DataFrame, str], DataFrame]
+Answers = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def lazy(df: DataFrame, label: str) -> DataFrame:
@@ -30,18 +31,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Providers:
-    """Answers of the outside services as tables; None where a tool does not use one.
+    """Answers of the outside services as tables; None where a tool does not use one. A function in the place of a table
+    gets the requests and gives the answers (``plans.cache``); ``sites`` is one in the place of crawled and site_pages.
 
     search(request_key, body); verdicts(the job columns of the key, batch_id, body); redirects(domain, final_url);
     directory(domain, title_idx, pos, record fields); crawled(domain); site_pages(domain, ordinal, url,
     text); extractions(domain, body); profiles(request_key, body)
     """
 
-    search: DataFrame | None = None
+    search: Answers | None = None
     verdicts: DataFrame | None = None
     redirects: DataFrame | None = None
-    directory: DataFrame | None = None
+    directory: Answers | None = None
     crawled: DataFrame | None = None
     site_pages: DataFrame | None = None
-    extractions: DataFrame | None = None
-    profiles: DataFrame | None = None
+    extractions: Answers | None = None
+    profiles: Answers | None = None
+    sites: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None
+
+
+def answers(source: Answers, requests: Callable[[], DataFrame]) -> DataFrame:
+    """A provider's table, or what its function answers to the requests."""
+    return source if isinstance(source, DataFrame) else source(requests())

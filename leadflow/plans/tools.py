@@ -4,26 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions.tables import Key, key_columns
 from leadflow.functions.text import blank_to_null, filled
 from leadflow.operators import contacts, discover, domains, extract, ingest, pages, verify
-from leadflow.plans.stages import Providers, Stage, written
+from leadflow.plans.stages import Answers, Providers, Stage, answers, written
 
 
 def _with_enrichment(rows: DataFrame, p: Providers, titles: Sequence[str], max_contacts: int | None, match_names: bool) -> DataFrame:
     if p.directory is None or not titles:
         return rows.withColumn("contacts", F.lit(None).cast(f"array<{contacts.schemas.CONTACT}>"))
-    found = contacts.domain_contacts(p.directory, titles, max_contacts)
+    listed = answers(p.directory, lambda: _domains(rows, F.coalesce(blank_to_null("normalized_domain"), F.lit(""))))
+    found = contacts.domain_contacts(listed, titles, max_contacts)
     outcomes = found.withColumn("error", F.lit(None).cast("string"))
     return contacts.apply_contacts(contacts.domain_fan_out(rows, outcomes), match_names).drop("enrich_error")
 
 
-def search_rows(rows: DataFrame, search: DataFrame) -> DataFrame:
+def _domains(rows: DataFrame, domain: Column) -> DataFrame:
+    return rows.select(domain.alias("domain")).filter(filled("domain")).distinct()
+
+
+def search_rows(rows: DataFrame, search: Answers) -> DataFrame:
     """Candidate domain per row from the search answers; status ``searched``."""
-    found = discover.fan_out_search(rows, discover.parse_search_responses(search))
+    given = answers(search, lambda: discover.search_requests(rows))
+    found = discover.fan_out_search(rows, discover.parse_search_responses(given))
     return found.withColumn("raw_domain", blank_to_null("candidate_domain")).withColumn(
         "status", F.lit("searched")
     ).drop("candidate_domain")
@@ -39,8 +45,8 @@ def website_phases(p: Providers, key: Key = "row_index") -> list[tuple[str, Call
 
     def verified(searched: DataFrame) -> DataFrame:
         items = verify.number_batches(verify.verify_items(searched, key), key=key).select("batch_id", *cols)
-        answers = p.verdicts.join(items.select(*batch).distinct(), batch, "left_semi")
-        verdicts = verify.parse_verdicts(items, answers, key=key)
+        about = p.verdicts.join(items.select(*batch).distinct(), batch, "left_semi")
+        verdicts = verify.parse_verdicts(items, about, key=key)
         return verify.apply_verdicts(searched, verdicts, key).withColumn("normalized_domain", F.lit(None).cast("string"))
 
     def normalized(rows: DataFrame) -> DataFrame:
@@ -78,20 +84,25 @@ def company_intel(
     names = rows.filter(F.coalesce(F.col("input_type") != "url", F.lit(True))).select(
         *key_columns(key), F.col("input").alias("company_name"), "location"
     )
-    searched = discover.fan_out_search(names, discover.parse_search_responses(p.search))
+    given = answers(p.search, lambda: discover.search_requests(names))
+    searched = discover.fan_out_search(names, discover.parse_search_responses(given))
     resolved = stage(verify.resolve_rows(rows.drop("raw_domain", "search_results"), searched, key), "resolved")
 
     items = verify.number_batches(verify.verify_items_intel(resolved, key), key=key)
     verdicts = verify.parse_verdicts(items.select("batch_id", *key_columns(key)), p.verdicts, key=key)
     verified = stage(verify.apply_verdicts_intel(resolved, verdicts, key), "verified")
 
-    crawled = pages.apply_crawl(verified.drop("search_results"), p.crawled, p.site_pages, options)
+    known, site_pages = p.crawled, p.site_pages
+    if p.sites is not None and pages.needs_crawl(options):
+        known, site_pages = p.sites(_domains(verified, F.col("raw_domain")))
+    crawled = pages.apply_crawl(verified.drop("search_results"), known, site_pages, options)
     crawled = extract.with_intel_columns(crawled.withColumn("normalized_domain", F.lit(None).cast("string")))
     crawled = stage(crawled, "crawled")
 
     reads_answers = any(o in options for o in ("industry_description", "target_market"))
     if reads_answers:
-        crawled = extract.merge_extractions(crawled, extract.parse_extractions(p.extractions))
+        read = answers(p.extractions, lambda: _domains(crawled.filter(F.col("status") == "crawled"), F.col("raw_domain")))
+        crawled = extract.merge_extractions(crawled, extract.parse_extractions(read))
     done = stage(extract.extract_status(crawled, reads_answers), "extracted")
 
     if "company_people" not in options or p.directory is None:
@@ -101,7 +112,8 @@ def company_intel(
     people = done.select(
         *key_columns(key), "full_name", F.coalesce(blank_to_null("normalized_domain"), "raw_domain").alias("domain"), "linkedin_url"
     )
-    return contacts.apply_person_contacts(done, contacts.person_fan_out(people, p.directory, key), key)
+    listed = answers(p.directory, lambda: _domains(people, F.col("domain")))
+    return contacts.apply_person_contacts(done, contacts.person_fan_out(people, listed, key), key)
 
 
 def category_intel(products: DataFrame, p: Providers, options: Sequence[str], key: Key = "row_index", **kw) -> DataFrame:
@@ -117,10 +129,10 @@ def funding_intel(companies: DataFrame, p: Providers, options: Sequence[str], ke
     return company_intel(ingest.seed_funding_rows(companies, key), p, options, key=key, **kw)
 
 
-def profile_answers(people: DataFrame, profiles: DataFrame, key: Key = "row_index") -> DataFrame:
+def profile_answers(people: DataFrame, profiles: Answers, key: Key = "row_index") -> DataFrame:
     """Profile and confidence per request from the profile search answers."""
     asked = discover.profile_requests(people, key)
-    parsed = discover.parse_search_responses(profiles).select("request_key", "results").filter(F.col("results").isNotNull())
+    parsed = discover.parse_search_responses(answers(profiles, lambda: asked)).select("request_key", "results").filter(F.col("results").isNotNull())
     return discover.score_profile(discover.pick_profile(asked.join(parsed, "request_key")))
 
 
