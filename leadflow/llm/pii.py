@@ -18,6 +18,7 @@ from leadflow.llm.common import let
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 _BLOCK = 256
+_CUT = 2048
 _NEAR = 40
 _START = r"(?:\G|(?<!%s))"
 
@@ -157,16 +158,44 @@ def listed(spans: Column) -> Column:
 
 
 def _merged(spans: Column) -> Column:
-    """Spans in order of start, those that overlap made one under the kind of the first."""
+    """Spans in order of start, those that overlap made one under the kind of the first.
+
+    A span that starts behind the largest end before it begins a new one. Largest ends go by blocks, so that the work
+    grows with the spans and not with their square.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    most = lambda part: F.coalesce(F.array_max(part), F.lit(0).cast("long"))
+
+    def of(both: Column) -> Column:
+        each, ends = both["o"], both["e"]
+        last = F.floor(F.size(ends) / _BLOCK).cast("int")
+        tops = F.transform(F.sequence(F.lit(0), last), lambda b: most(F.slice(ends, b * _BLOCK + 1, F.lit(_BLOCK))))
+        bases = let(tops, lambda t: F.transform(t, lambda _, b: most(F.slice(t, F.lit(1), b))))
+
+        def with_bases(base: Column) -> Column:
+            def mark(s: Column, i: Column) -> Column:
+                block = F.floor(i / _BLOCK).cast("int")
+                before = F.greatest(F.get(base, block), most(F.slice(ends, block * _BLOCK + 1, i % _BLOCK)))
+                return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), before.alias("before"))
+
+            heads = F.filter(F.transform(each, mark), lambda s: s["start"] >= s["before"])
+            return let(heads, lambda h: F.transform(h, lambda s, k: F.struct(
+                s["start"].alias("start"), F.coalesce(F.get(h, k + 1)["before"], most(ends)).alias("end"), s["kind"].alias("kind")
+            )))
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))
-        return F.when(s["start"] < last["end"], joined).otherwise(F.concat(done, F.array(s)))
+        return let(bases, with_bases)
 
-    return F.aggregate(ordered, F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"), add)
+    return let(ordered, lambda o: let(F.struct(o.alias("o"), F.transform(o, lambda s: s["end"]).alias("e")), of))
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end) of a text that is given in blocks of ``_CUT`` characters: only those blocks are read."""
+    def part(b: Column) -> Column:
+        first = F.greatest(start - b * _CUT, F.lit(0))
+        return F.substr(F.get(blocks, b.cast("int")), (first + 1).cast("int"), (F.least(end - b * _CUT, F.lit(_CUT)) - first).cast("int"))
+
+    parts = F.sequence(F.floor(start / _CUT), F.floor((end - 1) / _CUT))
+    return F.when(end > start, F.array_join(F.transform(parts, part), "")).otherwise("")
 
 
 def mask_pii(docs: DataFrame, *, text_col: str = "text", kinds: Sequence[Kind] = KINDS, least: float = 0.6) -> DataFrame:
@@ -176,16 +205,21 @@ def mask_pii(docs: DataFrame, *, text_col: str = "text", kinds: Sequence[Kind] =
     """
     spans = "__pii"
 
-    def masked(text: Column, found: Column) -> Column:
+    def masked(text: Column, blocks: Column, found: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
-            start = F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
-            kept = F.substr(text, (start + 1).cast("int"), (s["start"] - start).cast("int"))
+            kept = _between(blocks, F.coalesce(F.get(found, i - 1)["end"], F.lit(0).cast("long")), s["start"])
             return F.concat(kept, F.lit("<"), F.upper(s["kind"]), F.lit(">"))
 
         tail = F.substr(text, (F.try_element_at(found, F.lit(-1))["end"] + 1).cast("int"))
         return F.concat(F.array_join(F.transform(found, piece), ""), tail)
 
+    def in_blocks(text: Column) -> Column:
+        last = F.floor(F.length(text) / _CUT).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.substr(text, b * _CUT + 1, F.lit(_CUT)))
+
     text = F.col(text_col)
-    new = let(F.struct(text.alias("t"), _merged(F.col(spans)).alias("s")), lambda x: masked(x["t"], x["s"]))
+    new = let(
+        F.struct(text.alias("t"), in_blocks(text).alias("b"), _merged(F.col(spans)).alias("s")), lambda x: masked(x["t"], x["b"], x["s"])
+    )
     found = find_pii(docs, text_col=text_col, out=spans, kinds=kinds, least=least)
     return found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text)).drop(spans)

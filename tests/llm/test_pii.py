@@ -107,3 +107,36 @@ def test_query(spark, tables):
 def test_places_in_long_lists(make, n):
     got = find_pii(make(["ü a@b.co" * n])).first().pii
     assert [(s.start, s.end) for s in got] == [m.span() for m in EMAIL.finditer("ü a@b.co" * n)]
+
+
+def test_masks_of_many_spans(make):
+    import time
+
+
+    def cut(text):
+        out, end = [], 0
+        merged = []
+        for kind, a, b in sorted(all_spans(text), key=lambda s: (s[1], s[2], s[0])):
+            if merged and a < merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], b)
+            else:
+                merged.append([kind, a, b])
+        for kind, a, b in merged:
+            out += [text[end:a], f"<{kind.upper()}>"]
+            end = b
+        return "".join(out) + text[end:]
+
+    def all_spans(text):
+        row = find_pii(make([text])).first()
+        return [(s.kind, s.start, s.end) for s in row.pii]
+
+    many = " ".join(f"é{i} a{i}@b.org 1.2.3.{i % 256} +1 555 {i:07d}" for i in range(700)) + " tail"
+    few = "x" * 5000 + " me@here.org " + "y" * 3000 + "\U0001f600 1.2.3.4"
+    for text in (many, few, "a@b.co", "+1 555 1234567 4111111111111111"):
+        assert mask_pii(make([text])).first().text == cut(text)
+    long = " ".join(f"a{i}@b.org" for i in range(40_000))
+    start = time.time()
+    found = find_pii(make([long])).selectExpr("size(pii) AS n").first().n
+    finding, start = time.time() - start, time.time()
+    assert found == 40_000 and mask_pii(make([long])).first().text.count("<EMAIL>") == found
+    assert time.time() - start < 3 * finding + 10  # not with the square of the spans
