@@ -41,12 +41,13 @@ def words_of(text: str) -> list[bytes]:
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """Distinct (passage, items): runs of ``window`` words of an item, or all words of a shorter one.
 
-    The text of a passage is lower case with single blanks. Items without words have none.
+    The text of a passage is lower case with single blanks. Items without words have none; one without an id has
+    passages that name no item.
     """
     lower = F.translate(F.col(text_col).cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.regexp_extract_all(lower, F.lit(f"({_WORD_RE})"), 1).alias("w")
-    ).filter("item IS NOT NULL AND size(w) > 0")
+    ).filter("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     passage = words.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, window), " "))).alias("passage"))
     return passage.groupBy("passage").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -131,13 +132,14 @@ def find_passages(
     """The documents with a struct ``out``: n_words; n_hit (words inside a found window); items (sorted as
     strings); words and spans (merged [start, end) ranges in word numbers and in code points of the text).
 
-    A null text has no words. Items that are null, empty or without words find nothing; equal items are all
-    named. An input column called ``out`` is replaced, other columns stay; equal rows are judged one by one;
+    A null text has no words. Items that are null, empty or without words find nothing; the words of an item with a
+    null id are hit, but it is not among the items; equal items are all named. An input column called ``out`` is replaced, other columns stay; equal rows are judged one by one;
     an empty table stays empty. Texts are scanned whole. One task's memory holds one automaton.
     """
     passages = written(item_windows(benchmark, item_col, item_text_col, window), "passages")
     # a state takes some tens of bytes for each byte of a passage
-    weight = passages.agg(F.coalesce(F.sum(F.octet_length("passage") + 64), F.lit(0))).first()[0]
+    names = F.octet_length(F.array_join("items", ","))
+    weight = passages.agg(F.coalesce(F.sum(F.octet_length("passage") + names + 64), F.lit(0))).first()[0]
     parts = max(1, -(-weight * 16 // max_automaton_bytes))
     part: Column = F.pmod(F.xxhash64("passage"), F.lit(parts))
     docs = docs.drop(out)

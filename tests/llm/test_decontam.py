@@ -18,7 +18,7 @@ def brute(docs, items, window):
         w = WORD.findall(lower(text))
         n = min(window, len(w))
         for a in range(len(w) - n + 1 if w else 0):
-            wins.setdefault(tuple(w[a : a + n]), set()).add(str(name))
+            wins.setdefault(tuple(w[a : a + n]), set()).update([] if name is None else [str(name)])
     out = []
     for name, text in docs:
         w, hit, found = WORD.findall(lower(text)), set(), set()
@@ -44,7 +44,7 @@ TEXTS = ["zero one TWO three; four five six seven", "two three four two three fo
 def test_against_brute_force(make, odd, benchmark, automaton_bytes):
     docs = make(TEXTS).unionByName(odd)
     found = find_passages(docs, benchmark, window=3, max_automaton_bytes=automaton_bytes).collect()
-    items = [(r.item_id, r.text) for r in benchmark.collect() if r.item_id is not None]
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
     want = brute([(r.doc_id, r.text) for r in docs.collect()], items, 3)
     got = [(r.doc_id, r.passages.n_words, r.passages.n_hit, r.passages["items"]) for r in found]
     assert sorted(got, key=repr) == sorted(want, key=repr)
@@ -62,6 +62,14 @@ def test_clashing_column_and_drop(make, benchmark):
     assert [r.text for r in kept.collect()] == ["nothing"] and kept.columns == make([]).columns
 
 
+def test_an_item_without_an_id_hits_but_has_no_name(spark, make):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (7, "gamma delta")], "item_id long, text string")
+    docs = make(["x Alpha, beta gamma delta", "clean"])
+    found = {r.doc_id: r.passages for r in find_passages(docs, bench, window=3).collect()}
+    assert (found[0].n_hit, found[0]["items"]) == (4, ["7"]) and found[1].n_hit == 0
+    assert [r.doc_id for r in drop_contaminated(docs, bench.filter("item_id IS NULL"), window=3).collect()] == [1]
+
+
 def test_empty_tables(make, benchmark):
     assert find_passages(make([]), benchmark).collect() == []
     none = find_passages(make(TEXTS), benchmark.limit(0)).collect()
