@@ -25,6 +25,7 @@ from leadflow.llm.common import written
 
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 20
+_HEAD_BYTES = 1 << 16
 _SENT_BYTES = 16 << 20
 RECORDS = (
     "path string, offset bigint, length bigint, record_type string, record_id string, target_uri string, "
@@ -147,36 +148,52 @@ class _Window:
             self.at, self.data = start, self.file.read(min(max(n, _BLOCK), max(0, self.size - start)))
         return self.data[start - self.at : start - self.at + n]
 
+    def find(self, mark: bytes, start: int) -> tuple[bool, int]:
+        """Whether the bytes at hand from ``start`` hold the mark, and its place; else the place to go on from."""
+        if len(self.read(start, len(mark))) < len(mark):
+            return False, self.size
+        place = self.data.find(mark, start - self.at)
+        return (True, self.at + place) if place >= 0 else (False, self.at + len(self.data) - len(mark) + 1)
+
 
 def _heads_record(window: _Window, at: int) -> bool:
-    """Whether a gzip member that begins a record is at this place: its first bytes decode to a record header."""
+    """Whether a gzip member that begins a record is at this place: it decodes to a whole record header with the fields
+    that every record has."""
+    unpacker, head = zlib.decompressobj(31), b""
     try:
-        return zlib.decompressobj(31).decompress(window.read(at, 512), 5) == b"WARC/"
+        while b"\r\n\r\n" not in head and not unpacker.eof and len(head) < _HEAD_BYTES:
+            raw = window.read(at, 512)
+            if not raw:
+                break
+            head += unpacker.decompress(raw, _HEAD_BYTES)
+            at += len(raw)
+            if not head.startswith(b"WARC/"[: len(head)]):
+                return False
     except zlib.error:
         return False
+    names = {line.partition(b":")[0].strip().lower() for line in head.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]}
+    return head.startswith(b"WARC/") and b"\r\n\r\n" in head and names >= {b"warc-type", b"warc-record-id", b"content-length"}
 
 
 def _next_member(window: _Window, at: int, end: int) -> int | None:
-    """First place in [at, end) that holds a record's member."""
+    """First place in [at, end) that holds a record's member. Bytes at hand are searched before more are read."""
     while at < end:
-        block = window.read(at, min(_BLOCK, window.size - at))
-        found = block.find(_MAGIC)
-        if found < 0:
-            at += max(1, len(block) - len(_MAGIC) + 1)
-        elif at + found >= end:
+        found, at = window.find(_MAGIC, at)
+        if not found:
+            continue
+        if at >= end:
             return None
-        elif _heads_record(window, at + found):
-            return at + found
-        else:
-            at += found + 1
+        if _heads_record(window, at):
+            return at
+        at += 1
     return None
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int]:
     """Contents of the member at this place, and its length in the file."""
-    unpacker, parts, place = zlib.decompressobj(31), [], at
+    unpacker, parts, place, step = zlib.decompressobj(31), [], at, 1 << 12
     while not unpacker.eof:
-        block = window.read(place, min(1 << 16, window.size - place))
+        block, step = window.read(place, min(step, window.size - place)), 1 << 16
         if not block:
             raise EOFError(f"the record at byte {at} is cut off")
         parts.append(unpacker.decompress(block))

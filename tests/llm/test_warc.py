@@ -89,3 +89,43 @@ def test_query_with_a_null_id(spark, tmp_path):
     got = QUERIES["op1_warc"](spark, str(tmp_path)).collect()
     want = [(None, "revisit", 4), (4, "response", None), (None, "response", None)]
     assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
+
+
+class _Counted:
+    def __init__(self, raw):
+        self.raw, self.at, self.read_bytes = raw, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = self.raw[self.at : self.at + n]
+        self.read_bytes += len(out)
+        return out
+
+
+def test_bytes_are_read_once():
+    from leadflow.llm.warc import _member, _next_member, _Window, digest, record
+
+    payloads = [bytes([i % 251]) * (i % 900) + i.to_bytes(4, "big") * 150 for i in range(6000)]
+    raw = b"".join(record(f"urn:page:{i}", "u", p, digest(p), None, 6) for i, p in enumerate(payloads))
+    file = _Counted(raw)
+    window, records = _Window(file, len(raw)), 0
+    at = _next_member(window, 0, len(raw))
+    while at is not None:
+        _, length = _member(window, at)
+        records += 1
+        at = _next_member(window, at + length, len(raw))
+    assert records == 6000 and file.read_bytes < 1.2 * len(raw)
+
+
+def test_only_whole_record_heads_count(spark, tmp_path):
+    import gzip
+
+    from leadflow.llm.warc import digest, record
+
+    member = record("urn:page:1", "u", b"payload", digest(b"payload"), None, 6)
+    false = [gzip.compress(b"WARC/1.1\r\nno fields\r\n\r\n"), gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n"), gzip.compress(b"WARC/")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join([false[0], member, false[1], false[2], member]))
+    got = read_archives(list_archives(spark, str(tmp_path)), split_bytes=61).collect()
+    assert [r.payload for r in got] == [b"payload"] * 2
