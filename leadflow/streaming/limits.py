@@ -198,17 +198,18 @@ def _window_starts(events: DataFrame, keys: Sequence[str], window: int) -> DataF
     thousand windows takes ten joins, each over keys of client and time.
     """
     spark = events.sparkSession
-    keep = lambda df, label: _kept(df, spark, label)
-    times = keep(events.select(*keys, "_stretch", "_us").distinct(), "limit-times")
-    first = times.groupBy(*keys, "_stretch").agg(F.min("_us").alias("_us")).drop("_stretch")
-    jump = keep(_successors(times.select(*keys, "_us").distinct(), keys, window), "limit-jumps")
-    reached = keep(first, "limit-starts")
-    while not jump.isEmpty():
+    times = _kept(events.select(*keys, "_stretch", "_us").distinct(), spark, "limit-times")
+    reached = times.groupBy(*keys, "_stretch").agg(F.min("_us").alias("_us")).drop("_stretch")
+    jump = _successors(times.select(*keys, "_us").distinct(), keys, window)
+    while True:  # one table a round: starts have no pointer
+        state = _kept(jump.unionByName(reached, allowMissingColumns=True), spark, "limit-pointers")
+        reached, jump = state.filter(F.col("_to").isNull()).drop("_to"), state.filter(F.col("_to").isNotNull())
+        if jump.isEmpty():
+            return reached
         moved = _same(reached, jump, [*keys, "_us"]).select(*keys, F.col("_to").alias("_us"))
-        reached = keep(reached.unionByName(moved).distinct(), "limit-starts")
         onward = jump.select(*keys, F.col("_us").alias("_to"), F.col("_to").alias("_on"))
-        jump = keep(_same(jump, onward, [*keys, "_to"]).select(*keys, "_us", F.col("_on").alias("_to")), "limit-jumps")
-    return reached
+        reached = reached.unionByName(moved).distinct()
+        jump = _same(jump, onward, [*keys, "_to"]).select(*keys, "_us", F.col("_on").alias("_to"))
 
 
 def _kept(df: DataFrame, spark, label: str) -> DataFrame:
