@@ -134,9 +134,9 @@ def test_masks_of_many_spans(make):
     few = "x" * 5000 + " me@here.org " + "y" * 3000 + "\U0001f600 1.2.3.4"
     for text in (many, few, "a@b.co", "+1 555 1234567 4111111111111111"):
         assert mask_pii(make([text])).first().text == cut(text)
-    long = " ".join(f"a{i}@b.org" for i in range(40_000))
+    long = " ".join(f"a{i}@b.org" for i in range(15_000))
     start = time.time()
     found = find_pii(make([long])).selectExpr("size(pii) AS n").first().n
     finding, start = time.time() - start, time.time()
-    assert found == 40_000 and mask_pii(make([long])).first().text.count("<EMAIL>") == found
+    assert found == 15_000 and mask_pii(make([long])).first().text.count("<EMAIL>") == found
     assert time.time() - start < 3 * finding + 10  # not with the square of the spans
