@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from leadflow.functions.workspace import workspace
 
 
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def process_cache() -> dict:
     """A dict that lives as long as the Python worker, so models load once and not once a task."""
     return sys.modules.setdefault("_leadflow_process_cache", ModuleType("_leadflow_process_cache")).__dict__
@@ -27,6 +30,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches to and from Python of at most 8 MB, unless the session has a limit of its own.
+
+    Spark fills a batch up to 64 MB, and a task then holds it several times: as vectors, as the message and in the
+    worker. The setting stays with the session, since steps run when their result is read.
+    """
+    if spark.conf.get(_BATCH_LIMIT, None) is None:
+        spark.conf.set(_BATCH_LIMIT, "8m")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once however often the body names it."""
     return F.transform(F.array(value), body)[0]

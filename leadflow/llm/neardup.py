@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import process_cache, text_slices, written
+from leadflow.llm.common import bounded_batches, process_cache, text_slices, written
 from leadflow.llm.urlfilter import bloom_level
 
 _SLICE_CHARS = 1_000_000
@@ -297,6 +297,7 @@ def near_duplicates(
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
     """(id, print, n, comp, component_id) of every row; ``comp`` tells groups apart that have the same smallest id."""
+    bounded_batches(docs.sparkSession)  # a pair of sets or of blocks is one row
     rows = written(_sketches(docs, id_col, text_col, s), "sketches")
     comparable = rows.filter("node IS NOT NULL AND id IS NOT NULL")
     nodes = written(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import table
+from leadflow.llm.common import bounded_batches, table
 from leadflow.llm.decontam import drop_contaminated
 from leadflow.llm.neardup import Settings, drop_near_duplicates
 from leadflow.llm.packing import pack
@@ -15,16 +15,19 @@ from leadflow.llm.quality import fit, held_out, keep_good
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.7 or more."""
+    bounded_batches(spark)
     return keep_good(docs, fit(docs, table(spark, sf_dir, "labels").filter(~held_out())))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, by five-word shingles at a similarity of 0.8."""
+    bounded_batches(spark)
     return drop_near_duplicates(docs, settings=Settings(words=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten words in a row of a benchmark item."""
+    bounded_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
@@ -36,6 +39,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows."""
+    bounded_batches(spark)
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.functions.workspace import workspace
-from leadflow.llm.common import written
+from leadflow.llm.common import bounded_batches, written
 
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 20
 _HEAD_BYTES = 1 << 16
-_SENT_BYTES = 16 << 20
+_SENT_BYTES = 4 << 20
 RECORDS = (
     "path string, offset bigint, length bigint, record_type string, record_id string, target_uri string, "
     "refers_to string, payload_digest string, payload_bytes bigint, payload binary, payload_ok boolean"
@@ -95,6 +95,7 @@ def write_archives(
     of the attempt that Spark commits are the ones listed, so lost or repeated tasks leave nothing wrong behind.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = folder or workspace(spark, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit(b"")) if dict(pages.dtypes)[payload_col] == "binary" else F.coalesce(
         F.col(payload_col).cast("string"), F.lit("")
@@ -221,6 +222,7 @@ def read_archives(files: DataFrame, *, split_bytes: int = 16 << 20) -> DataFrame
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = files.select("path", F.col("length").alias("size"), starts.alias("start"))
     spark = files.sparkSession
+    bounded_batches(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     splits = splits.repartition(tasks, "path", "start")
 

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,18 @@ def test_only_whole_record_heads_count(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join([false[0], member, false[1], false[2], member]))
     got = read_archives(list_archives(spark, str(tmp_path)), split_bytes=61).collect()
     assert [r.payload for r in got] == [b"payload"] * 2
+
+
+def test_batches_to_python_are_bounded(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 1000).alias("html"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"b": [b.nbytes]}) for b in batches), "b long")
+    spark.conf.unset(limit)
+    try:
+        write_archives(spark.createDataFrame([], "page_id long, url string, payload string"))
+        assert max(r.b for r in sizes.collect()) < 9 << 20  # all 30 MB at once without a limit
+        spark.conf.set(limit, "1m")  # the session's own
+        read_archives(spark.createDataFrame([], "path string, length long")).collect()
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit)
