@@ -59,6 +59,17 @@ def look_up(rows: DataFrame, answers: DataFrame, on: str | Sequence[str], how: s
     return guarded[0].join(guarded[1], [*keys, "_guard"], how).drop("_guard")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many tasks as the session has for a shuffle.
+
+    For work that is heavy next to its bytes: adaptive execution puts small partitions together by their bytes alone.
+    The hash of the keys is no key itself, so rows that already lie by the keys are spread as well.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, F.xxhash64(*keys))
+
+
 def dense_index(df: DataFrame, ordinal: str, name: str, tasks: int | None = None) -> DataFrame:
     """Number rows 0, 1, 2 ... by a unique ``ordinal`` without a one-task window.
 

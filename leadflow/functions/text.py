@@ -13,6 +13,7 @@ WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+_PRINTING_ENDS = r"(?s)^[!-~](?:.*[!-~])?\z"
 _SCHEME = r"(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?"
 
 
@@ -21,8 +22,18 @@ def col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.btrim(col(c), F.lit(WHITE_SPACE))
+    """Trim every kind of white space, not only blanks.
+
+    A text whose ends are printing ASCII once blanks are off is done; the search through the list of
+    characters, which costs most, is left to the others.
+    """
+    bare = F.trim(col(c))
+    return F.when(bare.rlike(_PRINTING_ENDS), bare).otherwise(F.btrim(bare, F.lit(WHITE_SPACE)))
+
+
+def not_blank(c: str | Column) -> Column:
+    """What ``strip(c) != ""`` tells, from the left end alone."""
+    return F.ltrim(col(c), F.lit(WHITE_SPACE)) != ""
 
 
 def or_blank(c: str | Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.functions.tables import Key, key_columns
+from leadflow.functions.tables import Key, job_columns, key_columns, spread
 from leadflow.functions.text import blank_to_null, filled
 from leadflow.operators import contacts, discover, domains, extract, ingest, pages, verify
 from leadflow.plans.stages import Answers, Providers, Stage, answers, written
@@ -89,13 +89,16 @@ def company_intel(
     resolved = stage(verify.resolve_rows(rows.drop("raw_domain", "search_results"), searched, key), "resolved")
 
     items = verify.number_batches(verify.verify_items_intel(resolved, key), key=key)
-    verdicts = verify.parse_verdicts(items.select("batch_id", *key_columns(key)), p.verdicts, key=key)
-    verified = stage(verify.apply_verdicts_intel(resolved, verdicts, key), "verified")
+    batch = [*job_columns(key), "batch_id"]
+    told = stage(verify.read_verdicts(spread(p.verdicts.select(*batch, "body"), *batch), key), "verdicts")
+    verdicts = verify.settle_verdicts(items.select("batch_id", *key_columns(key)), told, key=key)
+    # what the search found is in the stage before, nothing later reads it
+    verified = stage(verify.apply_verdicts_intel(resolved.drop("search_results"), verdicts, key), "verified")
 
     known, site_pages = p.crawled, p.site_pages
     if p.sites is not None and pages.needs_crawl(options):
         known, site_pages = p.sites(_domains(verified, F.col("raw_domain")))
-    crawled = pages.apply_crawl(verified.drop("search_results"), known, site_pages, options)
+    crawled = pages.apply_crawl(verified, known, site_pages, options)
     crawled = extract.with_intel_columns(crawled.withColumn("normalized_domain", F.lit(None).cast("string")))
     crawled = stage(crawled, "crawled")
 
