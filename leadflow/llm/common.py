@@ -49,11 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[str | None]]]:
-    """Row ranges of about ``size`` bytes, one row at least, with their texts: only a range is turned into strings."""
+def slice_bounds(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, done = 0, 0
     while start < len(column):
         end = min(len(column), max(start + 1, int(np.searchsorted(ends, done + size))))
-        yield start, end, column.slice(start, end - start).to_pylist()
+        yield start, end
         start, done = end, int(ends[end - 1])
+
+
+def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """The same ranges with their texts: only a range is turned into strings."""
+    for start, end in slice_bounds(column, size):
+        yield start, end, column.slice(start, end - start).to_pylist()

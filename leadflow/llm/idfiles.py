@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadflow.functions.workspace import workspace
-from leadflow.llm.common import process_cache, text_slices
+from leadflow.llm.common import process_cache, slice_bounds
 from leadflow.llm.packing import _words
 from leadflow.llm.warc import _open
 
@@ -55,14 +55,14 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def _whole(words, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+def _whole(words, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
     """The ids of each text and the end id; a text too long for a slice comes alone and is encoded in parts."""
     end = np.array([end_id], "<u4")
     if len(texts) == 1:
-        yield np.concatenate([*words.stream(texts[0]), end])
+        yield np.concatenate([*words.stream(texts[0].as_py()), end])
     else:
-        for ids in words.ids_of_all(texts):
-            yield np.append(ids, end)
+        for ids in words.ids_of_column(texts):
+            yield np.concatenate([ids, end])
 
 
 def _sampled(docs: DataFrame, path: str, end_id: int, width: int, sample_docs: int, sample_chars: int) -> list[bytes]:
@@ -80,7 +80,7 @@ def _sampled(docs: DataFrame, path: str, end_id: int, width: int, sample_docs: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for batch in batches:
-            made = [serialized(ids, width) for ids in _whole(words, batch.column(0).to_pylist(), end_id)]
+            made = [serialized(ids, width) for ids in _whole(words, batch.column(0), end_id)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
 
     return sorted(bytes(r.ids) for r in some.select("text").mapInArrow(run, "ids binary").collect())
@@ -170,8 +170,8 @@ def write_ids(
 
         for batch in batches:
             names, id_type = batch.column(0).to_pylist(), batch.schema.field(0).type
-            for a, b, texts in text_slices(batch.column(1), _SLICE_BYTES):
-                for name, ids in zip(names[a:b], _whole(words, texts, end_id), strict=True):
+            for a, b in slice_bounds(batch.column(1), _SLICE_BYTES):
+                for name, ids in zip(names[a:b], _whole(words, batch.column(1).slice(a, b - a), end_id), strict=True):
                     if file is None:
                         part = f"part-{task:05d}-{n_files:04d}-{uuid.uuid4().hex}.ids"
                         file = _File(store, posixpath.join(root, part), f"{folder}/{part}", width, sha, id_type, block_docs, block_ids)

@@ -12,10 +12,11 @@ import operator
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,18 +141,20 @@ class _Words:
         return zip(stems, (raw[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)), strict=True)
 
     def _encode_words(self, words: list[str]):
-        heads = [w.rstrip(_TAIL) for w in words]
+        heads = list(map(str.rstrip, words, repeat(_TAIL)))
         # folding each letter is what the tokenizer does; a final sigma would fold by its place
-        stems = [h if "\u03a3" in h else h.lower() for h in heads]
+        sigma = "\u03a3" in "".join(heads)
+        stems = [h if "\u03a3" in h else h.lower() for h in heads] if sigma else list(map(str.lower, heads))
         # a folded letter may bring a mark of its own
-        split = [i for i, (h, s) in enumerate(zip(heads, stems, strict=True)) if h.isalpha() and s.isalpha()]
-        if len(split) < len(words):
-            chosen = set(split)
-            yield from self._encode_any([w for i, w in enumerate(words) if i not in chosen])
-        if split:
-            stems, tails = [stems[i] for i in split], [words[i][len(heads[i]) :] for i in split]
+        split = list(map(operator.and_, map(str.isalpha, heads), map(str.isalpha, stems)))
+        odd = list(compress(words, map(operator.not_, split)))
+        if odd:
+            yield from self._encode_any(odd)
+            words, heads, stems = (list(compress(some, split)) for some in (words, heads, stems))
+        if words:
+            tails = list(map(str.removeprefix, words, heads))
             of_stem, of_tail = self.stems.of(stems).__getitem__, self.tails.of(tails).__getitem__
-            yield from zip([words[i] for i in split], map(operator.add, map(of_stem, stems), map(of_tail, tails)), strict=True)
+            yield from zip(words, map(operator.add, map(of_stem, stems), map(of_tail, tails)), strict=True)
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -161,13 +164,24 @@ class _Words:
         words = self._cut(text)
         return np.frombuffer(b"".join(map(self.words.of(words).__getitem__, words)), "<u4")
 
-    def ids_of_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, the words of all of them looked up at once."""
-        cut = [self._cut(t) for t in texts]
-        words = set(chain.from_iterable(cut))
-        known = self.words.of(words)
-        here = {w: known[w] for w in words}.__getitem__  # a small table is quicker to ask for every word
-        return (np.frombuffer(b"".join(map(here, some)), "<u4") for some in cut)
+    def ids_of_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column. Arrow cuts and numbers the words; only distinct ones become strings.
+
+        Cut at ASCII blanks alone: a string that holds another blank is encoded as it is.
+        """
+        cut = pc.ascii_split_whitespace(texts)
+        numbered = cut.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        raw = list(map(self.words.of(words).__getitem__, words))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+        places = numbered.indices.to_numpy()
+        counts = sizes[places]
+        ends = np.cumsum(counts)
+        # each id's place: that of its word's first id, and how far it is from it
+        flat = ids[np.repeat(starts[places] - (ends - counts), counts) + np.arange(counts.sum())]
+        bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        return (flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
 
     def stream(self, text: str) -> Iterator[np.ndarray]:
         """The ids in parts, cut at blanks, so that a huge text never has all its ids in memory."""

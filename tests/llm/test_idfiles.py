@@ -4,11 +4,13 @@ import glob
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leadflow.llm.idfiles import MARK, blocks_of, fetch_ids, index_of, read_ids, train_dictionary, write_ids
+from leadflow.llm.packing import _words
 from leadflow.llm.queries import QUERIES
 
 
@@ -107,3 +109,12 @@ def test_query(spark, tables, library):
         at += len(made)
     assert sorted(tuple(r) for r in QUERIES["op12_id_files"](spark, tables).collect()) == want
     assert QUERIES["op12_id_files"](spark, tables).agg(F.count("ids_crc32")).first()[0] == len(want)
+
+
+def test_ids_of_a_column_are_those_of_whole_texts(tokenizer):
+    path = tokenizer("word_bpe_49k.json")
+    words, whole = _words(path), Tokenizer.from_file(path)
+    texts = ["", " ", " Two  words.\n", "a\x1cb\x1f c", "no\xa0break here \x85 x", "ΣΊΣΥΦΟΣ Σ", "\t\r\x0b\x0c", "Two words. Two", "İstanbul ﬁn %%% 12ab"]
+    for column in (pa.array(texts), pa.array(["skipped", *texts]).slice(1), pa.array([], pa.string())):
+        got = [ids.tolist() for ids in words.ids_of_column(column)]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in column.to_pylist()]
