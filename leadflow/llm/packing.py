@@ -11,8 +11,9 @@ from __future__ import annotations
 import operator
 import os
 import re
-from collections.abc import Iterable, Iterator
-from itertools import compress, repeat
+from collections.abc import Iterator
+from itertools import compress, pairwise, repeat
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import process_cache, text_slices
+from leadflow.llm.common import process_cache, slice_bounds
 
 _SLICE_CHARS = 2_000_000
-_CACHED_WORDS = 200_000
-_CACHED_STEMS = 400_000
+_SLICE_BYTES = 8_000_000
+_CACHED_WORDS = 400_000
+_CACHED_STEMS = 100_000
+#: characters for each string that a cache may hold
+_CACHED_CHARS = 32
 _TAIL = ".,!?;:()[]{}\"'*$%&#|-"
-#: str.split() takes these as blanks, the tokenizer does not
-_ODD_BLANKS = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t\n\r\x0b\x0c]+")
+_BLANK, _LETTER, _SIGN, _REST = range(4)
+_KINDS = [_BLANK if b in b" \t\n\r\x0b\x0c" else _REST if b > 127 else _LETTER if chr(b).isalpha() else _SIGN for b in range(256)]
 
 
 class OpenWindows:
@@ -89,22 +93,27 @@ class _Recent:
     """Ids of recent strings, as bytes: two generations of a dict, so that memory is bounded and common ones stay."""
 
     def __init__(self, limit: int, encode):
-        self.limit, self.encode = limit, encode
+        self.limit, self.encode, self.held = limit, encode, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def of(self, strings: Iterable[str]) -> dict[str, bytes]:
-        """A dict that has all of ``strings``."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        missing = set(strings).difference(self.young)
-        kept = self.old.keys() & missing
-        for s in kept:
-            self.young[s] = self.old[s]
-        missing -= kept
-        if missing:
-            self.young.update(self.encode(list(missing)))
-        return self.young
+    def of(self, strings: list[str]) -> list[bytes]:
+        """The ids of each of ``strings``."""
+        if len(self.young) > self.limit or self.held > _CACHED_CHARS * self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        found = list(map(self.young.get, strings))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        if places:
+            missing = dict.fromkeys(strings[i] for i in places)
+            self.held += sum(map(len, missing))
+            kept = {s: self.old[s] for s in missing if s in self.old}
+            self.young.update(kept)
+            unseen = [s for s in missing if s not in kept]
+            if unseen:
+                self.young.update(self.encode(unseen))
+            for i in places:
+                found[i] = self.young[strings[i]]
+        return found
 
 
 class _Words:
@@ -112,28 +121,37 @@ class _Words:
 
     The tokenizer drops blanks and never merges over them, so a text's ids are its words' ids in order; each
     distinct word is encoded once. Special strings hold no blank and are met inside words as in whole texts.
-    It also splits letters from what follows, so a word of letters and a tail of signs is encoded as both.
+    It also splits letters from what follows, so letters and the signs behind them are words of their own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: for runs of a to z, which no normalizer changes and no pattern cuts
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         size = self.tokenizer.get_vocab_size()
         #: tokens that end a run of letters, digits or signs
         self.final = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [s.lower().encode() for s in special]
+        #: what a byte is, to cut words; inside special strings none is cut
+        inside = {b for s in special for a, b in pairwise(s.encode()) if _KINDS[a] == _LETTER}
+        self.kinds = bytes(_REST if b in inside and kind == _SIGN else kind for b, kind in enumerate(_KINDS))
         self.words = _Recent(_CACHED_WORDS, self._encode_words)
         self.stems = _Recent(_CACHED_STEMS, self._encode_stems)
-        self.tails = _Recent(_CACHED_WORDS, self._encode_any)
+        self.tails = _Recent(_CACHED_STEMS, self._encode_any)
 
     def _encode_any(self, strings: list[str]):
         encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return zip(strings, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True)
 
-    def _encode_stems(self, stems: list[str]):
+    def _encode_stems(self, stems: list[str], tokenizer=None):
         """Runs of letters: one call for all, cut behind each token that ends a run."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        tokenizer = tokenizer or self.tokenizer
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.final[ids]) + 1
         if len(ends) != len(stems):  # letters that this Python and the tokenizer class differently
             return self._encode_any(stems)
@@ -141,38 +159,59 @@ class _Words:
         return zip(stems, (raw[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)), strict=True)
 
     def _encode_words(self, words: list[str]):
+        plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
+        some = list(compress(words, plain))
+        if some:
+            yield from self._encode_stems(some, self.plain)
+            words = list(compress(words, map(operator.not_, plain)))
         heads = list(map(str.rstrip, words, repeat(_TAIL)))
         # folding each letter is what the tokenizer does; a final sigma would fold by its place
-        sigma = "\u03a3" in "".join(heads)
-        stems = [h if "\u03a3" in h else h.lower() for h in heads] if sigma else list(map(str.lower, heads))
-        # a folded letter may bring a mark of its own
-        split = list(map(operator.and_, map(str.isalpha, heads), map(str.isalpha, stems)))
+        stems = ["".join(map(str.lower, h)) if "\u03a3" in h else h.lower() for h in heads]
+        # a letter that is folded or taken apart may bring a mark of its own
+        split = [h.isalpha() and s.isalpha() and (h.isascii() or normalize("NFC", s).isalpha()) for h, s in zip(heads, stems, strict=True)]
         odd = list(compress(words, map(operator.not_, split)))
         if odd:
             yield from self._encode_any(odd)
             words, heads, stems = (list(compress(some, split)) for some in (words, heads, stems))
         if words:
             tails = list(map(str.removeprefix, words, heads))
-            of_stem, of_tail = self.stems.of(stems).__getitem__, self.tails.of(tails).__getitem__
-            yield from zip(words, map(operator.add, map(of_stem, stems), map(of_tail, tails)), strict=True)
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        return _BLANKS.split(text) if _ODD_BLANKS.search(text) else text.split()
+            yield from zip(words, map(operator.add, self.stems.of(stems), self.tails.of(tails)), strict=True)
 
     def ids(self, text: str) -> np.ndarray:
-        words = self._cut(text)
-        return np.frombuffer(b"".join(map(self.words.of(words).__getitem__, words)), "<u4")
+        return next(self.ids_of_column(pa.array([text], pa.string())))
 
-    def ids_of_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text of a column. Arrow cuts and numbers the words; only distinct ones become strings.
+    def _cut(self, raw: bytes, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts that lie in ``raw`` one behind the other, and where each text's words begin and end.
 
-        Cut at ASCII blanks alone: a string that holds another blank is encoded as it is.
+        Cut at ASCII blanks and between an ASCII letter and an ASCII sign or digit. ASCII letters are folded, but not
+        before a byte beyond ASCII, which may be a mark that only joins one of both cases.
         """
-        cut = pc.ascii_split_whitespace(texts)
-        numbered = cut.flatten().dictionary_encode()
-        words = numbered.dictionary.to_pylist()
-        raw = list(map(self.words.of(words).__getitem__, words))
+        data, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(self.kinds), np.uint8)
+        first = np.ones(len(data), bool)
+        first[1:] = (kind[:-1] == _BLANK) | ((kind[:-1] == _LETTER) & (kind[1:] == _SIGN))
+        first[bounds[bounds < len(data)]] = True
+        kept = kind != _BLANK
+        first &= kept
+        lower = raw.lower()
+        if not any(s in lower for s in self.special):  # they are told from their other cases
+            whole, data = data, np.frombuffer(bytearray(lower), np.uint8)
+            marked = np.flatnonzero(whole[1:] >= 128)
+            data[marked] = whole[marked]
+        data = data[kept]
+        starts = np.append(np.flatnonzero(first[kept]), len(data)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data))
+        return words, np.searchsorted(np.flatnonzero(first), bounds)
+
+    def ids_of_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column without nulls. Numpy cuts the words and Arrow numbers them; only distinct
+        ones become strings."""
+        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        words, bounds = self._cut(b"".join(texts.cast(pa.binary()).to_pylist()), bounds)
+        numbered = words.dictionary_encode()
+        # words hold no line feed; one call and a split are quicker than a call for each
+        distinct = pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary)
+        raw = self.words.of(pc.binary_join(distinct, "\n")[0].as_py().split("\n") if len(words) else [])
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         ids, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
         places = numbered.indices.to_numpy()
@@ -180,8 +219,8 @@ class _Words:
         ends = np.cumsum(counts)
         # each id's place: that of its word's first id, and how far it is from it
         flat = ids[np.repeat(starts[places] - (ends - counts), counts) + np.arange(counts.sum())]
-        bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
-        return (flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
+        bounds = np.concatenate([[0], ends])[bounds].tolist()
+        return (flat[a:b] for a, b in pairwise(bounds))
 
     def stream(self, text: str) -> Iterator[np.ndarray]:
         """The ids in parts, cut at blanks, so that a huge text never has all its ids in memory."""
@@ -305,10 +344,9 @@ def pack(
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             names = batch.column(0).to_pylist()
-            for a, b, texts in text_slices(batch.column(1), _SLICE_CHARS):
-                for name, text in zip(names[a:b], texts, strict=True):
-                    for piece in _cut(words, [name, 0], text or "", window, end_id):
-                        packer.add(piece)
+            for a, b in slice_bounds(batch.column(1), _SLICE_BYTES):
+                for piece in _pieces(words, names[a:b], pc.fill_null(batch.column(1).slice(a, b - a), ""), window, end_id):
+                    packer.add(piece)
                 if packer.out:
                     yield made(packer.drain())
         packer.flush(last=True)
@@ -318,6 +356,19 @@ def pack(
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(rows, schema)
 
 
+def _pieces(words: _Words, names: list, texts: pa.Array, window: int, end_id: int) -> Iterator[tuple]:
+    """The pieces of a slice of documents; a text too long for a slice comes alone."""
+    if len(texts) == 1:
+        yield from _cut(words, [names[0], 0], texts[0].as_py(), window, end_id)
+        return
+    end = np.array([end_id], "<u4")
+    for name, ids in zip(names, words.ids_of_column(texts), strict=True):
+        ids = np.concatenate([ids, end])
+        info = [name, len(ids)]
+        for i in range(0, len(ids), window):
+            yield info, i, ids[i : i + window]
+
+
 def _cut(words: _Words, info: list, text: str, window: int, end_id: int) -> Iterator[tuple]:
     if len(text) > _SLICE_CHARS:  # a first pass for the length, which every piece carries
         info[1] = sum(len(part) for part in words.stream(text)) + 1

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -95,3 +96,55 @@ def test_very_long_text_streams(make, library, tokenizer, monkeypatch):
     docs = make(["some words to pack " * 400, "b" * 3000])
     check(pack(docs, tokenizer("word_bpe_49k.json"), window=128).collect(), docs.collect(), library, 128, 32)
     assert docs.select(F.max("n_chars")).first()[0] > 1000
+
+
+def test_words_are_cut_at_signs_as_the_library_cuts_them(library, tokenizer):
+    texts = [
+        "x<|endoftext|>y <|EndOfText|> <|ENDOFTEXT|>", "The the THE. the, the's THE'S 'tis''s x'really", "H\u0331 h\u0331 I\u0307. a\u0301b",
+        "\u0958| \u0958, \u0958", "\u03a3\uac00\u0130'- \u03a3\u03b1\u03a3. \u0130. \u0130", "a1b2,c", "\u00e4. \u2014. \u2014,x", "", " ", "a\x1cb.\x1c c",
+    ]
+    words = _Words(tokenizer("word_bpe_49k.json"))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for some in (texts, texts[1:], texts[1:2], [""]):  # with and without special strings
+        got = words.ids_of_column(pa.array(some, pa.string()))
+        assert [ids.tolist() for ids in got] == [want[texts.index(t)] for t in some]
+    assert [words.ids(t).tolist() for t in texts] == want
+
+
+def test_letters_are_looked_up_without_case_and_signs(tokenizer):
+    """What the time depends on: one word for a run of letters however it is written."""
+    words = _Words(tokenizer("word_bpe_49k.json"))
+    list(words.ids_of_column(pa.array(["Word word, WORD. (word) word's", "wOrd!"])))
+    assert [w for w in words.words.young if "word" in w.lower()] == ["word", "(word"]
+
+
+def test_small_caches_give_the_same_ids(library, tokenizer, monkeypatch):
+    from leadflow.llm import packing
+
+    monkeypatch.setattr(packing, "_CACHED_WORDS", 3)
+    monkeypatch.setattr(packing, "_CACHED_STEMS", 2)
+    words = _Words(tokenizer("word_bpe_49k.json"))
+    for i in range(12):
+        texts = [f"{chr(97 + i)}alpha b\u00eat{chr(97 + i // 2)}. b\u00eat{chr(97 + i // 2)}! gamma", "delta gamma, \u00fcber."]
+        got = [ids.tolist() for ids in words.ids_of_column(pa.array(texts))]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(words.words.young) < 12
+
+
+def test_caches_are_bounded_by_characters_too(library, tokenizer, monkeypatch):
+    from leadflow.llm import packing
+
+    monkeypatch.setattr(packing, "_CACHED_WORDS", 100)
+    words = _Words(tokenizer("word_bpe_49k.json"))
+    for i in range(20):
+        text = chr(97 + i) * 2000
+        assert words.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, words.words.young)) <= 5200 and sum(map(len, words.words.old)) <= 5200
+
+
+@pytest.mark.parametrize("size", [60, 1_000_000])
+def test_slices_give_the_same_pieces(odd, library, tokenizer, monkeypatch, size):
+    from leadflow.llm import packing
+
+    monkeypatch.setattr(packing, "_SLICE_BYTES", size)
+    check(pack(odd, tokenizer("word_bpe_49k.json"), window=64, max_padding=2).collect(), odd.collect(), library, 64, 2)
