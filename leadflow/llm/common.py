@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 from types import ModuleType
@@ -18,9 +20,28 @@ from leadflow.functions.workspace import workspace
 _BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def process_cache() -> dict:
-    """A dict that lives as long as the Python worker, so models load once and not once a task."""
-    return sys.modules.setdefault("_leadflow_process_cache", ModuleType("_leadflow_process_cache")).__dict__
+def process_cache(step: str) -> dict:
+    """A dict that lives as long as the Python worker works at ``step``, so models load once and not once a task.
+
+    Workers go on from one step's tasks to another's: what the last step left here is given up, or it would take
+    memory beside all later steps.
+    """
+    worker = sys.modules.setdefault("_leadflow_process_cache", ModuleType("_leadflow_process_cache"))
+    left, held = getattr(worker, "held", (step, {}))
+    if left != step:
+        held.clear()
+        gc.collect()  # models may hold themselves
+        give_back()
+    worker.held = (step, held)
+    return held
+
+
+def give_back() -> None:
+    """Freed memory goes to the system, at the end of a task: the allocators would keep most of it for this worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

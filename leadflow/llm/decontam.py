@@ -103,7 +103,7 @@ def _scan(docs: DataFrame, rows: list[tuple[str, list[str]]], text: str, out: st
     schema = T.StructType([*kept, T.StructField(out, HITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache()
+        cache = process_cache("passages")
         if cache.get("decontam", (None,))[0] != name:
             cache["decontam"] = (name, _automaton(sent.value))
         automaton = cache["decontam"][1]

@@ -212,7 +212,7 @@ class _Reader:
 
     @staticmethod
     def _unpacker(store, root: str, sha: bytes):
-        cache = process_cache()
+        cache = process_cache("word ids")
         if ("zdict", sha) not in cache:
             with store.open_input_file(posixpath.join(root, f"{sha.hex()}.zdict")) as file:
                 raw = file.read()

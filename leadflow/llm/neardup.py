@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import bounded_batches, process_cache, text_slices, written
+from leadflow.llm.common import bounded_batches, give_back, process_cache, text_slices, written
 from leadflow.llm.urlfilter import bloom_level
 
 _SLICE_CHARS = 1_000_000
@@ -64,7 +64,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
-    cache = process_cache()
+    cache = process_cache("word hashes")
     if len(cache.get("powers", ((),))[0]) < n:
         up, down = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, _WRAP), np.uint64)
         up[0] = down[0] = 1
@@ -157,6 +157,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataF
                         (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))]
                     ids, prints = batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([ids, prints, pa.array(sizes, pa.int64()), *columns], names=schema.names)
+        give_back()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string"), _print(text_col)).mapInArrow(run, schema)
 
@@ -183,6 +184,7 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
                         ],
                         names=["node", "found"],
                     )
+        give_back()
 
     return docs.mapInArrow(run, "node bigint, found binary").dropDuplicates(["node"])
 
@@ -320,8 +322,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
 
 def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame | None:
     """(node, comp) of the linked nodes, None if nothing is linked."""
-    pairs = F.transform("ga", lambda x, i: F.transform("gb", lambda y, j: F.xxhash64(x, y, i * s.groups + j)))
-    keyed = nodes.select("node", F.explode(F.flatten(pairs)).alias("key"))
+    keyed = _keyed(nodes, s)
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     heads = written(heads.select("key", "head"), "heads")
     members = written(keyed.join(heads, "key"), "members")  # (key, node, head) of keys that several nodes share
@@ -355,6 +356,17 @@ def _components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
     return labels if more.isEmpty() else connected(links.union(more))
 
 
+def _keyed(nodes: DataFrame, s: Settings) -> DataFrame:
+    """(node, key): each key of each node.
+
+    A node becomes groups ** 2 rows, and the table of nodes is read by few tasks, so it is spread first: what a
+    task then combines has the size of a shuffle partition.
+    """
+    pairs = F.transform("ga", lambda x, i: F.transform("gb", lambda y, j: F.xxhash64(x, y, i * s.groups + j)))
+    spread = nodes.select("node", "ga", "gb").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    return spread.select("node", F.explode(F.flatten(pairs)).alias("key"))
+
+
 def _mostly(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     """The documents that may be wanted: a Bloom filter drops most others before their texts are shuffled.
 

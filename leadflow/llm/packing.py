@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import process_cache, slice_bounds
+from leadflow.llm.common import give_back, process_cache, slice_bounds
 
 _SLICE_CHARS = 2_000_000
-_SLICE_BYTES = 8_000_000
-_CACHED_WORDS = 400_000
+_SLICE_BYTES = 2_000_000
+_CACHED_WORDS = 200_000
 _CACHED_STEMS = 100_000
 #: characters for each string that a cache may hold
 _CACHED_CHARS = 32
@@ -235,7 +235,7 @@ class _Words:
 
 
 def _words(path: str) -> _Words:
-    cache = process_cache()
+    cache = process_cache("word ids")
     key = ("packing", path)
     if key not in cache:
         cache[key] = _Words(path)
@@ -352,6 +352,7 @@ def pack(
         packer.flush(last=True)
         if packer.out:
             yield made(packer.drain())
+        give_back()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(rows, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.llm.common import text_slices
+from leadflow.llm.common import give_back, text_slices
 from leadflow.llm.neardup import word_hashes
 
 _SLICE_CHARS = 1_000_000
@@ -190,6 +190,7 @@ def score_quality(docs: DataFrame, model: Model | None, *, text_col: str = "text
                 part = batch.slice(a, b - a)
                 scores = model.score(features(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, out])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 

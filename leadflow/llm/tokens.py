@@ -23,7 +23,7 @@ _MARKS = "array<struct<pos:bigint,id:int,before:bigint>>"
 
 
 def _model(path: str):
-    cache = process_cache()
+    cache = process_cache("pieces")
     if ("pieces", path) not in cache:
         import sentencepiece
 

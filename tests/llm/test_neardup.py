@@ -1,5 +1,7 @@
+import gc
 import random
 import re
+import weakref
 from itertools import combinations
 
 import pytest
@@ -116,6 +118,35 @@ def test_shingles_do_not_depend_on_parts(monkeypatch):
     assert shingles(text, 3).tolist() == whole
 
 
+def test_word_ids_of_another_step_are_given_up(tokenizer):
+    """Workers go on to other steps: what packing held took 200 MB of each beside the near-duplicates."""
+    from leadflow.llm.packing import _words
+
+    path = tokenizer("word_bpe_49k.json")
+    held = weakref.ref(_words(path))
+    assert _words(path) is held()  # once loaded, kept for the step
+    shingles("some words of the next step", 2)
+    gc.collect()
+    assert held() is None and _words(path).ids("two words").tolist()
+
+
+def test_nodes_are_spread_before_they_become_keys(make, monkeypatch):
+    """Few tasks read the nodes, and each had all its keys, 144 a node, in one table of its memory."""
+    from leadflow.llm import neardup
+
+    plans, real = {}, neardup.written
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(neardup, "written", written)
+    assert near_duplicates(make(["a b c d", "a b c d e f g"])).count() == 2
+    for label in ("heads", "members"):
+        made = plans[label].split("Generate ")[1].split("Relation ")[0]
+        assert "RepartitionByExpression" in made
+
+
 def test_query(spark, tables):
     from leadflow.llm.queries import QUERIES
 
