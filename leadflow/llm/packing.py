@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from leadflow.llm.common import give_back, process_cache, slice_bounds
 
 _SLICE_CHARS = 2_000_000
-_SLICE_BYTES = 2_000_000
-_CACHED_WORDS = 200_000
+_SLICE_BYTES = 8_000_000
+_CACHED_WORDS = 400_000
 _CACHED_STEMS = 100_000
 #: characters for each string that a cache may hold
 _CACHED_CHARS = 32
@@ -124,7 +124,7 @@ class _Words:
     It also splits letters from what follows, so letters and the signs behind them are words of their own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = _CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -140,7 +140,7 @@ class _Words:
         #: what a byte is, to cut words; inside special strings none is cut
         inside = {b for s in special for a, b in pairwise(s.encode()) if _KINDS[a] == _LETTER}
         self.kinds = bytes(_REST if b in inside and kind == _SIGN else kind for b, kind in enumerate(_KINDS))
-        self.words = _Recent(_CACHED_WORDS, self._encode_words)
+        self.words = _Recent(cached, self._encode_words)
         self.stems = _Recent(_CACHED_STEMS, self._encode_stems)
         self.tails = _Recent(_CACHED_STEMS, self._encode_any)
 
@@ -234,11 +234,11 @@ class _Words:
         yield self.ids(text[start:] if start else text)
 
 
-def _words(path: str) -> _Words:
+def _words(path: str, cached: int = _CACHED_WORDS) -> _Words:
     cache = process_cache("word ids")
-    key = ("packing", path)
+    key = ("packing", path, cached)
     if key not in cache:
-        cache[key] = _Words(path)
+        cache[key] = _Words(path, cached)
     return cache[key]
 
 
@@ -302,6 +302,7 @@ class _Packer:
 def pack(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
     window: int = 4096, max_padding: int = 32, buffer_tokens: int = 4_194_304,
+    slice_bytes: int = _SLICE_BYTES, cached_words: int = _CACHED_WORDS,
 ) -> DataFrame:
     """One row per piece: the id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset.
@@ -312,7 +313,8 @@ def pack(
     A null or empty text has the end id alone. Rows with equal or null ids are separate documents. Other
     columns are left out; an empty table gives no rows. Very long texts are read in parts cut at blanks; their
     full windows go out as they fill, so memory is bounded by ``buffer_tokens`` and one text. Work follows the
-    input's own partitions and order, so a task that runs again packs alike.
+    input's own partitions and order, so a task that runs again packs alike. ``slice_bytes`` of texts are cut into words
+    at once and about twice ``cached_words`` words kept: less of either takes less memory and more time, the rows are the same.
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
@@ -322,7 +324,7 @@ def pack(
     ])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(tokenizer_path)
+        words = _words(tokenizer_path, cached_words)
         packer = _Packer(window, max_padding, buffer_tokens, TaskContext.get().partitionId() << 36)
         id_arrow = None
 
@@ -344,7 +346,7 @@ def pack(
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             names = batch.column(0).to_pylist()
-            for a, b in slice_bounds(batch.column(1), _SLICE_BYTES):
+            for a, b in slice_bounds(batch.column(1), slice_bytes):
                 for piece in _pieces(words, names[a:b], pc.fill_null(batch.column(1).slice(a, b - a), ""), window, end_id):
                     packer.add(piece)
                 if packer.out:

@@ -42,4 +42,5 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the executors' memory has grown over four stages by now
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), slice_bytes=2_000_000, cached_words=200_000)
