@@ -124,7 +124,7 @@ class _Words:
     It also splits letters from what follows, so letters and the signs behind them are words of their own.
     """
 
-    def __init__(self, path: str, cached: int = _CACHED_WORDS):
+    def __init__(self, path: str, cached: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -140,7 +140,7 @@ class _Words:
         #: what a byte is, to cut words; inside special strings none is cut
         inside = {b for s in special for a, b in pairwise(s.encode()) if _KINDS[a] == _LETTER}
         self.kinds = bytes(_REST if b in inside and kind == _SIGN else kind for b, kind in enumerate(_KINDS))
-        self.words = _Recent(cached, self._encode_words)
+        self.words = _Recent(cached or _CACHED_WORDS, self._encode_words)
         self.stems = _Recent(_CACHED_STEMS, self._encode_stems)
         self.tails = _Recent(_CACHED_STEMS, self._encode_any)
 
@@ -234,7 +234,7 @@ class _Words:
         yield self.ids(text[start:] if start else text)
 
 
-def _words(path: str, cached: int = _CACHED_WORDS) -> _Words:
+def _words(path: str, cached: int | None = None) -> _Words:
     cache = process_cache("word ids")
     key = ("packing", path, cached)
     if key not in cache:
@@ -302,7 +302,7 @@ class _Packer:
 def pack(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
     window: int = 4096, max_padding: int = 32, buffer_tokens: int = 4_194_304,
-    slice_bytes: int = _SLICE_BYTES, cached_words: int = _CACHED_WORDS,
+    slice_bytes: int = _SLICE_BYTES, cached_words: int | None = None,
 ) -> DataFrame:
     """One row per piece: the id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset.
@@ -314,7 +314,7 @@ def pack(
     columns are left out; an empty table gives no rows. Very long texts are read in parts cut at blanks; their
     full windows go out as they fill, so memory is bounded by ``buffer_tokens`` and one text. Work follows the
     input's own partitions and order, so a task that runs again packs alike. ``slice_bytes`` of texts are cut into words
-    at once and about twice ``cached_words`` words kept: less of either takes less memory and more time, the rows are the same.
+    at once and about twice ``cached_words`` words kept (400,000 unless given): less of either takes less memory and more time, the rows are the same.
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
